@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import mixing, spam, splitting, tokenize
+from folio.llm import mixing, spam, splitting, tokenize, unify
 from folio.session import read
 
 
@@ -20,6 +20,14 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(splitting.recovered_offsets(passages, read(spark, sf_dir, "articles")))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unify.cases(read(spark, sf_dir, "articles")).select("article_id", "field").distinct()
+
+
+def p7_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unify.unify(read(spark, sf_dir, "articles"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode(read(spark, sf_dir, "documents"))
 
@@ -41,7 +49,7 @@ def p10_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_pieces, p8_ids, p9_mix, p9_shares, p10_found, p10_measures)}
+    return {f.__name__: f for f in (p3_found, p3_pieces, p7_found, p7_unified, p8_ids, p9_mix, p9_shares, p10_found, p10_measures)}
 
 
 def oracle_sql() -> dict[str, str]:
