@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import mixing, spam, splitting, tokenize, unify
+from folio.llm import mixing, ocr, spam, splitting, tokenize, unify
 from folio.session import read
 
 
@@ -20,6 +20,18 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(splitting.recovered_offsets(passages, read(spark, sf_dir, "articles")))
 
 
+def _noise_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return read(spark, sf_dir, "gold_reads"), read(spark, sf_dir, "publication_hints")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ocr.noise(read(spark, sf_dir, "articles"), read(spark, sf_dir, "pages"), *_noise_tables(spark, sf_dir))
+
+
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ocr.repair(read(spark, sf_dir, "articles"), "article_id", *_noise_tables(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify.cases(read(spark, sf_dir, "articles")).select("article_id", "field").distinct()
 
@@ -49,7 +61,7 @@ def p10_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_pieces, p7_found, p7_unified, p8_ids, p9_mix, p9_shares, p10_found, p10_measures)}
+    return {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_repaired, p7_found, p7_unified, p8_ids, p9_mix, p9_shares, p10_found, p10_measures)}
 
 
 def oracle_sql() -> dict[str, str]:
