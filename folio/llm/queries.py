@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import mixing, ocr, spam, splitting, tokenize, unify
+from folio.llm import mixing, ocr, spam, splitting, tokenize, truncation, unify
 from folio.session import read
 
 
@@ -32,6 +32,27 @@ def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.repair(read(spark, sf_dir, "articles"), "article_id", *_noise_tables(spark, sf_dir))
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of articles and article_input with the workflow that made them."""
+    articles, pages, reads = (read(spark, sf_dir, t) for t in ("articles", "pages", "article_input"))
+    workflows = pages.select("page_id", "workflow").dropDuplicates(["page_id"])
+    one = articles.join(workflows, "page_id", "left").select(F.lit("articles").alias("table_name"), F.col("article_id").alias("record_key"), F.col("workflow").alias("source"), F.col("verbatim_text").alias("text"))
+    two = reads.select(F.lit("article_input").alias("table_name"), F.col("read_id").alias("record_key"), "source", F.col("verbatim_text").alias("text"))
+    return one.unionByName(two)
+
+
+def p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(_records(spark, sf_dir), *_noise_tables(spark, sf_dir))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_records(spark, sf_dir).where("truncated").select("table_name", "record_key").distinct()
+
+
+def p6_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.by_source(p6_records(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify.cases(read(spark, sf_dir, "articles")).select("article_id", "field").distinct()
 
@@ -61,7 +82,7 @@ def p10_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_repaired, p7_found, p7_unified, p8_ids, p9_mix, p9_shares, p10_found, p10_measures)}
+    return {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_repaired, p6_found, p6_records, p6_sources, p7_found, p7_unified, p8_ids, p9_mix, p9_shares, p10_found, p10_measures)}
 
 
 def oracle_sql() -> dict[str, str]:
