@@ -8,12 +8,17 @@ classes and recomposed by joins with a table of compositions; then the words are
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folio.session import written
+
 FIELDS = ("heading", "verbatim_text", "normalized_text")
 #: Letters of one script that look like those of another, position by position.
 LATIN, AS_CYRILLIC = "aceopxyABCEHKMOPTXY", "асеорхуАВСЕНКМОРТХУ"
@@ -22,7 +27,7 @@ GREEK, GREEK_AS_LATIN = "οανριυκχϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "oav
 GREEK_C, GREEK_AS_CYRILLIC = "οαρεκχϲΑΒΕΗΚΜΟΡΤΥΧΓΠΦ", "оарекхсАВЕНКМОРТУХГПФ"
 _INVISIBLE = (0xAD, 0x180E, *range(0x200B, 0x2010), *range(0x2060, 0x2065), 0xFEFF)
 _SPACES = r"   -   　"
-_ODD = rf"{_SPACES}­᠎​-‏⁠-⁤﻿！-￮ﬀ-ﭏĲĳŉǄ-ǌǱ-ǳ\p{{M}}Ͱ-Ͽ"
+_ODD = rf"{_SPACES}­᠎​-‏⁠-⁤﻿！-￮ﬀ-ﭏĲĳŉǄ-ǌǱ-ǳ̀-ͯ҃-҉⃐-⃰Ͱ-Ͽ"
 #: What makes a word worth a look, in an article in Cyrillic and in Latin letters.
 SUSPICIOUS_C, SUSPICIOUS_L = rf"[{_ODD}{LATIN}]", rf"[{_ODD}Ѐ-ԯ]"
 #: Spaces other than the plain one; what words consist of, full-width signs and invisible characters included.
@@ -99,24 +104,45 @@ def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame, DataF
     )
 
 
-def _letters(text: Column, which: str) -> Column:
-    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), f"[^{which}]+", ""))
-
-
 def fields_of(articles: DataFrame) -> DataFrame:
-    """(article_id, field, text, script): one row for each field that is neither null nor empty; script: C or L, the one most of the article's letters are of."""
-    every = F.concat_ws(" ", *[F.col(f) for f in FIELDS])
-    cyrillic, latin = _letters(every, "Ѐ-ԯ"), _letters(every, "A-Za-zÀ-ɏ")
+    """(article_id, field, text, text_key): one row for each field that is neither null nor empty."""
     listed = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in FIELDS])
-    return (
-        articles.select("article_id", *FIELDS).select("article_id", F.when(cyrillic > latin, "C").otherwise("L").alias("script"), F.explode(listed).alias("f"))
-        .select("article_id", "f.field", "f.text", "script").where(F.length("text") > 0)
-    )
-
-
-def _suspicious(which: str) -> str:
-    """A word with a suspicious character and a full stop after it, or an odd space. Tried at word starts only: long words cost no more than their length."""
-    return rf"{_SPACE}|(?<!{_IN_WORD}){_IN_WORD}*?(?!{_SPACE}){which}{_IN_WORD}*\.?"
+    return articles.select("article_id", F.explode(listed).alias("f")).select("article_id", "f.field", "f.text", F.xxhash64("f.text").alias("text_key")).where(F.length("text") > 0)
+
+
+def _finder(which: str):
+    """The words of a text with a suspicious character, each with a full stop after it, and its odd spaces. Words are tried at their starts only: long ones cost no more than their length."""
+    import regex
+
+    some = re.compile(which).search
+    words = regex.compile(rf"{_SPACE}|(?<!{_IN_WORD}){_IN_WORD}++\.?").findall
+    return lambda text: [w for w in dict.fromkeys(words(text)) if some(w)] if some(text) else ()
+
+
+def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cyrillic, latin = _finder(SUSPICIOUS_C), _finder(SUSPICIOUS_L)
+    letters = bytes(range(65, 91)) + bytes(range(97, 123))
+    for batch in batches:
+        row, field, key, script, word = [], [], [], [], []
+        texts, keys = [c.to_pylist() for c in batch.columns[1:4]], [c.to_pylist() for c in batch.columns[4:7]]
+        for i, found in enumerate(zip(*texts, strict=True)):
+            raw = "".join(t for t in found if t).encode()
+            if not raw:
+                continue
+            # Cyrillic letters begin with one of three bytes in UTF-8; the ASCII letters are most of the Latin ones.
+            c = raw.count(b"\xd0") + raw.count(b"\xd1") + raw.count(b"\xd2")
+            of = "C" if c > len(raw) - len(raw.translate(None, letters)) else "L"
+            find = cyrillic if of == "C" else latin
+            for k, t in enumerate(found):
+                if t and (of == "C" or not t.isascii()):
+                    for w in find(t):
+                        row.append(i)
+                        field.append(FIELDS[k])
+                        key.append(keys[k][i])
+                        script.append(of)
+                        word.append(w)
+        made = [pa.array(field, pa.string()), pa.array(key, pa.int64()), pa.array(script, pa.string()), pa.array(word, pa.string())]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int32())), *made], ["article_id", "field", "text_key", "script", "word"])
 
 
 def _rebuilt(parts: Column) -> Column:
@@ -176,19 +202,16 @@ def _composed(clusters: DataFrame, composed: DataFrame, i: int) -> DataFrame:
     )
 
 
-def _words(articles: DataFrame) -> DataFrame:
-    """The suspicious fields, each with its suspicious words; text_key tells rows with the same id and field apart."""
-    fields = fields_of(articles)
-    odd = fields.where(F.when(F.col("script") == "C", F.col("text").rlike(SUSPICIOUS_C)).otherwise(F.col("text").rlike(SUSPICIOUS_L)))
-    pattern = F.when(F.col("script") == "C", F.regexp_extract_all("text", F.lit(_suspicious(SUSPICIOUS_C)), F.lit(0))).otherwise(
-        F.regexp_extract_all("text", F.lit(_suspicious(SUSPICIOUS_L)), F.lit(0))
-    )
-    return odd.select("article_id", "field", F.xxhash64("text").alias("text_key"), "script", F.explode(F.array_distinct(pattern)).alias("word"))
+def suspicious_words(articles: DataFrame) -> DataFrame:
+    """(article_id, field, text_key, script, word), written to the shared folder; script: C or L, the one most of the article's letters are of; text_key tells rows with the same id and field apart."""
+    kind = articles.schema["article_id"].dataType.simpleString()
+    kept = articles.select("article_id", *FIELDS, *[F.xxhash64(f).alias(f"key_{f}") for f in FIELDS])
+    return written(kept.mapInArrow(_find, f"article_id {kind}, field string, text_key bigint, script string, word string"), "words")
 
 
 def cases(articles: DataFrame) -> DataFrame:
     """(article_id, field, text_key, script, word, fixed, kinds): the distinct words of each field that are not in the one form, with their forms."""
-    found = _words(articles).withColumn("id", F.struct(F.xxhash64("script", "word").alias("a"), F.xxhash64(F.lit(1), "word").alias("b")))
+    found = suspicious_words(articles).withColumn("id", F.struct(F.xxhash64("script", "word").alias("a"), F.xxhash64(F.lit(1), "word").alias("b")))
     forms = unified_words(found.select("id", "script", "word").distinct()).where(F.size("kinds") > 0)
     return found.join(forms, "id").drop("id")
 
@@ -202,11 +225,11 @@ def unify(articles: DataFrame) -> DataFrame:
     article_id are kept; without rows there are none; other columns are not read. Only suspicious fields are cut into words,
     each distinct suspicious word is worked on once, and the work is in proportion to the text.
     """
-    fields = fields_of(articles).withColumn("text_key", F.xxhash64("text"))
-    found = cases(articles).groupBy("article_id", "field", "text_key", "script").agg(
+    fields = fields_of(articles)
+    found = cases(articles).groupBy("article_id", "field", "text_key").agg(
         F.map_from_entries(F.collect_set(F.struct("word", "fixed"))).alias("forms"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("kinds")
-    ).withColumnsRenamed({"article_id": "__id", "field": "__field", "text_key": "__key", "script": "__script"})
-    same = fields.article_id.eqNullSafe(F.col("__id")) & (fields.field == F.col("__field")) & (fields.text_key == F.col("__key")) & (fields.script == F.col("__script"))
+    ).withColumnsRenamed({"article_id": "__id", "field": "__field", "text_key": "__key"})
+    same = fields.article_id.eqNullSafe(F.col("__id")) & (fields.field == F.col("__field")) & (fields.text_key == F.col("__key"))
     pieces = F.regexp_extract_all("text", F.lit(PIECES), F.lit(0))
     rebuilt = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.element_at("forms", p), p)), "")
     return fields.join(found, same, "left").select(
