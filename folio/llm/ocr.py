@@ -306,7 +306,7 @@ def scanned(articles: DataFrame, gold: DataFrame, hints: DataFrame) -> DataFrame
 
 
 def misread_words(scan: DataFrame) -> DataFrame:
-    """(word, true_word): the words of the corpus that are misread, each with the most frequent word it may stand for; null where only a sign inside tells."""
+    """(word, true_word): the words of the corpus that are misread, each with the most frequent word it may stand for; null where only a single sign between its letters tells."""
     counts = scan.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     counts = written(counts, "words")
     able = "[" + "".join(sorted({a[0] for a, _ in CONFUSIONS} | set(SIGNS))).replace("^", r"\^") + "]"
@@ -315,7 +315,7 @@ def misread_words(scan: DataFrame) -> DataFrame:
     known = counts.select(F.col("word").alias("true_word"), F.col("df").alias("true_df")).where(F.col("true_word").rlike(r"^[\p{L}'’-]+$"))
     found = long.join(known, "true_word").where(F.col("true_df") >= TIMES * F.col("df"))
     by_word = found.groupBy("word").agg(F.max_by("true_word", F.struct("true_df", "true_word")).alias("true_word"))
-    signed = counts.where(F.col("word").rlike(r"\p{L}[\d\^|~¦†•§¢£¥]+\p{L}")).select("word", F.lit(None).cast("string").alias("true_word"))
+    signed = counts.where(F.col("word").rlike(r"\p{L}[\d\^|~¦†•§¢£¥]\p{L}")).select("word", F.lit(None).cast("string").alias("true_word"))
     return by_word.unionByName(signed.join(by_word, "word", "left_anti"))
 
 
