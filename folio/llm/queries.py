@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import mixing, ocr, spam, splitting, tokenize, truncation, unify
+from folio.llm import mixing, neardup, ocr, spam, splitting, tokenize, truncation, unify
 from folio.session import read
 
 
@@ -24,6 +24,18 @@ def _noise_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return read(spark, sf_dir, "gold_reads"), read(spark, sf_dir, "publication_hints")
 
 
+def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return neardup.classes_and_links(read(spark, sf_dir, "articles"), *_noise_tables(spark, sf_dir))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.pairs(*_links(spark, sf_dir))
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(*_links(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.noise(read(spark, sf_dir, "articles"), read(spark, sf_dir, "pages"), *_noise_tables(spark, sf_dir))
 
@@ -82,7 +94,7 @@ def p10_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_repaired, p6_found, p6_records, p6_sources, p7_found, p7_unified, p8_ids, p9_mix, p9_shares, p10_found, p10_measures)}
+    return {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_groups, p5_found, p5_repaired, p6_found, p6_records, p6_sources, p7_found, p7_unified, p8_ids, p9_mix, p9_shares, p10_found, p10_measures)}
 
 
 def oracle_sql() -> dict[str, str]:
