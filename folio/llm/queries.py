@@ -6,11 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from folio.llm import mixing, neardup, ocr, spam, splitting, tokenize, truncation, unify
+from folio.llm import ann, mixing, neardup, ocr, spam, splitting, tokenize, truncation, unify
 from folio.session import read
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.pairs(read(spark, sf_dir, "passages"))
+
+
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ann.neighbours(read(spark, sf_dir, "passages"))
+    return found.select(F.col("id").alias("passage_id"), "rank", F.col("neighbour").alias("neighbour_id"), "similarity")
+
+
+def p2_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy search: every vec_id divisible by 20 as a query, against all rows of embeddings."""
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.lit("embeddings").alias("model"), F.to_json("embedding").alias("embedding"))
+    members, nodes = ann.nodes_of(ann.usable(vectors, "id", "model", "embedding"))
+    centres = ann.centroids(nodes)
+    graph = ann.graph_of(nodes, centres=centres)
+    asked = members.where(F.col("id").cast("bigint") % 20 == 0)
+    queries = asked.join(nodes.select("node", "model", "vec"), "node").select(F.col("node").alias("query"), "model", "vec").distinct()
+    found = ann.search(queries, nodes, graph, centres, k=11)
+    one = found.join(asked.select(F.col("node").alias("query"), F.col("id").cast("bigint").alias("vec_id")), "query")
+    both = one.join(members.select("node", F.col("id").cast("bigint").alias("neighbour_id")), "node").where("vec_id <> neighbour_id")
+    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc(F.round("sim", 5)), "neighbour_id"))).where(F.col("rank") <= 10)
+    return ranked.select("vec_id", "rank", "neighbour_id", F.round(F.col("sim").cast("double"), 4).alias("similarity"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(read(spark, sf_dir, "passages")).select("passage_id").distinct()
 
@@ -94,7 +119,7 @@ def p10_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_groups, p5_found, p5_repaired, p6_found, p6_records, p6_sources, p7_found, p7_unified, p8_ids, p9_mix, p9_shares, p10_found, p10_measures)}
+    return {f.__name__: f for f in (p2_found, p2_neighbours, p2_search, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p5_repaired, p6_found, p6_records, p6_sources, p7_found, p7_unified, p8_ids, p9_mix, p9_shares, p10_found, p10_measures)}
 
 
 def oracle_sql() -> dict[str, str]:
