@@ -27,10 +27,10 @@ from folio.session import written
 RUN, BLOCKS, SYMBOLS, SIMILARITY = 3, 20, 4, 0.4
 
 _LOOKS = str.maketrans(CYRILLIC + GREEK, AS_LATIN + GREEK_AS_LATIN)
-_DIACRITICS = {o: None for o in range(0x300, 0x370)}
 _MIXED = re.compile(rf"[\w{re.escape(SIGNS)}]*[^\W\d_][\d{re.escape(SIGNS)}][\w{re.escape(SIGNS)}]*|[\d{re.escape(SIGNS)}]+[^\W\d_][\w{re.escape(SIGNS)}]*")
 _SIGNED = [str.maketrans({a: b for a, b in reversed(CONFUSIONS) if not a.isalpha() and (("а" <= b <= "я") == c)}) for c in (False, True)]
-_WORDS = re.compile(r"[^\W_]+")
+_WORDS = re.compile(rf"[\w{re.escape(SIGNS)}]+")
+_PLAIN = re.compile(r"[^\W_]+")
 _CYRILLIC = re.compile("[а-я]")
 _RNG = np.random.default_rng(20_240_611)
 _MULTIPLY = _RNG.integers(1, 1 << 63, BLOCKS * SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -47,12 +47,21 @@ def _unsigned(m: re.Match) -> str:
 
 
 def words(text: str) -> list[str]:
-    """Words of a repaired text, case ignored, look-alike letters the same."""
-    return _WORDS.findall(_MIXED.sub(_unsigned, text.lower()).translate(_LOOKS))
+    """The words of a repaired text, case ignored."""
+    found = _WORDS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    out = []
+    for w in found:
+        if w.isalpha() or w.isdigit():
+            out.append(w)
+        else:
+            out += _PLAIN.findall(_MIXED.sub(_unsigned, w))
+    return out
 
 
 def runs(found: list[str], known: dict[str, int]) -> np.ndarray:
-    """The distinct runs of three words as sorted hashes; of a text with fewer words all of it is the one run."""
+    """The distinct runs of three words, look-alike letters being the same, as sorted hashes; of a text with fewer words all of it is the one run."""
     import xxhash
 
     if not found:
@@ -63,7 +72,7 @@ def runs(found: list[str], known: dict[str, int]) -> np.ndarray:
         if i is None:
             if len(known) > 500_000:
                 known.clear()
-            i = known[w] = xxhash.xxh3_64_intdigest(w)
+            i = known[w] = xxhash.xxh3_64_intdigest(w.translate(_LOOKS))
         ids.append(i)
     n = max(1, len(ids) - RUN + 1)
     ids += [0] * (RUN - len(ids))

@@ -36,14 +36,14 @@ TIMES = 10
 SIGNS = "^|~¦†•§¢£¥"
 HYPHENS = "-‐¬=⸗\xad"
 
-_INVISIBLE = dict.fromkeys([0x180E, *range(0x200B, 0x2010), *range(0x2060, 0x2065), 0xFEFF])
+_INVISIBLE = re.compile(r"[\u180e\u200b-\u200f\u2060-\u2064\ufeff]+")
+_SOFT = re.compile(r"\xad(?!\s*\n)")
 _NUMBER = re.compile(r"\W{0,4}(?:(?:стр|с|page|pag|seite|p|s)\b\.?\s*)?\W{0,3}(\d{1,3})\W{0,4}", re.I)
 _ISSUE = re.compile(r"(?:\bброй|\bбр\.|\bno\.?|\bnr\.?|\bn°|№|\bnum[ée]ro|\bissue)\s*\d+", re.I)
 _DATE = re.compile(r"\b(?:1[6-9]|20)\d\d\b")
 _SPACED = re.compile(r"(?:[^\W\d_]\s+){4,}[^\W\d_]\b")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _WORD = re.compile(r"[^\W\d_](?:[\w^|~¦†•§¢£¥'’-]*\w)?|[\d^|~¦†•§¢£¥]+[^\W\d_][\w^|~¦†•§¢£¥]*")
-_CUT = re.compile(rf"[^\W\d_][{HYPHENS}]\s*$")
 _TAIL = re.compile(rf"([^\W_][\w{re.escape(SIGNS)}]*)([{HYPHENS}])\s*$")
 _LEAD = re.compile(rf"^\s*([^\W_][\w{re.escape(SIGNS)}]*)")
 _INNER = re.compile(rf"[^\W\d_][\d{re.escape(SIGNS)}]+[^\W\d_]")
@@ -54,7 +54,11 @@ def plain(text: str) -> str:
     """Compatible forms composed, invisible characters gone; soft hyphens only where they end no line."""
     if text.isascii():
         return text
-    return unicodedata.normalize("NFKC", re.sub(r"\xad(?!\s*\n)", "", text.translate(_INVISIBLE)).replace("¬", "").replace("⸗", "")).replace("", "¬").replace("", "⸗")
+    if _INVISIBLE.search(text):
+        text = _INVISIBLE.sub("", text)
+    if "\xad" in text:
+        text = _SOFT.sub("", text)
+    return text if unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text)
 
 
 def squeezed(text: str) -> str:
@@ -216,26 +220,28 @@ def read_page(text: str, model: Model) -> tuple[list[list[str]], list[str], list
 
 def joined(lines: list[str]) -> tuple[str, list[str], bool]:
     """A paragraph in one line; the words that a plain hyphen cut, as left-right; and whether another hyphen cut one."""
-    out = lines[0].strip()
+    parts = [lines[0].strip()]
     maybe: list[str] = []
     certain = False
     for x in lines[1:]:
         x = x.strip()
-        if out and out.rstrip()[-1:] in HYPHENS and (left := _TAIL.search(out)) and (right := _LEAD.match(x)) and not (right[1][0].isupper() and not left[1][-1].isupper()):
+        before = parts[-1]
+        if before and before[-1] in HYPHENS and (right := _LEAD.match(x)) and (left := _TAIL.search(before.rsplit(None, 1)[-1])) and not (right[1][0].isupper() and not left[1][-1].isupper()):
             if left[2] == "-":
                 maybe.append(f"{left[1]}-{right[1]}".lower())
             else:
                 certain = True
-            out = out[: left.start(2)] + x
+            parts[-1] = before[:-1]
         else:
-            out = f"{out} {x}"
-    return out, maybe, certain
+            parts.append(" ")
+        parts.append(x)
+    return "".join(parts), maybe, certain
 
 
 def repaired(text: str, model: Model) -> str:
     """The text as continuous paragraphs, divided by blank lines."""
     paragraphs, _, _ = read_page(text, model)
-    return "\n\n".join(re.sub(r"\s+", " ", joined(p)[0]) for p in paragraphs)
+    return "\n\n".join(" ".join(joined(p)[0].split()) for p in paragraphs)
 
 
 def _scan(model: Model):
