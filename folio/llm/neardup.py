@@ -87,6 +87,7 @@ def runs(found: list[str], known: dict[str, int]) -> np.ndarray:
 def anchors(found: np.ndarray) -> np.ndarray:
     """The anchors of a set of runs, within radius 1 of its fingerprints."""
     low = np.empty(BLOCKS * SYMBOLS, np.uint64)
+    found = (found ^ (found << np.uint64(21))) * _MIX
     for k in range(0, len(found), 4096):
         hashed = (found[None, k : k + 4096] * _MULTIPLY[:, None] + _ADD[:, None]).min(axis=1)
         low = hashed if k == 0 else np.minimum(low, hashed)
@@ -108,7 +109,7 @@ def _fingerprints(model: Model):
 
         known: dict[str, int] = {}
         for batch in batches:
-            rows, a, b, size, kept, sent = [], [], [], [], [], []
+            rows, a, b, size, kept = [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 found = runs(words(repaired(text, model)), known)
                 if len(found):
@@ -117,22 +118,27 @@ def _fingerprints(model: Model):
                     a.append(xxhash.xxh3_64_intdigest(raw) - (1 << 63))
                     b.append(xxhash.xxh3_64_intdigest(raw, 7) - (1 << 63))
                     size.append(len(found))
-                    kept.append((found >> np.uint64(32)).astype(np.uint32).tobytes())
-                    sent.append(anchors(found))
-            offsets = np.cumsum([0, *map(len, sent)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sent) if sent else np.empty(0, np.int64)))
-            made = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(size, pa.int32()), pa.array(kept, pa.binary()), lists]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), *made], ["article_id", "a", "b", "size", "runs", "anchors"])
+                    kept.append(np.unique((found >> np.uint64(32)).astype(np.uint32)).tobytes())
+            made = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(size, pa.int32()), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), *made], ["article_id", "a", "b", "size", "runs"])
 
     return run
 
 
+def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sent = [anchors(np.frombuffer(r, np.uint32).astype(np.uint64)) for r in batch.column(2).to_pylist()]
+        rows = pa.array(np.repeat(np.arange(len(sent)), [len(x) for x in sent]))
+        found = pa.array(np.concatenate(sent) if sent else np.empty(0, np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), found], ["a", "size", "anchor"])
+
+
 def _similar(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                p, q = np.unique(np.frombuffer(x, np.uint32)), np.unique(np.frombuffer(y, np.uint32))
+                p, q = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 found.append(both / (len(p) + len(q) - both))
             out = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.float64())], ["a", "b", "a2", "b2", "similarity"])
@@ -150,11 +156,11 @@ def classes_and_links(articles: DataFrame, gold: DataFrame, hints: DataFrame, si
     """
     kept = articles.where(F.length(F.trim("verbatim_text")) > 0).select("article_id", "verbatim_text")
     kind = articles.schema["article_id"].dataType.simpleString()
-    marks = written(kept.mapInArrow(_fingerprints(trained(gold, hints)), f"article_id {kind}, a bigint, b bigint, size int, runs binary, anchors array<bigint>"), "anchors")
+    marks = written(kept.mapInArrow(_fingerprints(trained(gold, hints)), f"article_id {kind}, a bigint, b bigint, size int, runs binary"), "runs")
     members = marks.select("article_id", "a", "b").distinct()
-    one = marks.groupBy("a", "b").agg(F.min_by(F.struct("size", "runs", "anchors"), F.coalesce("article_id", F.lit(""))).alias("x")).select("a", "b", "x.size", "x.runs", "x.anchors")
+    one = marks.groupBy("a", "b").agg(F.any_value(F.struct("size", "runs")).alias("x")).select("a", "b", "x.size", "x.runs")
     one = written(one, "classes")
-    met = one.select("a", "size", F.explode("anchors").alias("anchor"))
+    met = one.select("a", "size", "runs").mapInArrow(_anchored, "a bigint, size int, anchor bigint")
     left, right = met, met.select("anchor", F.col("a").alias("a2"), F.col("size").alias("size2"))
     # Sets so different in size cannot be similar enough.
     near = (F.col("a") < F.col("a2")) & (F.least("size", "size2") >= similarity * F.greatest("size", "size2"))
