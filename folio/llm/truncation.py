@@ -42,7 +42,7 @@ def ending(text: str, model: Model) -> str:
     if not paragraphs:
         return "done"
     blocks = [[x.strip() for x in p] for p in paragraphs]
-    last = blocks[-1][-1].strip("⁠​")
+    last = blocks[-1][-1]
     if INSTALMENT.search(last):
         return "instalment"
     if _END.search(last) and not _INITIAL.search(last):

@@ -26,13 +26,13 @@ CYRILLIC, AS_LATIN = "асеорхуАВСЕНКМОРТХУіѕјІЅЈһԛԝԁ
 GREEK, GREEK_AS_LATIN = "οανριυκχϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "oavpiukxcjABEZHIKMNOPTYX"
 GREEK_C, GREEK_AS_CYRILLIC = "οαρεκχϲΑΒΕΗΚΜΟΡΤΥΧΓΠΦ", "оарекхсАВЕНКМОРТУХГПФ"
 _INVISIBLE = (0xAD, 0x180E, *range(0x200B, 0x2010), *range(0x2060, 0x2065), 0xFEFF)
-_SPACES = r"   -   　"
-_ODD = rf"{_SPACES}­᠎​-‏⁠-⁤﻿！-￮ﬀ-ﭏĲĳŉǄ-ǌǱ-ǳ̀-ͯ҃-҉⃐-⃰Ͱ-Ͽ"
+_SPACES = r"\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
+_ODD = rf"{_SPACES}\u00ad\u180e\u200b-\u200f\u2060-\u2064\ufeff\uff01-\uffee\ufb00-\ufb4f\u0132\u0133\u0149\u01c4-\u01cc\u01f1-\u01f3\u0300-\u036f\u0483-\u0489\u20d0-\u20f0\u0370-\u03ff"
 #: What makes a word worth a look, in an article in Cyrillic and in Latin letters.
-SUSPICIOUS_C, SUSPICIOUS_L = rf"[{_ODD}{LATIN}]", rf"[{_ODD}Ѐ-ԯ]"
+SUSPICIOUS_C, SUSPICIOUS_L = rf"[{_ODD}{LATIN}]", rf"[{_ODD}\u0400-\u052f]"
 #: Spaces other than the plain one; what words consist of, full-width signs and invisible characters included.
-_SPACE, _IN_WORD = rf"[{_SPACES}]", r"[\p{L}\p{M}\p{N}­᠎​-‏⁠-⁤﻿！-￮]"
-PIECES = rf"{_IN_WORD}+\.?|{_SPACE}|[^\p{{L}}\p{{M}}\p{{N}}­᠎​-‏⁠-⁤﻿！-￮{_SPACES}]+"
+_SPACE, _IN_WORD = rf"[{_SPACES}]", r"[\p{L}\p{M}\p{N}\u00ad\u180e\u200b-\u200f\u2060-\u2064\ufeff\uff01-\uffee]"
+PIECES = rf"{_IN_WORD}+\.?|{_SPACE}|[^\p{{L}}\p{{M}}\p{{N}}\u00ad\u180e\u200b-\u200f\u2060-\u2064\ufeff\uff01-\uffee{_SPACES}]+"
 ROMAN = r"^(?=.{2})M{0,3}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"
 #: Canonical composition is tried for so many marks on one letter.
 MARKS = 4
