@@ -43,8 +43,8 @@ _URL = re.compile(rf"(?:h(?:tt|xx)ps?\s?:\s?//|w\s?w\s?w\s?{_DOT})\s?[^\s<>()\[\
 _END = re.compile(r"(?<!\b\w)[.!?…][\"'”“»’)\]]*(?=\s+[\"'„“«(–—]?\s?[^\W\d_a-zа-я]|\s*\n|\s*$)")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _TAG = re.compile(r"#\w+")
-#: A line of a table of contents: a title, leaders, a page.
-_CONTENTS = re.compile(r"(?m)^.*(?:\.\s?){3,}\s*\d+\s*$")
+#: Lines of a newspaper's own lists: a title, leaders and a page; a result; a price.
+_OWN_LIST = re.compile(r"(?m)^(?:.*(?:\.\s?){3,}\s*\d+|.*\S\s+\d{1,3}\s?[:–-]\s?\d{1,3}|.*\S\s[—–-]\s\d+(?:[.,]\d+)?)\s*$")
 
 
 def _recurrence(words: list[str]) -> tuple[float, float, int, float]:
@@ -119,7 +119,7 @@ def measure(text: str) -> tuple[float, float, float, float, float, float, int, f
     stuffed = again = regular = spread = 0.0
     lag = 0
     if runs:
-        listed = _CONTENTS.sub("", "\n".join(runs))
+        listed = _OWN_LIST.sub("", "\n".join(runs))
         size = sum(map(len, listed.split()))
         words = _WORD.findall(listed.lower())
         content = [w for w in words if w not in FUNCTION_WORDS]
