@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.ocr import CONFUSIONS, SIGNS, Model, repaired, trained
+from folio.llm.ocr import CONFUSIONS, SIGNS, Model, repaired, sliced, trained
 from folio.llm.unify import AS_LATIN, CYRILLIC, GREEK, GREEK_AS_LATIN
 from folio.session import written
 
@@ -108,7 +108,7 @@ def _fingerprints(model: Model):
         import xxhash
 
         known: dict[str, int] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             rows, a, b, size, kept = [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 found = runs(words(repaired(text, model)), known)

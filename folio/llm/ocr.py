@@ -244,9 +244,16 @@ def repaired(text: str, model: Model) -> str:
     return "\n\n".join(" ".join(joined(p)[0].split()) for p in paragraphs)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that a worker holds the results of few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _scan(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             cut, maybe, head, numbers, words = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 paragraphs, heads, found = read_page(text, model)
@@ -297,13 +304,13 @@ def undone(word: str) -> set[str]:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         rows = [list(undone(w)) for w in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.string()))], ["word", "df", "before"])
 
 
 def scanned(articles: DataFrame, gold: DataFrame, hints: DataFrame) -> DataFrame:
-    """One row for each distinct text of an article: (article_id, page_id, cut, maybe, head, numbers, words), written to the shared folder. Null and blank texts give none."""
+    """One row for each article with a text: (article_id, page_id, cut, maybe, head, numbers, words), written to the shared folder. Null and blank texts give none."""
     model = trained(gold, hints)
     kept = articles.where(F.length(F.trim("verbatim_text")) > 0).select(F.struct("article_id", "page_id").alias("__key"), "verbatim_text")
     schema = f"__key {kept.schema['__key'].dataType.simpleString()}, cut boolean, maybe array<string>, head boolean, numbers array<int>, words array<string>"
@@ -311,10 +318,13 @@ def scanned(articles: DataFrame, gold: DataFrame, hints: DataFrame) -> DataFrame
     return written(done.select("__key.article_id", "__key.page_id", "cut", "maybe", "head", "numbers", "words"), "scan")
 
 
-def misread_words(scan: DataFrame) -> DataFrame:
+def word_counts(scan: DataFrame) -> DataFrame:
+    """(word, df): in how many articles each word stands, over all articles; written to the shared folder."""
+    return written(scan.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df")), "words")
+
+
+def misread_words(counts: DataFrame) -> DataFrame:
     """(word, true_word): the words of the corpus that are misread, each with the most frequent word it may stand for; null where only a single sign between its letters tells."""
-    counts = scan.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    counts = written(counts, "words")
     able = "[" + "".join(sorted({a[0] for a, _ in CONFUSIONS} | set(SIGNS))).replace("^", r"\^") + "]"
     rare = counts.where(F.col("word").rlike(able)).mapInArrow(_candidates, "word string, df bigint, before array<string>")
     long = rare.select("word", "df", F.explode("before").alias("true_word")).where((F.length("true_word") >= 4) | ~F.col("word").rlike(r"^\p{L}+$"))
@@ -322,7 +332,7 @@ def misread_words(scan: DataFrame) -> DataFrame:
     found = long.join(known, "true_word").where(F.col("true_df") >= TIMES * F.col("df"))
     by_word = found.groupBy("word").agg(F.max_by("true_word", F.struct("true_df", "true_word")).alias("true_word"))
     signed = counts.where(F.col("word").rlike(r"\p{L}[\d\^|~¦†•§¢£¥]\p{L}")).select("word", F.lit(None).cast("string").alias("true_word"))
-    return by_word.unionByName(signed.join(by_word, "word", "left_anti"))
+    return by_word.unionByName(signed).groupBy("word").agg(F.max("true_word").alias("true_word"))
 
 
 def noise(articles: DataFrame, pages: DataFrame, gold: DataFrame, hints: DataFrame) -> DataFrame:
@@ -334,15 +344,17 @@ def noise(articles: DataFrame, pages: DataFrame, gold: DataFrame, hints: DataFra
     are none; other columns are not read. Words are counted over all articles; only gold reads and names reach the driver.
     """
     scan = scanned(articles, gold, hints)
+    counts = word_counts(scan)
     numbered = pages.where("page_id is not null").groupBy("page_id").agg(F.any_value("page_number", True).alias("page_number"))
     number = scan.where(F.size("numbers") > 0).join(numbered, "page_id", "left").where(F.col("page_number").isNull() | F.array_contains("numbers", F.col("page_number")))
-    words = scan.select(F.explode("words").alias("word")).where(F.col("word").contains("-")).groupBy("word").agg(F.count("*").alias("with_hyphen"))
     maybe = scan.where(~F.col("cut")).select("article_id", F.explode("maybe").alias("word"))
-    asked = maybe.select("word", F.regexp_replace("word", "-", "").alias("without")).distinct()
-    bare = scan.select(F.explode("words").alias("without")).join(asked.select("without").distinct(), "without", "left_semi").groupBy("without").agg(F.count("*").alias("n"))
-    own = asked.join(words, "word").join(bare, "without", "left").where(F.col("with_hyphen") >= F.coalesce("n", F.lit(0))).select("word")
+    whole = counts.where(F.col("word").contains("-")).select("word", F.col("df").alias("with_hyphen"), F.regexp_replace("word", "-", "").alias("without"))
+    # Words that the corpus has with their hyphen, not less often than without.
+    bare = counts.select(F.col("word").alias("without"), F.col("df").alias("n"))
+    own = maybe.select("word").distinct().join(whole, "word").join(bare, "without", "left").where(F.col("with_hyphen") >= F.coalesce("n", F.lit(0))).select("word")
     cut = scan.where("cut").select("article_id").unionByName(maybe.join(own, "word", "left_anti").select("article_id"))
-    misread = scan.select("article_id", F.explode("words").alias("word")).join(misread_words(scan).select("word"), "word", "left_semi")
+    wrong = written(misread_words(counts).select("word"), "misread")
+    misread = scan.select("article_id", F.explode("words").alias("word")).join(wrong, "word", "left_semi")
     kinds = {"hyphen": cut, "misread": misread, "running_head": scan.where("head"), "page_number": number}
     out = None
     for kind, rows in kinds.items():
@@ -353,7 +365,7 @@ def noise(articles: DataFrame, pages: DataFrame, gold: DataFrame, hints: DataFra
 
 def _repair(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [None if t is None else repaired(t, model) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["__key", "__text"])
 
