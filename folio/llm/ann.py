@@ -130,15 +130,13 @@ def _assign(centres: dict[str, np.ndarray], each: int):
 def _side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Nodes of crowded blocks go to parts of them by the sides of random planes they lie on."""
     for batch in batches:
-        out = []
-        for vec, bits, block in zip(*[batch.column(k).to_pylist() for k in (2, 4, 3)], strict=True):
-            side = 0
-            if bits:
-                v = np.frombuffer(vec, np.float32)
-                planes = np.random.default_rng(block).standard_normal((bits, len(v)), np.float32)
-                side = int(((planes @ v) > 0) @ (1 << np.arange(bits)))
-            out.append(side)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.int32())], ["node", "model", "vec", "block", "side"])
+        bits = batch.column(4).to_numpy()
+        out = np.zeros(len(bits), np.int32)
+        for i in np.flatnonzero(bits):
+            v = np.frombuffer(batch.column(2)[int(i)].as_py(), np.float32)
+            planes = np.random.default_rng(batch.column(3)[int(i)].as_py()).standard_normal((int(bits[i]), len(v)), np.float32)
+            out[i] = int(((planes @ v) > 0) @ (1 << np.arange(int(bits[i]))))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out)], ["node", "model", "vec", "block", "side"])
 
 
 def _block(kept: int):
@@ -230,13 +228,10 @@ def graph_of(nodes: DataFrame, kept: int = KEPT, each: int = BLOCKS_EACH, rounds
     centres = centroids(nodes) if centres is None else centres
     placed = nodes.select("node", "model", "vec").mapInArrow(_assign(centres, each), "node bigint, model string, vec binary, block int")
     sizes = placed.groupBy("model", "block").count()
-    large = {(r.model, r.block): int(np.ceil(np.log2(r["count"] / LARGEST))) for r in sizes.where(F.col("count") > LARGEST).collect()}
-    if large:
-        keys = F.concat_ws(":", "model", "block")
-        bits = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for (m, b), n in large.items() for x in (f"{m}:{b}", n)]), keys), F.lit(0))
-        placed = placed.withColumn("bits", bits).mapInArrow(_side, "node bigint, model string, vec binary, block int, side int")
-    else:
-        placed = placed.withColumn("side", F.lit(0))
+    # One row for each block, of which there are at most MOST_MODELS times 1024.
+    large = sizes.where(F.col("count") > LARGEST).select("model", "block", F.ceil(F.log2(F.col("count") / LARGEST)).cast("int").alias("bits"))
+    placed = placed.join(F.broadcast(large), ["model", "block"], "left").select("node", "model", "vec", "block", F.coalesce("bits", F.lit(0)).alias("bits"))
+    placed = placed.mapInArrow(_side, "node bigint, model string, vec binary, block int, side int")
     first = placed.groupBy("model", "block", "side").applyInArrow(_block(kept), "node bigint, to bigint, sim float").withColumn("new", F.lit(True))
     graph = written(_best(first, kept), "graph")
     small = written(nodes.select("node", "vec").mapInArrow(_eight_bits, "node bigint, vec binary"), "eightbit")
