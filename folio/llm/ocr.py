@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.unify import AS_CYRILLIC, AS_LATIN, CYRILLIC, GREEK, GREEK_AS_CYRILLIC, GREEK_AS_LATIN, GREEK_C, LATIN
 from folio.session import written
 
 #: Bounds of what the model is trained on: gold reads, and names of papers.
@@ -48,6 +49,8 @@ _TAIL = re.compile(rf"([^\W_][\w{re.escape(SIGNS)}]*)([{HYPHENS}])\s*$")
 _LEAD = re.compile(rf"^\s*([^\W_][\w{re.escape(SIGNS)}]*)")
 _INNER = re.compile(rf"[^\W\d_][\d{re.escape(SIGNS)}]+[^\W\d_]")
 STATES = ("body", "header", "break")
+_SCRIPTS_MEET = re.compile(r"[a-z][\u0370-\u04ff]|[\u0370-\u04ff][a-z]|[\u0370-\u03ff][\u0400-\u04ff]|[\u0400-\u04ff][\u0370-\u03ff]")
+_TO_CYRILLIC, _TO_LATIN = str.maketrans(LATIN + GREEK_C, AS_CYRILLIC + GREEK_AS_CYRILLIC), str.maketrans(CYRILLIC + GREEK, AS_LATIN + GREEK_AS_LATIN)
 
 
 def plain(text: str) -> str:
@@ -61,6 +64,11 @@ def plain(text: str) -> str:
     return text if unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text)
 
 
+def one_script(words: list[str]) -> list[str]:
+    """Lower-case words whose letters are of several scripts in the one that most are of, as far as they look like it."""
+    return [w.translate(_TO_CYRILLIC if 2 * sum("а" <= c <= "я" for c in w) > len(w) else _TO_LATIN) if not w.isascii() and _SCRIPTS_MEET.search(w) else w for w in words]
+
+
 def squeezed(text: str) -> str:
     return _NOT_LETTERS.sub("", text).lower()
 
@@ -261,10 +269,8 @@ def _scan(model: Model):
                 for p in paragraphs:
                     whole, m, c = joined(p)
                     certain |= c
-                    unsure.update(m)
-                    seen.update(_WORD.findall(whole.lower()))
-                for h in heads:
-                    seen.update(_WORD.findall(h.lower()))
+                    unsure.update(one_script(m))
+                    seen.update(one_script(_WORD.findall(whole.lower())))
                 cut.append(certain)
                 maybe.append(list(unsure))
                 head.append(any(f[1] for f in features(heads, model.names)))
@@ -341,7 +347,8 @@ def noise(articles: DataFrame, pages: DataFrame, gold: DataFrame, hints: DataFra
     A line in the state header counts if it has a paper's name, one in the state break if its number is the page's; where the page
     isn't known, any. A plain hyphen at a line end counts unless the corpus has the word with its hyphen at least as often as
     without. Null, empty and blank texts have no noise; repeated rows count once; a null article_id is kept; without rows there
-    are none; other columns are not read. Words are counted over all articles; only gold reads and names reach the driver.
+    are none; other columns are not read. Words are counted over the body of all articles, for running heads are damaged in other
+    ways; only gold reads and names reach the driver.
     """
     scan = scanned(articles, gold, hints)
     counts = word_counts(scan)
