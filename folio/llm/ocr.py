@@ -49,6 +49,7 @@ _TAIL = re.compile(rf"([^\W_][\w{re.escape(SIGNS)}]*)([{HYPHENS}])\s*$")
 _LEAD = re.compile(rf"^\s*([^\W_][\w{re.escape(SIGNS)}]*)")
 _INNER = re.compile(rf"[^\W\d_][\d{re.escape(SIGNS)}]+[^\W\d_]")
 STATES = ("body", "header", "break")
+_FINISHED = re.compile(r"[.!?…:][\"”“»’)\]]*\s*$")
 _SCRIPTS_MEET = re.compile(r"[a-z][\u0370-\u04ff]|[\u0370-\u04ff][a-z]|[\u0370-\u03ff][\u0400-\u04ff]|[\u0400-\u04ff][\u0370-\u03ff]")
 _TO_CYRILLIC, _TO_LATIN = str.maketrans(LATIN + GREEK_C, AS_CYRILLIC + GREEK_AS_CYRILLIC), str.maketrans(CYRILLIC + GREEK, AS_LATIN + GREEK_AS_LATIN)
 
@@ -198,20 +199,29 @@ def read_page(text: str, model: Model) -> tuple[list[list[str]], list[str], list
     """The body lines by paragraph, the running heads and the page numbers. A blank line beside a header or number divides no paragraph that goes on."""
     raw = plain(text).split("\n")
     lines = [x for x in raw if x.strip()]
-    states = iter(model.label(lines)) if lines else iter(())
+    states = model.label(lines) if lines else []
     paragraphs: list[list[str]] = [[]]
     heads: list[str] = []
     numbers: list[int] = []
     blank = noise = False
+    at = -1
     for x in raw:
         if not x.strip():
             blank = True
             continue
-        state = next(states)
+        at += 1
+        state = states[at]
+        before = paragraphs[-1]
+        unfinished = bool(before) and not _FINISHED.search(before[-1])
+        if state == "break":
+            found = _NUMBER.fullmatch(x.strip())
+            if found:
+                numbers.append(int(found[1]))
+            # A number that ends a sentence may stand alone on its last line: the text ends there, or goes on with a capital.
+            if found and not blank and unfinished and x.rstrip().endswith(".") and x.strip()[0].isdigit() and (at + 1 == len(lines) or not lines[at + 1].lstrip()[0].islower()):
+                state = "body"
         if state == "body":
-            before = paragraphs[-1]
-            goes_on = noise and before and not re.search(r"[.!?…:][\"”“»’)\]]*\s*$", before[-1])
-            if blank and before and not goes_on:
+            if blank and before and not (noise and unfinished):
                 paragraphs.append([])
             paragraphs[-1].append(x)
             blank = noise = False
@@ -219,10 +229,6 @@ def read_page(text: str, model: Model) -> tuple[list[list[str]], list[str], list
         noise = True
         if state == "header":
             heads.append(x.strip())
-        else:
-            found = _NUMBER.fullmatch(x.strip())
-            if found:
-                numbers.append(int(found[1]))
     return [p for p in paragraphs if p], heads, numbers
 
 

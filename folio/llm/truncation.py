@@ -53,9 +53,9 @@ def ending(text: str, model: Model) -> str:
     listed = sum(bool(_LIST_LINE.fullmatch(x)) and len(x.split()) <= 6 for x in lines)
     if listed * 2 > len(lines) and _LIST_LINE.fullmatch(last):
         return "list"
-    # Verse: short lines, and most stanzas before the last end without a full stop.
+    # Verse: short lines, and most stanzas before the last, which is no shorter than they, end without a full stop.
     before = blocks[:-1]
-    if len(before) >= 1 and sum(not _DONE.search(b[-1]) for b in before) * 2 > len(before) and len(lines) > len(blocks) and len(blocks[-1]) == len(blocks[0]):
+    if len(before) >= 1 and sum(not _DONE.search(b[-1]) for b in before) * 2 > len(before) and len(lines) > len(blocks) and len(blocks[-1]) >= min(map(len, before)):
         return "verse"
     return "open"
 
