@@ -16,7 +16,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.unify import AS_CYRILLIC, AS_LATIN, CYRILLIC, GREEK, GREEK_AS_CYRILLIC, GREEK_AS_LATIN, GREEK_C, LATIN
@@ -390,3 +390,28 @@ def repair(records: DataFrame, key: str, gold: DataFrame, hints: DataFrame, text
     kept = records.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
     done = kept.mapInArrow(_repair(trained(gold, hints)), f"__key {kept.schema['__key'].dataType.simpleString()}, __text string")
     return done.select(F.col("__key").alias(key), F.col("__text").alias("repaired_text"))
+
+
+#: Words and what stands between them, as the JVM divides a text.
+_PIECES = r"[\p{L}\p{N}\^|~¦†•§¢£¥'’-]+|[^\p{L}\p{N}\^|~¦†•§¢£¥'’-]+"
+
+
+def corrected(articles: DataFrame, gold: DataFrame, hints: DataFrame) -> DataFrame:
+    """(article_id, repaired_text): as repair() has it, and misread words written as the word that they most likely were.
+
+    What they were is told by the counts of all words (see misread_words); capitals stay. Null texts stay null; repeated rows stay.
+    """
+    wrong = written(misread_words(word_counts(scanned(articles, gold, hints))).where("true_word is not null"), "misread")
+    fixed = repair(articles, "article_id", gold, hints).withColumn("key", F.xxhash64("article_id", "repaired_text"))
+    words = fixed.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("repaired_text"), F.lit(_PIECES), F.lit(0)))).alias("word"))
+    found = words.join(wrong, "word").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("word", "true_word"))).alias("true"))
+    both = fixed.join(found, "key", "left")
+
+    def right(p: Column) -> Column:
+        true = F.element_at(F.col("true"), F.lower(p))
+        first = F.left(p, F.lit(1))
+        cased = F.when((F.upper(p) == p) & (F.length(p) > 1), F.upper(true)).when(F.upper(first) == first, F.concat(F.upper(F.left(true, F.lit(1))), F.substr(true, F.lit(2)))).otherwise(true)
+        return F.coalesce(cased, p)
+
+    text = F.array_join(F.transform(F.regexp_extract_all("repaired_text", F.lit(_PIECES), F.lit(0)), right), "")
+    return both.select("article_id", F.when(F.col("true").isNull(), F.col("repaired_text")).otherwise(text).alias("repaired_text"))

@@ -234,6 +234,8 @@ def test_noise(spark, gold, hints):
     assert got == {("h", "hyphen"), ("c", "hyphen"), ("m", "misread"), ("s", "misread"), ("r", "running_head"), ("n", "page_number"), ("q", "page_number")}
     assert ocr.noise(df.limit(0), pages, gold, hints).count() == 0
     fixed = {r.article_id: r.repaired_text for r in ocr.repair(df, "article_id", gold, hints).collect()}
+    true = {r.article_id: r.repaired_text for r in ocr.corrected(df, gold, hints).collect()}
+    assert true["m"] == true["s"] == "Градската печатница отложи събор." and true["x"] is None and len(true) == len(rows)
     assert fixed["x"] is None and fixed["e"] == "" and fixed["n"] == "Един ред тук и още до края на него."
 
 
