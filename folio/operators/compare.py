@@ -20,7 +20,10 @@ _ABRUPT = re.compile(r"\w-$|[,;:—–(\[«]$")
 
 
 def _over(df: DataFrame, columns: list[str | Column], row: Callable, schema: str, names: list[str], kinds: list[pa.DataType]) -> DataFrame:
-    """df's first column, and what `row` makes of the others: one tuple, or a list of them."""
+    """df's first column, and what `row` makes of the others: one tuple, or a list of them.
+
+    A row costs far more time than its size tells, so rows are spread over all cores first, which adaptive execution doesn't undo.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -33,7 +36,8 @@ def _over(df: DataFrame, columns: list[str | Column], row: Callable, schema: str
             columns_ = list(zip(*out, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *[pa.array(list(c), k) for c, k in zip(columns_, kinds, strict=True)]], ["id", *names])
 
-    kept = df.select(*columns)
+    spark = df.sparkSession
+    kept = df.select(*columns).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
     return kept.mapInArrow(run, f"id {kept.schema[0].dataType.simpleString()}, {schema}")
 
 
