@@ -42,9 +42,12 @@ def to_pixels(polygon: Column, width: Column, height: Column) -> Column:
 
 
 def lower_edge_scaled(polygon: Column, factor: Column) -> Column:
-    """The polygon, its height multiplied from the top and kept within 0 to 1000."""
-    top = F.array_min(ys(polygon))
-    return F.transform(polygon, lambda p: F.array(F.get(p, F.lit(0)), F.greatest(F.lit(0.0), F.least(F.lit(1000.0), top + (F.get(p, F.lit(1)) - top) * factor))))
+    """A quadrilateral (upper left and right, lower right and left), its sides multiplied from the top and kept within 0 to 1000."""
+    def moved(top: int, bottom: int) -> Column:
+        a, b = polygon[top], polygon[bottom]
+        return F.array(*[F.greatest(F.lit(0.0), F.least(F.lit(1000.0), a[k] + (b[k] - a[k]) * factor)) for k in (0, 1)])
+
+    return F.array(polygon[0], polygon[1], moved(1, 2), moved(0, 3))
 
 
 def corners(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

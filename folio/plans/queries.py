@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folio.functions import geometry, text
-from folio.operators import compare, entities, layout, passages, quality, search, tables
+from folio.operators import compare, entities, layout, passages, quality, reads, search, tables
 from folio.plans import archive
 from folio.session import read
 from folio.streaming import progress
@@ -424,6 +424,59 @@ def agreement_ratio(spark, sf_dir):
     return compare.agreement(_gold(spark, sf_dir))
 
 
+_LOW = "lower(a.verbatim_text)"
+
+
+@query(
+    f"WITH o AS (SELECT *, row_number() OVER (PARTITION BY article_id, reader ORDER BY read_id, received_at) AS n FROM article_input WHERE verbatim_text IS NOT NULL), a AS (SELECT * FROM o WHERE n = 1 AND reader = 'A'), b AS (SELECT * FROM o WHERE n = 1 AND reader = 'B'), "
+    f"j AS (SELECT a.article_id AS id, {_trim('a.verbatim_text')} = {_trim('b.verbatim_text')} AS same, a.confidence AS ca, b.confidence AS cb, coalesce(len(a.uncertainties), 0) + coalesce(len(b.uncertainties), 0) AS u, contains({_LOW}, '[неясно') OR contains({_LOW}, '[нечетливо') AS marked FROM a JOIN b USING (article_id)) "
+    "SELECT id, CASE WHEN same AND ca IS NOT NULL AND cb IS NOT NULL AND least(ca, cb) >= 0.9 AND u = 0 AND NOT marked THEN 'agreement' ELSE 'adjudicate' END AS route, "
+    "list_filter([CASE WHEN NOT same THEN 'reader_disagreement' END, CASE WHEN least(ca, cb) < 0.85 THEN 'low_confidence' END, CASE WHEN u > 0 THEN 'reported_uncertainty' END], lambda x: x IS NOT NULL) AS reasons FROM j"
+)
+def read_routing(spark, sf_dir):
+    once = tables.first_by(read(spark, sf_dir, "article_input").where("verbatim_text is not null"), ["article_id", "reader"], F.asc("read_id"), F.asc("received_at"))
+    n = F.coalesce(F.size("uncertainties"), F.lit(0))
+    a = once.where("reader = 'A'").select(F.col("article_id").alias("id"), F.col("verbatim_text").alias("a"), F.col("confidence").alias("a_confidence"), n.alias("n"))
+    b = once.where("reader = 'B'").select(F.col("article_id").alias("id"), F.col("verbatim_text").alias("b"), F.col("confidence").alias("b_confidence"), n.alias("m"))
+    return reads.routed(a.join(b, "id").withColumn("uncertain", F.greatest(F.col("n"), F.lit(0)) + F.greatest(F.col("m"), F.lit(0))))
+
+
+@query("SELECT page_id, count(*) AS articles, coalesce(min(confidence), 0) AS confidence, coalesce(list(article_id ORDER BY article_id) FILTER (coalesce(uncertainties_json, '[]') <> '[]'), []) AS uncertain, count(*) FILTER (coalesce(length(verbatim_text), 0) = 0) AS without_text FROM articles GROUP BY page_id")
+def page_summary(spark, sf_dir):
+    return reads.summary(read(spark, sf_dir, "articles"), "page_id")
+
+
+@query("SELECT page_id, source_sha256 FROM pages WHERE page_id <> 'page:' || source_sha256 UNION ALL SELECT a.page_id, NULL FROM (SELECT DISTINCT page_id FROM articles) a WHERE a.page_id NOT IN (SELECT page_id FROM pages)")
+def source_hash_guard(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages").select("page_id", "source_sha256")
+    lost = read(spark, sf_dir, "articles").select("page_id").distinct().join(pages, "page_id", "left_anti").select("page_id", F.lit(None).cast("string").alias("source_sha256"))
+    return pages.where(F.col("page_id") != F.concat(F.lit("page:"), "source_sha256")).unionByName(lost)
+
+
+@query("SELECT DISTINCT event_id, scan_id, stage FROM stage_events WHERE regexp_matches(stage, '^(read|crop|save|pub)')")
+def stage_prefixes(spark, sf_dir):
+    return read(spark, sf_dir, "stage_events").where(F.col("stage").rlike("^(read|crop|save|pub)")).select("event_id", "scan_id", "stage").distinct()
+
+
+@query("SELECT page_id, lower(regexp_extract(source_path, '[.]([^./]+)$', 1)) IN ('png', 'jpg', 'jpeg', 'tif', 'tiff', 'webp', 'bmp') AS image FROM pages")
+def suffix_allowed(spark, sf_dir):
+    from folio.sources.files import IMAGES
+
+    return read(spark, sf_dir, "pages").select("page_id", F.lower(F.regexp_extract("source_path", r"\.([^./]+)$", 1)).isin(*IMAGES).alias("image"))
+
+
+@query("SELECT l_orderkey, bool_or(l_tax > 0.05) AS overflow, max(l_quantity) AS bottom_overflow_px, max(l_discount) AS right_overflow_px, max(l_quantity / greatest(1.0, l_extendedprice)) AS bottom_overflow_ratio, max(l_discount / greatest(1.0, l_quantity)) AS right_overflow_ratio, min(l_tax) AS minimum_fill_ratio, max(l_tax) AS maximum_fill_ratio, min(l_extendedprice) AS minimum_box_height_px FROM lineitem GROUP BY l_orderkey")
+def responsive_metrics(spark, sf_dir):
+    """Lines of an order stand for a block's measures at several widths."""
+    m = read(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_tax") > 0.05).alias("overflow"), F.col("l_quantity").alias("bottom_overflow_px"), F.col("l_discount").alias("right_overflow_px"), F.col("l_extendedprice").alias("box_height_px"), F.col("l_quantity").alias("box_width_px"), F.col("l_tax").alias("fill_ratio"))
+    return reads.rendered(m, "l_orderkey")
+
+
+@query()
+def article_fingerprints(spark, sf_dir):
+    return read(spark, sf_dir, "articles").select("article_id", reads.fingerprint("article_id", "article_order", "heading", "verbatim_text", "uncertainties_json").alias("sha"))
+
+
 # Layouts ---------------------------------------------------------------------------------------------------------------------
 
 _TYPED = "d AS (SELECT DISTINCT layout_id, page_id, regions, articles FROM manual_layouts), r0 AS (SELECT layout_id, page_id, unnest(regions) AS r, unnest(range(len(regions))) AS pos FROM d WHERE regions IS NOT NULL), r AS (SELECT layout_id, page_id, pos, r.* FROM r0 WHERE r IS NOT NULL), a0 AS (SELECT layout_id, unnest(articles) AS a FROM d WHERE articles IS NOT NULL), a AS (SELECT layout_id, a.* FROM a0 WHERE a IS NOT NULL), m AS (SELECT DISTINCT layout_id, id AS article, unnest(region_ids) AS id FROM a)"
@@ -534,6 +587,21 @@ def quad_validity(spark, sf_dir):
     return rows.select("layout_id", "pos", geometry.quad_valid(F.col("quad")).alias("valid"))
 
 
+@query(
+    f"WITH {_TYPED}, o AS (SELECT layout_id, id AS article_id, min(reading_order) AS ao FROM a GROUP BY 1, 2), j AS (SELECT r.*, o.ao, CASE WHEN r.article_id IS NULL THEN 0 WHEN o.ao IS NOT NULL THEN 1 ELSE 2 END AS rank FROM r LEFT JOIN o USING (layout_id, article_id)) "
+    "SELECT layout_id, id AS region_id, CAST(pos AS INTEGER) AS pos, CAST(row_number() OVER (PARTITION BY layout_id ORDER BY rank, ao NULLS LAST, CASE WHEN rank = 1 THEN article_id END NULLS FIRST, reading_order NULLS LAST, id NULLS FIRST, pos) AS INTEGER) AS position FROM j"
+)
+def flatten_order(spark, sf_dir):
+    regions, articles = layout.exploded(read(spark, sf_dir, "manual_layouts").dropDuplicates(["layout_id"]))
+    r = regions.select("layout_id", "pos", F.col("r.id").alias("region_id"), F.col("r.article_id").alias("article_id"), F.col("r.reading_order").alias("reading_order"))
+    return reads.two_level_order(r, articles.select("layout_id", "a.id", "a.reading_order"), "layout_id")
+
+
+@query(f"WITH {_TYPED} SELECT layout_id, CAST(pos AS INTEGER) AS pos, coalesce(needs_enhancement, false) OR coalesce(confidence < 0.85, true) AS hard FROM r")
+def reader_choice(spark, sf_dir):
+    return _typed_regions(spark, sf_dir).select("layout_id", "pos", reads.hard(F.col("r.needs_enhancement"), F.col("r.confidence")).alias("hard"))
+
+
 # Scans -----------------------------------------------------------------------------------------------------------------------
 
 
