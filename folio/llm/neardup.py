@@ -27,7 +27,6 @@ from folio.session import written
 RUN, BLOCKS, SYMBOLS, SIMILARITY = 3, 20, 4, 0.4
 
 _LOOKS = str.maketrans(CYRILLIC + GREEK, AS_LATIN + GREEK_AS_LATIN)
-_MIXED = re.compile(rf"[\w{re.escape(SIGNS)}]*[^\W\d_][\d{re.escape(SIGNS)}][\w{re.escape(SIGNS)}]*|[\d{re.escape(SIGNS)}]+[^\W\d_][\w{re.escape(SIGNS)}]*")
 _SIGNED = [str.maketrans({a: b for a, b in reversed(CONFUSIONS) if not a.isalpha() and (("а" <= b <= "я") == c)}) for c in (False, True)]
 _WORDS = re.compile(rf"[\w{re.escape(SIGNS)}]+")
 _PLAIN = re.compile(r"[^\W_]+")
@@ -40,12 +39,6 @@ _RUN = _RNG.integers(1, 1 << 63, RUN, dtype=np.uint64) * np.uint64(2) + np.uint6
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _unsigned(m: re.Match) -> str:
-    """Signs and digits inside a word are the letters they were taken from."""
-    word = m[0]
-    return word.translate(_SIGNED[bool(_CYRILLIC.search(word))])
-
-
 def words(text: str) -> list[str]:
     """The words of a repaired text, case ignored."""
     found = _WORDS.findall(text.lower())
@@ -56,7 +49,8 @@ def words(text: str) -> list[str]:
         if w.isalpha() or w.isdigit():
             out.append(w)
         else:
-            out += _PLAIN.findall(_MIXED.sub(_unsigned, w))
+            # Signs and digits among letters are the letters they were taken from.
+            out += _PLAIN.findall(w.translate(_SIGNED[bool(_CYRILLIC.search(w))]) if any(map(str.isalpha, w)) else w)
     return out
 
 

@@ -44,7 +44,7 @@ _ISSUE = re.compile(r"(?:\bброй|\bбр\.|\bno\.?|\bnr\.?|\bn°|№|\bnum[ée
 _DATE = re.compile(r"\b(?:1[6-9]|20)\d\d\b")
 _SPACED = re.compile(r"(?:[^\W\d_]\s+){4,}[^\W\d_]\b")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
-_WORD = re.compile(r"[^\W\d_](?:[\w^|~¦†•§¢£¥'’-]*\w)?|[\d^|~¦†•§¢£¥]+[^\W\d_][\w^|~¦†•§¢£¥]*")
+_WORD = re.compile(r"[^\W\d_](?:[\w^|~¦†•§¢£¥'’-]*\w)?|(?<![\d^|~¦†•§¢£¥])[\d^|~¦†•§¢£¥]+[^\W\d_][\w^|~¦†•§¢£¥]*")
 _TAIL = re.compile(rf"([^\W_][\w{re.escape(SIGNS)}]*)([{HYPHENS}])\s*$")
 _LEAD = re.compile(rf"^\s*([^\W_][\w{re.escape(SIGNS)}]*)")
 _INNER = re.compile(rf"[^\W\d_][\d{re.escape(SIGNS)}]+[^\W\d_]")

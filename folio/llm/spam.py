@@ -43,8 +43,17 @@ _URL = re.compile(rf"(?:h(?:tt|xx)ps?\s?:\s?//|w\s?w\s?w\s?{_DOT})\s?[^\s<>()\[\
 _END = re.compile(r"(?<!\b\w)[.!?…][\"'”“»’)\]]*(?=\s+[\"'„“«(–—]?\s?[^\W\d_a-zа-я]|\s*\n|\s*$)")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _TAG = re.compile(r"#\w+")
-#: Lines of a newspaper's own lists: a title, leaders and a page; a result; a price.
-_OWN_LIST = re.compile(r"(?m)^(?:.*(?:\.\s?){3,}\s*\d+|.*\S\s+\d{1,3}\s?[:–-]\s?\d{1,3}|.*\S\s[—–-]\s\d+(?:[.,]\d+)?)\s*$")
+#: Ends of lines of a newspaper's own lists: a result, a price.
+_RESULT, _PRICE = re.compile(r"\s\d{1,3}\s?[:–-]\s?\d{1,3}$"), re.compile(r"\s[—–-]\s\d+(?:[.,]\d+)?$")
+
+
+def _own_line(line: str) -> bool:
+    """A result, a price, or a title, leaders and a page."""
+    line = line.rstrip()
+    if not line or not line[-1].isdigit():
+        return False
+    end = line[-24:]
+    return line[-60:].rstrip("0123456789 ").replace(" ", "").endswith("...") or bool(_RESULT.search(end) or _PRICE.search(end))
 
 
 def _recurrence(words: list[str]) -> tuple[float, float, int, float]:
@@ -119,7 +128,7 @@ def measure(text: str) -> tuple[float, float, float, float, float, float, int, f
     stuffed = again = regular = spread = 0.0
     lag = 0
     if runs:
-        listed = _OWN_LIST.sub("", "\n".join(runs))
+        listed = "\n".join(x for x in "\n".join(runs).split("\n") if not _own_line(x))
         size = sum(map(len, listed.split()))
         words = _WORD.findall(listed.lower())
         content = [w for w in words if w not in FUNCTION_WORDS]

@@ -22,6 +22,8 @@ from folio.session import written
 
 #: Marks that are left where a text was cut; an ellipsis at the very end is one.
 MARK = re.compile(r"(?:\[[^\]\n]{0,40}(?:truncated|cut off|съкратено|отрязано)[^\]\n]{0,20}\]|<[^>\n]{0,30}truncated[^>\n]{0,20}>|�|…|\.{3}\s?[)\]]?)\W*$", re.I)
+#: A mark or a note at the end, and a line of a list, are no longer than this.
+REACH = 200
 #: Endings of whole texts without a full stop.
 INSTALMENT = re.compile(r"\((?:[^()\n]{0,40}\b)?(?:следва\w*|продълж\w*|край\w*|to be continued|continued|fortsetzung\b[^()\n]*|schlu(?:ss|ß)\b[^()\n]*|à suivre|a suivre|suite\b[^()\n]*|fin)\.?\)?\W*$", re.I)
 _END = re.compile(r"[.!?][\"'”“»’)\]]*$")
@@ -36,22 +38,22 @@ def ending(text: str, model: Model) -> str:
     text = plain(text).rstrip()
     if not text:
         return "done"
-    if MARK.search(text):
+    if MARK.search(text[-REACH:]):
         return "marked"
     paragraphs, _, _ = read_page(text, model)
     if not paragraphs:
         return "done"
     blocks = [[x.strip() for x in p] for p in paragraphs]
     last = blocks[-1][-1]
-    if INSTALMENT.search(last):
+    if INSTALMENT.search(last[-REACH:]):
         return "instalment"
     if _END.search(last) and not _INITIAL.search(last):
         return "done"
     if _SIGNATURE.fullmatch(" ".join(blocks[-1])):
         return "signature"
     lines = [x for b in blocks for x in b]
-    listed = sum(bool(_LIST_LINE.fullmatch(x)) and len(x.split()) <= 6 for x in lines)
-    if listed * 2 > len(lines) and _LIST_LINE.fullmatch(last):
+    listed = [len(x) <= REACH and len(x.split()) <= 6 and bool(_LIST_LINE.fullmatch(x)) for x in lines]
+    if sum(listed) * 2 > len(lines) and listed[-1]:
         return "list"
     # Verse: short lines, and most stanzas before the last, which is no shorter than they, end without a full stop.
     before = blocks[:-1]

@@ -391,3 +391,15 @@ def test_nothing_else_imports_this():
                 if n.endswith(".py"):
                     with open(os.path.join(folder, n), encoding="utf-8") as f:
                         assert not re.search(r"folio\.llm|from \.+llm", f.read()), n
+
+
+@pytest.mark.parametrize("part", [".", ". ", "1", "^", "8а", "…", "w w w . ", "а-\n", "7\n", " \n", "   a", "漢", "<truncated", "a 1\n"])
+def test_time_is_linear(model, part):
+    import time
+
+    t = (part * 40_000)[:40_000] + "x"
+    find = unify._finder(unify.SUSPICIOUS_C)
+    for f in (spam.measure, lambda t: ocr.repaired(t, model), lambda t: ocr._WORD.findall(t), lambda t: truncation.ending(t, model), lambda t: splitting.pieces(t, 2880, 160), find, lambda t: neardup.runs(neardup.words(t), {})):
+        began = time.perf_counter()
+        f(t)
+        assert time.perf_counter() - began < 3
