@@ -57,7 +57,8 @@ def nfc(text: pa.Array) -> pa.Array:
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    # White space is tried at the start of a run only, so that long runs within a text cost no more than their length.
+    return F.regexp_replace(text, rf"^{SPACE}+|(?<!{SPACE}){SPACE}+$", "")
 
 
 def folded(text: Column) -> Column:
@@ -102,7 +103,7 @@ def normalize_agreement(text: Column) -> Column:
 def normalize_comparison(text: Column) -> Column:
     """Blanks collapsed and trimmed within lines; line breaks kept, but for blank lines at both ends."""
     lines = F.transform(F.split(unix_lines(nfc(text)), "\n"), lambda x: trimmed(F.regexp_replace(x, r"[ \t]+", " ")))
-    return F.regexp_replace(F.array_join(lines, "\n"), r"^\n+|\n+$", "")
+    return F.regexp_replace(F.array_join(lines, "\n"), r"^\n+|(?<!\n)\n+$", "")
 
 
 def anchor_key(text: Column) -> Column:
