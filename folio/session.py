@@ -40,10 +40,25 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     """df as a table written to the shared folder: cuts the lineage, and survives the loss of executors."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables written by this process, by the application they belong to.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def forget(spark: SparkSession) -> int:
+    """Deletes what written() has made so far; results that still read it must be done. Returns how many tables there were."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
+
+
 def importable(spark: SparkSession) -> SparkSession:
     """The session, its Python workers told where this package lies, whatever folder they start in. Elsewhere than on shared disks, give it by --py-files."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -1,5 +1,6 @@
 import json
 import math
+import os
 import random
 
 import numpy as np
@@ -269,3 +270,13 @@ def test_images_and_paths(spark, tmp_path):
         files.inside(str(tmp_path), str(tmp_path / ".." / "x"))
 
 
+
+
+def test_written_and_forgotten(spark):
+    from folio.session import forget, importable, written
+
+    forget(spark)
+    df = written(spark.createDataFrame([(1, None)], "a int, b string"), "t")
+    path = df.inputFiles()[0]
+    assert df.collect() == [(1, None)] and os.path.exists(path.replace("file://", "")) and forget(spark) == 1 and not os.path.exists(path.replace("file://", ""))
+    assert importable(spark) is importable(spark)
