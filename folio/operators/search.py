@@ -23,10 +23,13 @@ def tokenized(docs: DataFrame, key: str, *columns: str) -> DataFrame:
     return docs.select(key, F.concat(*[index_tokens(F.col(c)) for c in columns]).alias("tokens"))
 
 
-def postings(docs: DataFrame, key: str, *columns: str) -> DataFrame:
-    """(term, key, tf, dl). Counted before the shuffle; a text without tokens has no postings."""
-    tokens = tokenized(docs, key, *columns).select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    return tokens.groupBy("term", key, "dl").agg(F.count("*").alias("tf")).select("term", key, F.col("tf").cast("int").alias("tf"), "dl")
+def postings(docs: DataFrame, key: str, *columns: str, terms: list[str] | None = None) -> DataFrame:
+    """(term, key, tf, dl), of the given terms or all. Counted before the shuffle; a text without tokens has no postings."""
+    tokens = tokenized(docs, key, *columns)
+    # With terms, the others are left out while they are still in the array, before it becomes rows.
+    kept = F.col("tokens") if terms is None else F.filter("tokens", lambda t: t.isin(terms))
+    one = tokens.select(key, F.size("tokens").alias("dl"), F.explode(kept).alias("term"))
+    return one.groupBy("term", key, "dl").agg(F.count("*").alias("tf")).select("term", key, F.col("tf").cast("int").alias("tf"), "dl")
 
 
 def corpus_stats(docs: DataFrame, key: str, *columns: str) -> DataFrame:
@@ -57,7 +60,7 @@ def lexical(docs: DataFrame, query: str, k: int, key: str, *columns: str) -> Dat
     terms = expand_terms(query)
     if not terms:
         return docs.select(key, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    best = bm25(postings(docs, key, *columns), corpus_stats(docs, key, *columns), terms, key).orderBy("score", key).limit(k)
+    best = bm25(postings(docs, key, *columns, terms=terms), corpus_stats(docs, key, *columns), terms, key).orderBy("score", key).limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy("score", key)))
 
 

@@ -99,7 +99,7 @@ def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of the usual model with their vectors; incomplete lists are null."""
-    once = _passages(spark, sf_dir)
+    once = archive.archive_passages(read(spark, sf_dir, "passages"), read(spark, sf_dir, "articles"), vectors=True)
     model = search.usual_model(once).select("embedding_model")
     return once.join(F.broadcast(model), "embedding_model", "left_semi").withColumn("vector", F.from_json("embedding_json", "array<double>")).where(F.col("embedding_json").rlike(r"\]\s*$"))
 
