@@ -19,12 +19,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from folio.llm.ocr import CONFUSIONS, SIGNS, Model, repaired, sliced, trained
 from folio.llm.unify import AS_LATIN, CYRILLIC, GREEK, GREEK_AS_LATIN
 from folio.session import written
 
 RUN, BLOCKS, SYMBOLS, SIMILARITY = 3, 20, 4, 0.4
+#: At an anchor with more classes than this, pairs are found by their rarest runs instead.
+CROWD = 1_000
 
 _LOOKS = str.maketrans(CYRILLIC + GREEK, AS_LATIN + GREEK_AS_LATIN)
 _SIGNED = [str.maketrans({a: b for a, b in reversed(CONFUSIONS) if not a.isalpha() and (("а" <= b <= "я") == c)}) for c in (False, True)]
@@ -103,7 +106,7 @@ def _fingerprints(model: Model):
 
         known: dict[str, int] = {}
         for batch in sliced(batches):
-            rows, a, b, size, kept = [], [], [], [], []
+            rows, a, b, kept = [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 found = runs(words(repaired(text, model)), known)
                 if len(found):
@@ -111,20 +114,19 @@ def _fingerprints(model: Model):
                     rows.append(i)
                     a.append(xxhash.xxh3_64_intdigest(raw) - (1 << 63))
                     b.append(xxhash.xxh3_64_intdigest(raw, 7) - (1 << 63))
-                    size.append(len(found))
                     kept.append(np.unique((found >> np.uint64(32)).astype(np.uint32)).tobytes())
-            made = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(size, pa.int32()), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), *made], ["article_id", "a", "b", "size", "runs"])
+            made = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), *made], ["article_id", "a", "b", "runs"])
 
     return run
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sent = [anchors(np.frombuffer(r, np.uint32).astype(np.uint64)) for r in batch.column(2).to_pylist()]
+        sent = [anchors(np.frombuffer(r, np.uint32).astype(np.uint64)) for r in batch.column(1).to_pylist()]
         rows = pa.array(np.repeat(np.arange(len(sent)), [len(x) for x in sent]))
         found = pa.array(np.concatenate(sent) if sent else np.empty(0, np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), found], ["a", "size", "anchor"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), found], ["a", "anchor"])
 
 
 def _similar(least: float):
@@ -133,6 +135,9 @@ def _similar(least: float):
             found = []
             for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
                 p, q = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                if min(len(p), len(q)) < least * max(len(p), len(q)):
+                    found.append(0.0)
+                    continue
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 found.append(both / (len(p) + len(q) - both))
             out = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.float64())], ["a", "b", "a2", "b2", "similarity"])
@@ -141,24 +146,49 @@ def _similar(least: float):
     return run
 
 
+def _single_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [np.frombuffer(r, np.uint32) for r in batch.column(1).to_pylist()]
+        sizes = np.array([len(x) for x in found], np.int32)
+        rows = pa.array(np.repeat(np.arange(len(found)), sizes))
+        flat = np.concatenate(found).astype(np.int64) if found else np.empty(0, np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(flat), pa.array(np.repeat(sizes, sizes), pa.int32())], ["a", "run", "size"])
+
+
+def _crowded(one: DataFrame, crowd: DataFrame, similarity: float) -> DataFrame:
+    """(a, a2): pairs among the classes that stand at a crowded anchor, exactly, without forming all pairs there.
+
+    Two sets that are similar enough share at least one of the rarest size - ceil(similarity * size) + 1 runs of either, so classes are
+    joined on those alone. What crowds an anchor, a text that many articles have in common, is not among a class's rarest runs.
+    """
+    single = one.join(crowd, "a", "left_semi").select("a", "runs").mapInArrow(_single_runs, "a bigint, run bigint, size int")
+    df = single.groupBy("run").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("a").orderBy("df", "run")
+    rare = single.join(df, "run").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("size") - F.ceil(F.lit(similarity) * F.col("size")) + 1)
+    rare = rare.where("df > 1").select("a", "run", "size")
+    other = rare.select(F.col("a").alias("a2"), "run", F.col("size").alias("size2"))
+    near = (F.col("a") < F.col("a2")) & (F.least("size", "size2") >= similarity * F.greatest("size", "size2"))
+    return rare.join(other, "run").where(near).select("a", "a2")
+
+
 def classes_and_links(articles: DataFrame, gold: DataFrame, hints: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(article_id, a, b): the class of each article with a text, a class being the articles with the same runs; and (a, b, a2, b2, similarity): every link between two classes.
 
     Both are written to the shared folder. Null, empty and wordless texts have no class; repeated rows count once; a null article_id is
-    a member like others; no articles give no rows; other columns are not read. Of a class only one text is compared. An anchor
-    that many classes share is joined by sort-merge, whose skewed partitions Spark splits; only its classes meet, not its copies.
+    a member like others; no articles give no rows; other columns are not read. Of a class only one text is compared. Classes meet
+    pairwise at anchors of up to CROWD of them; those at larger ones are joined on their rarest runs, which loses no pair.
     """
     kept = articles.where(F.length(F.trim("verbatim_text")) > 0).select("article_id", "verbatim_text")
     kind = articles.schema["article_id"].dataType.simpleString()
-    marks = written(kept.mapInArrow(_fingerprints(trained(gold, hints)), f"article_id {kind}, a bigint, b bigint, size int, runs binary"), "runs")
+    marks = written(kept.mapInArrow(_fingerprints(trained(gold, hints)), f"article_id {kind}, a bigint, b bigint, runs binary"), "runs")
     members = marks.select("article_id", "a", "b").distinct()
-    one = marks.groupBy("a", "b").agg(F.any_value(F.struct("size", "runs")).alias("x")).select("a", "b", "x.size", "x.runs")
+    one = marks.groupBy("a", "b").agg(F.any_value("runs").alias("runs"))
     one = written(one, "classes")
-    met = one.select("a", "size", "runs").mapInArrow(_anchored, "a bigint, size int, anchor bigint")
-    left, right = met, met.select("anchor", F.col("a").alias("a2"), F.col("size").alias("size2"))
-    # Sets so different in size cannot be similar enough.
-    near = (F.col("a") < F.col("a2")) & (F.least("size", "size2") >= similarity * F.greatest("size", "size2"))
-    pairs = left.hint("merge").join(right, "anchor").where(near).select("a", "a2").distinct()
+    met = one.select("a", "runs").mapInArrow(_anchored, "a bigint, anchor bigint")
+    shared = written(met.withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).where("n > 1"), "shared")
+    cool = shared.where(F.col("n") <= CROWD).select("a", "anchor")
+    pairs = cool.join(cool.withColumnRenamed("a", "a2"), "anchor").where("a < a2").select("a", "a2")
+    pairs = pairs.unionByName(_crowded(one, shared.where(F.col("n") > CROWD).select("a").distinct(), similarity)).distinct()
     both = pairs.join(one.select("a", "b", "runs"), "a").join(one.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("runs").alias("runs2")), "a2")
     links = both.select("a", "b", "a2", "b2", "runs", "runs2").mapInArrow(_similar(similarity), "a bigint, b bigint, a2 bigint, b2 bigint, similarity double")
     return members, written(links, "links")

@@ -161,7 +161,9 @@ def story(rng, n):
     return [f"w{rng.randint(0, 5000)}" for _ in range(n)]
 
 
-def test_near_duplicates_brute(spark, gold, hints):
+@pytest.mark.parametrize("crowd", [neardup.CROWD, 1, 3])
+def test_near_duplicates_brute(spark, gold, hints, monkeypatch, crowd):
+    monkeypatch.setattr(neardup, "CROWD", crowd)
     rng = random.Random(8)
     texts = []
     for _ in range(60):
