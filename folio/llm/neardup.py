@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folio.llm.ocr import CONFUSIONS, SIGNS, Model, repaired, sliced, trained
+from folio.llm.batches import sliced
+from folio.llm.ocr import CONFUSIONS, SIGNS, Model, repaired, trained
 from folio.llm.unify import AS_LATIN, CYRILLIC, GREEK, GREEK_AS_LATIN
 from folio.session import written
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.batches import sliced
 from folio.llm.unify import AS_CYRILLIC, AS_LATIN, CYRILLIC, GREEK, GREEK_AS_CYRILLIC, GREEK_AS_LATIN, GREEK_C, LATIN
 from folio.session import written
 
@@ -258,13 +259,6 @@ def repaired(text: str, model: Model) -> str:
     return "\n\n".join(" ".join(joined(p)[0].split()) for p in paragraphs)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, so that a worker holds the results of few texts at a time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def _scan(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):

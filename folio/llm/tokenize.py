@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.batches import sliced
+
 #: Fixed value: how the vocabulary's own tokenizer divides a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Where the vocabulary files lie, unless a path is given.
@@ -156,7 +158,7 @@ def path_of(name: str, folder: str | None = None) -> str:
 def _ids(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = vocabulary(path).encode
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], ["__key", "__ids"])
 
