@@ -86,10 +86,36 @@ FROM both_kinds b JOIN (SELECT DISTINCT layout_id, page_id FROM manual_layouts)
 """
 )
 
+#: The same with coordinates and the page.
+_P1_CORNERS = (
+    "SELECT f.*, m.page_id FROM ("
+    + _P1_FOUND.replace("AS point_pos\nFROM json_corner", "AS point_pos, CAST(coalesce(p ->> '$[0]', p ->> '$.x') AS DOUBLE) AS x, CAST(coalesce(p ->> '$[1]', p ->> '$.y') AS DOUBLE) AS y\nFROM json_corner").replace(
+        "CAST(point_pos AS INTEGER)\nFROM typed_corner", "CAST(point_pos AS INTEGER), p[1], p[2]\nFROM typed_corner"
+    )
+    + ") f JOIN (SELECT DISTINCT layout_id, page_id FROM manual_layouts) m USING (layout_id)"
+)
+_P1_ARTICLES = (
+    _REGIONS
+    + """
+members AS (SELECT layout_id, CAST(page -> '$.articles' AS JSON[]) AS articles FROM page),
+article_doc AS (SELECT layout_id, unnest(articles) AS a, unnest(range(len(articles))) AS article_pos FROM members),
+typed AS (SELECT layout_id, unnest(articles) AS a, unnest(range(len(articles))) AS article_pos FROM manual_layouts WHERE articles IS NOT NULL),
+both_kinds AS (
+  SELECT layout_id, article_pos, coalesce(trim(a ->> '$.id'), '') AS article_id,
+    CASE WHEN regexp_full_match(trim(a ->> '$.reading_order'), '[+-]?[0-9]{1,9}([.]0*)?') THEN CAST(CAST(trim(a ->> '$.reading_order') AS DOUBLE) AS INTEGER) ELSE -1 END AS reading_order,
+    CASE WHEN json_type(a -> '$.region_ids') = 'ARRAY' THEN json_array_length(a -> '$.region_ids') ELSE 0 END AS n_regions
+  FROM article_doc WHERE json_type(a) = 'OBJECT'
+  UNION
+  SELECT layout_id, article_pos, coalesce(trim(a.id), ''), coalesce(a.reading_order, -1), coalesce(len(a.region_ids), 0) FROM typed WHERE a IS NOT NULL)
+SELECT DISTINCT b.layout_id, m.page_id, CAST(article_pos AS INTEGER) AS article_pos, article_id, reading_order, CAST(n_regions AS INTEGER) AS n_regions
+FROM both_kinds b JOIN (SELECT DISTINCT layout_id, page_id FROM manual_layouts) m USING (layout_id)
+"""
+)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_corners, p1_layouts, p1_regions, p1_articles, p1_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1_FOUND, "p1_spans": _P1_SPANS}
+    return {"p1_found": _P1_FOUND, "p1_corners": _P1_CORNERS, "p1_articles": _P1_ARTICLES, "p1_spans": _P1_SPANS}
