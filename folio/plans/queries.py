@@ -685,10 +685,10 @@ def progress_stream(spark, sf_dir):
     """The events of a table as a stream of files, folded by the stateful operator until none is left; the result is a table in the shared folder."""
     import uuid
 
-    from folio.session import shared_dir, written
+    from folio.session import shared_dir, written_path
 
-    source = written(_job_events(spark, sf_dir), "events")
-    path = source.inputFiles()[0].rsplit("/", 1)[0]
+    source = _job_events(spark, sf_dir)
+    path = written_path(source, "events")
     out, state = (f"{shared_dir(spark)}/{n}-{uuid.uuid4().hex}" for n in ("progress", "state"))
     stream = progress.progress_stream(spark.readStream.schema(source.schema).parquet(path))
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()

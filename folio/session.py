@@ -36,13 +36,18 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """df as a table written to the shared folder: cuts the lineage, and survives the loss of executors."""
+def written_path(df: DataFrame, name: str = "step") -> str:
+    """Where df was written, in the shared folder."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """df as a table written to the shared folder: cuts the lineage, and survives the loss of executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(written_path(df, name))
 
 
 #: Tables written by this process, by the application they belong to.
