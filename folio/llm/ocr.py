@@ -263,17 +263,20 @@ def _scan(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             cut, maybe, head, numbers, words = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                paragraphs, heads, found = read_page(text, model)
-                certain, unsure, seen = False, set(), set()
-                for p in paragraphs:
-                    whole, m, c = joined(p)
-                    certain |= c
-                    unsure.update(one_script(m))
-                    seen.update(one_script(_WORD.findall(whole.lower())))
+            for texts in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True):
+                certain, named, found, unsure, seen = False, False, [], set(), set()
+                for text in dict.fromkeys(t for t in texts if t):
+                    paragraphs, heads, n = read_page(text, model)
+                    for p in paragraphs:
+                        whole, m, c = joined(p)
+                        certain |= c
+                        unsure.update(one_script(m))
+                        seen.update(one_script(_WORD.findall(whole.lower())))
+                    named |= any(f[1] for f in features(heads, model.names))
+                    found += n
                 cut.append(certain)
                 maybe.append(list(unsure))
-                head.append(any(f[1] for f in features(heads, model.names)))
+                head.append(named)
                 numbers.append(found)
                 words.append([w for w in seen if len(w) > 2])
             yield pa.RecordBatch.from_arrays(
@@ -315,10 +318,11 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.string()))], ["word", "df", "before"])
 
 
-def scanned(articles: DataFrame, gold: DataFrame, hints: DataFrame) -> DataFrame:
-    """One row for each article with a text: (article_id, page_id, cut, maybe, head, numbers, words), written to the shared folder. Null and blank texts give none."""
+def scanned(articles: DataFrame, gold: DataFrame, hints: DataFrame, fields: tuple[str, ...] = ("verbatim_text",)) -> DataFrame:
+    """One row for each article with a text in one of the fields: (article_id, page_id, cut, maybe, head, numbers, words), written to the shared folder. Null and blank texts give none."""
     model = trained(gold, hints)
-    kept = articles.where(F.length(F.trim("verbatim_text")) > 0).select(F.struct("article_id", "page_id").alias("__key"), "verbatim_text")
+    there = F.greatest(*[F.length(F.trim(f)) for f in fields], F.lit(0)) > 0
+    kept = articles.where(there).select(F.struct("article_id", "page_id").alias("__key"), *fields)
     schema = f"__key {kept.schema['__key'].dataType.simpleString()}, cut boolean, maybe array<string>, head boolean, numbers array<int>, words array<string>"
     done = kept.mapInArrow(_scan(model), schema)
     return written(done.select("__key.article_id", "__key.page_id", "cut", "maybe", "head", "numbers", "words"), "scan")
@@ -390,13 +394,16 @@ def repair(records: DataFrame, key: str, gold: DataFrame, hints: DataFrame, text
 _PIECES = r"[\p{L}\p{N}\^|~¦†•§¢£¥'’-]+|[^\p{L}\p{N}\^|~¦†•§¢£¥'’-]+"
 
 
-def corrected(articles: DataFrame, gold: DataFrame, hints: DataFrame) -> DataFrame:
-    """(article_id, repaired_text): as repair() has it, and misread words written as the word that they most likely were.
+def corrected(articles: DataFrame, gold: DataFrame, hints: DataFrame, fields: tuple[str, ...] = ("verbatim_text",)) -> DataFrame:
+    """(article_id, field, repaired_text): each field as repair() has it, and misread words written as the word that they most likely were.
 
-    What they were is told by the counts of all words (see misread_words); capitals stay. Null texts stay null; repeated rows stay.
+    What they were is told by the counts of all words (see misread_words), over all of the fields, an article counting once; capitals
+    stay. Null texts stay null; repeated rows stay.
     """
-    wrong = written(misread_words(word_counts(scanned(articles, gold, hints))).where("true_word is not null"), "misread")
-    fixed = repair(articles, "article_id", gold, hints).withColumn("key", F.xxhash64("article_id", "repaired_text"))
+    wrong = written(misread_words(word_counts(scanned(articles, gold, hints, fields))).where("true_word is not null"), "misread")
+    texts = articles.select("article_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("x"))
+    made = repair(texts.select(F.struct("article_id", "x.field").alias("at"), "x.text"), "at", gold, hints, "text")
+    fixed = written(made.select("at.article_id", "at.field", "repaired_text", F.xxhash64("at.article_id", "repaired_text").alias("key")), "repaired")
     words = fixed.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("repaired_text"), F.lit(_PIECES), F.lit(0)))).alias("word"))
     found = words.join(wrong, "word").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("word", "true_word"))).alias("true"))
     both = fixed.join(found, "key", "left")
@@ -408,4 +415,4 @@ def corrected(articles: DataFrame, gold: DataFrame, hints: DataFrame) -> DataFra
         return F.coalesce(cased, p)
 
     text = F.array_join(F.transform(F.regexp_extract_all("repaired_text", F.lit(_PIECES), F.lit(0)), right), "")
-    return both.select("article_id", F.when(F.col("true").isNull(), F.col("repaired_text")).otherwise(text).alias("repaired_text"))
+    return both.select("article_id", "field", F.when(F.col("true").isNull(), F.col("repaired_text")).otherwise(text).alias("repaired_text"))

@@ -66,7 +66,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ocr.corrected(read(spark, sf_dir, "articles"), *_noise_tables(spark, sf_dir))
+    return ocr.corrected(read(spark, sf_dir, "articles"), *_noise_tables(spark, sf_dir), fields=("verbatim_text", "normalized_text"))
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:

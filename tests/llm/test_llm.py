@@ -241,6 +241,18 @@ def test_noise(spark, gold, hints):
     assert fixed["x"] is None and fixed["e"] == "" and fixed["n"] == "Един ред тук и още до края на него."
 
 
+def test_both_fields_are_repaired(spark, gold, hints):
+    usual = [(f"u{i}", "p", None, "Градската печатница отложи събор край реката.") for i in range(25)]
+    head = "Един ред тук и\nДОБЪР ВЕСТНИК · 3 май 1930 · брой 4\n"
+    rows = [*usual, ("a", "p", head + "печат-\nница.", head + "печатпица до-\nкрая."), ("b", "p", "Градската печатпица.", None), ("c", "p", None, " ")]
+    df = spark.createDataFrame(rows, "article_id string, page_id string, verbatim_text string, normalized_text string")
+    got = {(r.article_id, r.field): r.repaired_text for r in ocr.corrected(df, gold, hints, ("verbatim_text", "normalized_text")).collect()}
+    assert len(got) == 2 * len(rows) and got["u0", "normalized_text"] == usual[0][3] and got["u0", "verbatim_text"] is None
+    assert got["a", "verbatim_text"] == "Един ред тук и печатница." and got["a", "normalized_text"] == "Един ред тук и печатница докрая."
+    # The right word stands in normalized texts only; an article counts once for both.
+    assert got["b", "verbatim_text"] == "Градската печатница." and got["b", "normalized_text"] is None and got["c", "normalized_text"] == ""
+
+
 def test_gold_lines(spark, data):
     """Half of the gold reads train the labels of the other half's lines."""
     from folio.session import read
