@@ -233,8 +233,9 @@ def read_page(text: str, model: Model) -> tuple[list[list[str]], list[str], list
     return [p for p in paragraphs if p], heads, numbers
 
 
-def joined(lines: list[str]) -> tuple[str, list[str], bool]:
-    """A paragraph in one line; the words that a plain hyphen cut, as left-right; and whether another hyphen cut one."""
+def pieces(lines: list[str]) -> tuple[list[str], list[str], bool]:
+    """A paragraph in one line, divided where a plain hyphen cut a word; these words, as left-right; and whether another hyphen cut one."""
+    done: list[str] = []
     parts = [lines[0].strip()]
     maybe: list[str] = []
     certain = False
@@ -242,15 +243,23 @@ def joined(lines: list[str]) -> tuple[str, list[str], bool]:
         x = x.strip()
         before = parts[-1]
         if before and before[-1] in HYPHENS and (right := _LEAD.match(x)) and (left := _TAIL.search(before.rsplit(None, 1)[-1])) and not (right[1][0].isupper() and not left[1][-1].isupper()):
+            parts[-1] = before[:-1]
             if left[2] == "-":
                 maybe.append(f"{left[1]}-{right[1]}".lower())
+                done.append("".join(parts))
+                parts = []
             else:
                 certain = True
-            parts[-1] = before[:-1]
         else:
             parts.append(" ")
         parts.append(x)
-    return "".join(parts), maybe, certain
+    return [*done, "".join(parts)], maybe, certain
+
+
+def joined(lines: list[str]) -> tuple[str, list[str], bool]:
+    """A paragraph in one line; the words that a plain hyphen cut, as left-right; and whether another hyphen cut one."""
+    found, maybe, certain = pieces(lines)
+    return "".join(found), maybe, certain
 
 
 def repaired(text: str, model: Model) -> str:
@@ -263,20 +272,17 @@ def _scan(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             cut, maybe, head, numbers, words = [], [], [], [], []
-            for texts in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True):
-                certain, named, found, unsure, seen = False, False, [], set(), set()
-                for text in dict.fromkeys(t for t in texts if t):
-                    paragraphs, heads, n = read_page(text, model)
-                    for p in paragraphs:
-                        whole, m, c = joined(p)
-                        certain |= c
-                        unsure.update(one_script(m))
-                        seen.update(one_script(_WORD.findall(whole.lower())))
-                    named |= any(f[1] for f in features(heads, model.names))
-                    found += n
+            for text in batch.column(1).to_pylist():
+                paragraphs, heads, found = read_page(text, model)
+                certain, unsure, seen = False, set(), set()
+                for p in paragraphs:
+                    whole, m, c = joined(p)
+                    certain |= c
+                    unsure.update(one_script(m))
+                    seen.update(one_script(_WORD.findall(whole.lower())))
                 cut.append(certain)
                 maybe.append(list(unsure))
-                head.append(named)
+                head.append(any(f[1] for f in features(heads, model.names)))
                 numbers.append(found)
                 words.append([w for w in seen if len(w) > 2])
             yield pa.RecordBatch.from_arrays(
@@ -318,11 +324,10 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.string()))], ["word", "df", "before"])
 
 
-def scanned(articles: DataFrame, gold: DataFrame, hints: DataFrame, fields: tuple[str, ...] = ("verbatim_text",)) -> DataFrame:
-    """One row for each article with a text in one of the fields: (article_id, page_id, cut, maybe, head, numbers, words), written to the shared folder. Null and blank texts give none."""
+def scanned(articles: DataFrame, gold: DataFrame, hints: DataFrame) -> DataFrame:
+    """One row for each article with a text: (article_id, page_id, cut, maybe, head, numbers, words), written to the shared folder. Null and blank texts give none."""
     model = trained(gold, hints)
-    there = F.greatest(*[F.length(F.trim(f)) for f in fields], F.lit(0)) > 0
-    kept = articles.where(there).select(F.struct("article_id", "page_id").alias("__key"), *fields)
+    kept = articles.where(F.length(F.trim("verbatim_text")) > 0).select(F.struct("article_id", "page_id").alias("__key"), "verbatim_text")
     schema = f"__key {kept.schema['__key'].dataType.simpleString()}, cut boolean, maybe array<string>, head boolean, numbers array<int>, words array<string>"
     done = kept.mapInArrow(_scan(model), schema)
     return written(done.select("__key.article_id", "__key.page_id", "cut", "maybe", "head", "numbers", "words"), "scan")
@@ -345,6 +350,13 @@ def misread_words(counts: DataFrame) -> DataFrame:
     return by_word.unionByName(signed).groupBy("word").agg(F.max("true_word").alias("true_word"))
 
 
+def own_hyphens(maybe: DataFrame, counts: DataFrame) -> DataFrame:
+    """(word): those of (word), cut at a plain hyphen, that the corpus has with their hyphen, not less often than without."""
+    whole = counts.where(F.col("word").contains("-")).select("word", F.col("df").alias("with_hyphen"), F.regexp_replace("word", "-", "").alias("without"))
+    bare = counts.select(F.col("word").alias("without"), F.col("df").alias("n"))
+    return maybe.select("word").distinct().join(whole, "word").join(bare, "without", "left").where(F.col("with_hyphen") >= F.coalesce("n", F.lit(0))).select("word")
+
+
 def noise(articles: DataFrame, pages: DataFrame, gold: DataFrame, hints: DataFrame) -> DataFrame:
     """(article_id, kind): the kinds of noise in each article's verbatim text: hyphen, misread, running_head, page_number.
 
@@ -359,10 +371,7 @@ def noise(articles: DataFrame, pages: DataFrame, gold: DataFrame, hints: DataFra
     numbered = pages.where("page_id is not null").groupBy("page_id").agg(F.any_value("page_number", True).alias("page_number"))
     number = scan.where(F.size("numbers") > 0).join(numbered, "page_id", "left").where(F.col("page_number").isNull() | F.array_contains("numbers", F.col("page_number")))
     maybe = scan.where(~F.col("cut")).select("article_id", F.explode("maybe").alias("word"))
-    whole = counts.where(F.col("word").contains("-")).select("word", F.col("df").alias("with_hyphen"), F.regexp_replace("word", "-", "").alias("without"))
-    # Words that the corpus has with their hyphen, not less often than without.
-    bare = counts.select(F.col("word").alias("without"), F.col("df").alias("n"))
-    own = maybe.select("word").distinct().join(whole, "word").join(bare, "without", "left").where(F.col("with_hyphen") >= F.coalesce("n", F.lit(0))).select("word")
+    own = own_hyphens(maybe, counts)
     cut = scan.where("cut").select("article_id").unionByName(maybe.join(own, "word", "left_anti").select("article_id"))
     wrong = written(misread_words(counts).select("word"), "misread")
     misread = scan.select("article_id", F.explode("words").alias("word")).join(wrong, "word", "left_semi")
@@ -390,23 +399,60 @@ def repair(records: DataFrame, key: str, gold: DataFrame, hints: DataFrame, text
     return done.select(F.col("__key").alias(key), F.col("__text").alias("repaired_text"))
 
 
+def _divide(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("pieces", pa.list_(pa.string())), ("breaks", pa.list_(pa.string()))]))
+        for batch in sliced(batches, 500):
+            made, words = [], []
+            for texts in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True):
+                seen, known = set(), {None: None}
+                for text in dict.fromkeys(t for t in texts if t is not None):
+                    out, breaks = [""], []
+                    for p in read_page(text, model)[0]:
+                        found, maybe, _ = pieces(p)
+                        seen.update(one_script(_WORD.findall("".join(found).lower())))
+                        found = [" ".join(x.split()) for x in found]
+                        out[-1] += ("\n\n" if len(out) > 1 or out[0] else "") + found[0]
+                        out += found[1:]
+                        breaks += one_script(maybe)
+                    known[text] = {"pieces": out, "breaks": breaks}
+                made.append([known[t] for t in texts])
+                words.append([w for w in seen if len(w) > 2])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, kind), pa.array(words, pa.list_(pa.string()))], ["__key", "made", "words"])
+
+    return run
+
+
+#: Words that may be misread, which are never shorter.
+_LONG = r"[\p{L}\p{N}\^|~¦†•§¢£¥'’-]{3,}+"
 #: Words and what stands between them, as the JVM divides a text.
 _PIECES = r"[\p{L}\p{N}\^|~¦†•§¢£¥'’-]+|[^\p{L}\p{N}\^|~¦†•§¢£¥'’-]+"
 
 
 def corrected(articles: DataFrame, gold: DataFrame, hints: DataFrame, fields: tuple[str, ...] = ("verbatim_text",)) -> DataFrame:
-    """(article_id, field, repaired_text): each field as repair() has it, and misread words written as the word that they most likely were.
+    """(article_id, field, repaired_text): each field as repair() has it, but compounds cut at their own hyphen keep it, and misread words are written as the word that they most likely were.
 
-    What they were is told by the counts of all words (see misread_words), over all of the fields, an article counting once; capitals
-    stay. Null texts stay null; repeated rows stay.
+    Both are told by the counts of all words (see own_hyphens and misread_words), over all of the fields, an article counting once;
+    capitals stay. Null texts stay null; repeated rows stay. Each text is read once.
     """
-    wrong = written(misread_words(word_counts(scanned(articles, gold, hints, fields))).where("true_word is not null"), "misread")
-    texts = articles.select("article_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("x"))
-    made = repair(texts.select(F.struct("article_id", "x.field").alias("at"), "x.text"), "at", gold, hints, "text")
-    fixed = written(made.select("at.article_id", "at.field", "repaired_text", F.xxhash64("at.article_id", "repaired_text").alias("key")), "repaired")
-    words = fixed.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("repaired_text"), F.lit(_PIECES), F.lit(0)))).alias("word"))
+    kept = articles.select(F.col("article_id").alias("__key"), *fields)
+    schema = f"__key {kept.schema['__key'].dataType.simpleString()}, made array<struct<pieces:array<string>,breaks:array<string>>>, words array<string>"
+    scan = written(kept.mapInArrow(_divide(trained(gold, hints)), schema), "divided")
+    counts = word_counts(scan)
+    wrong = written(misread_words(counts).where("true_word is not null"), "misread")
+    one = scan.select(F.col("__key").alias("article_id"), F.posexplode("made").alias("at", "x")).select("article_id", "at", "x.pieces", "x.breaks")
+    divided = one.withColumn("key", F.xxhash64("article_id", "pieces", "breaks"))
+    maybe = divided.where(F.size("breaks") > 0).select("key", F.explode(F.array_distinct("breaks")).alias("word"))
+    own = maybe.join(own_hyphens(maybe, counts), "word").groupBy("key").agg(F.collect_set("word").alias("own"))
+    hyphen = F.transform("breaks", lambda w: F.when(F.array_contains("own", w), "-").otherwise(""))
+    text = F.when(F.col("own").isNull(), F.array_join("pieces", "")).otherwise(F.array_join(F.flatten(F.transform(F.arrays_zip("pieces", hyphen.alias("after")), lambda x: F.array(x["pieces"], F.coalesce(x["after"], F.lit(""))))), ""))
+    field = F.element_at(F.array(*map(F.lit, fields)), F.col("at") + 1)
+    # Texts are the larger side by far: hashing the other spares sorting them.
+    made = divided.join(own.hint("shuffle_hash"), "key", "left").select("article_id", field.alias("field"), text.alias("repaired_text"))
+    fixed = written(made.withColumn("key", F.xxhash64("article_id", "repaired_text")), "repaired")
+    words = fixed.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("repaired_text"), F.lit(_LONG), F.lit(0)))).alias("word"))
     found = words.join(wrong, "word").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("word", "true_word"))).alias("true"))
-    both = fixed.join(found, "key", "left")
+    both = fixed.join(found.hint("shuffle_hash"), "key", "left")
 
     def right(p: Column) -> Column:
         true = F.element_at(F.col("true"), F.lower(p))

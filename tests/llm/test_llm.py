@@ -253,6 +253,14 @@ def test_both_fields_are_repaired(spark, gold, hints):
     assert got["b", "verbatim_text"] == "Градската печатница." and got["b", "normalized_text"] is None and got["c", "normalized_text"] == ""
 
 
+def test_own_hyphens_stay(spark, gold, hints):
+    usual = [(f"u{i}", "Градската печатница отложи научно-технически събор и по-малък празник.") for i in range(5)] + [(f"j{i}", "Помалък малък.") for i in range(9)]
+    cut = ("a", "Научно-\nтехнически печат-\nница.\n\nОтложи научно-\n  технически  събор, по-\nмалък.")
+    df = spark.createDataFrame([*usual, cut, cut, ("e", " \n"), ("x", None)], "article_id string, verbatim_text string")
+    got = [(r.article_id, r.repaired_text) for r in ocr.corrected(df, gold, hints).collect()]
+    assert sorted(got, key=str) == sorted([*usual, *[("a", "Научно-технически печатница.\n\nОтложи научно-технически събор, помалък.")] * 2, ("e", ""), ("x", None)], key=str)
+
+
 def test_gold_lines(spark, data):
     """Half of the gold reads train the labels of the other half's lines."""
     from folio.session import read
