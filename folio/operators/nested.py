@@ -222,6 +222,29 @@ def flatten_layouts(layouts: DataFrame, table: str) -> DataFrame:
     return kept.mapInArrow(_flatten(table, names), schema).distinct()
 
 
+def _parse(schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = [parse_payload(p) for p in batch.column(2).to_pylist()]
+            there = pa.array([d is not None for d in docs])
+            regions = [[_region(r, list(REGION)) for r in _list(d.get("regions"))] for d in docs if d is not None]
+            articles = [_articles(d) for d in docs if d is not None]
+            kept = [c.filter(there) for c in batch.columns[:2]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(regions, schema.field(0).type), pa.array(articles, schema.field(1).type)], ["layout_id", "page_id", "regions", "articles"])
+
+    return run
+
+
+def whole_layouts(layouts: DataFrame) -> DataFrame:
+    """(layout_id, page_id, regions, articles) of all layouts in the type of the typed ones: where regions and articles are null, payload_json is read, as flatten_layouts does. Identical deliveries count once."""
+    absent = F.col("regions").isNull() & F.col("articles").isNull()
+    names = ["layout_id", "page_id", "regions", "articles"]
+    types = pa.schema([("regions", pa.list_(pa.struct(list(REGION.items())))), ("articles", pa.list_(pa.struct(list(ARTICLE.items()))))])
+    given = layouts.where(absent & F.col("payload_json").isNotNull()).select("layout_id", "page_id", "payload_json").distinct()
+    typed = layouts.where(~absent).select(*names)
+    return typed.unionByName(given.mapInArrow(_parse(types), ", ".join(f"{n} {layouts.schema[n].dataType.simpleString()}" for n in names))).distinct()
+
+
 def layout_pages(layouts: DataFrame) -> DataFrame:
     """One row for each layout: its keys and the properties of the page, with the number of its regions; payloads are read like the rest."""
     regions = flatten_layouts(layouts, "regions").groupBy("layout_id").agg(F.count("*").alias("n_regions"))

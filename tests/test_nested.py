@@ -2,7 +2,8 @@ import json
 
 import pytest
 
-from folio.operators.nested import flatten_layouts, layout_pages, parse_payload
+from folio.operators.nested import flatten_layouts, layout_pages, parse_payload, whole_layouts
+from folio.plans import queries
 
 SCHEMA = (
     "layout_id bigint, page_id string, file_name string, driver string, coordinate_system string, page_type string, lang string, regions array<struct<id:string,type:string,article_id:string,parent_id:string,"
@@ -52,6 +53,18 @@ def test_empty_and_extra_columns(spark, layouts):
     assert flatten_layouts(clash, "corners").count() == flatten_layouts(layouts, "corners").count()
 
 
+def test_whole_layouts(spark, layouts, tmp_path):
+    got = {r.layout_id: r for r in whole_layouts(layouts).collect()}
+    assert set(got) == {1, 2, 3, None, 6} and [r and r.id for r in got[2].regions] == ["a", None, "b"] and got[2].regions[0].reading_order == 3 and len(got[1].regions) == 3
+    quad = [[0, 0], [10, 0], [10, 10], [0, 10]]
+    doc = {"regions": [{"id": "a", "type": "body", "article_id": "none", "reading_order": 1, "polygon": quad, "text": "t", "read_a": {"verbatim_text": "abc", "uncertain_spans": [{"text": "x", "start_offset": 0, "end_offset": 9}]}}, {"id": "b", "type": "body", "article_id": "A", "reading_order": 2, "polygon": quad}], "articles": [{"id": "A", "region_ids": ["zz"]}]}
+    spark.createDataFrame([layout(7, payload=json.dumps(doc))], SCHEMA).write.parquet(str(tmp_path / "manual_layouts.parquet"))
+    run = {n: f(spark, str(tmp_path)).collect() for n, f in queries.queries().items() if n.endswith("_whole") or n == "assignment"}
+    assert len(run) == 10 and all(run.values())
+    assert {(r.rule, r.key) for r in run["layout_violations_whole"]} == {("unknown_region", "zz"), ("unknown_article", "none")}
+    assert [(r.true_positive, r.false_negative, r.false_positive) for r in run["assignment"]] == [(2, 0, 0)] and [r.position for r in sorted(run["flatten_order_whole"], key=lambda r: r.pos)] == [1, 2]
+
+
 def test_payload():
     assert parse_payload('{"a": NaN}') is None and parse_payload("[1]") is None and parse_payload(None) is None and parse_payload('{"pages": []}') is None
     assert parse_payload('{"regions": []}') == {"regions": []}
