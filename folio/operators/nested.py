@@ -177,12 +177,35 @@ def _members(keys: list[pa.Array], articles: pa.Array) -> list[pa.Array]:
     return [m.filter(article.is_valid()) for m in made]
 
 
+def _links(keys: list[pa.Array], articles: pa.Array) -> list[pa.Array]:
+    article, row, pos = children(articles)
+    region, of, link_pos = children(_column(article, "region_ids"))
+    up = row.take(of)
+    made = [*[k.take(up) for k in keys], pa.array(pos[of.to_numpy(zero_copy_only=False)], pa.int32()), _clean(_column(article, "id")).take(of), pa.array(link_pos, pa.int32()), region]
+    return [m.filter(region.is_valid()) for m in made]
+
+
+def _alternatives(keys: list[pa.Array], regions: pa.Array) -> list[pa.Array]:
+    region, row, pos = children(regions)
+    span, of, span_pos = children(_column(_column(region, "read_a"), "uncertain_spans"))
+    alternative, span_of, alternative_pos = children(_column(span, "alternatives"))
+    region_of = of.take(span_of)
+    up, at = row.take(region_of), span_of.to_numpy(zero_copy_only=False)
+    made = [
+        *[k.take(up) for k in keys], pa.array(pos[region_of.to_numpy(zero_copy_only=False)], pa.int32()), pa.array(span_pos[at], pa.int32()),
+        pa.array(alternative_pos, pa.int32()), alternative,
+    ]
+    return [m.filter(alternative.is_valid()) for m in made]
+
+
 #: Of each table: the list it comes from, the fields it needs, its kernel, and its columns after the keys.
 TABLES: dict[str, tuple[str, list[str], Callable, str]] = {
     "corners": ("regions", ["article_id", "reading_order", "polygon"], _corners, "region_pos int, article_id string, reading_order int, point_pos int, x double, y double"),
     "regions": ("regions", list(REGION), _regions, "region_pos int, region_id string, type string, parent_id string, text string, confidence double, needs_enhancement boolean, article_id string, reading_order int, n_points int, read_text string, read_confidence double"),
     "spans": ("regions", ["id", "read_a"], _spans, "region_pos int, region_id string, span_pos int, text string, start_offset int, end_offset int, n_alternatives int"),
     "articles": ("articles", list(ARTICLE), _members, "article_pos int, article_id string, reading_order int, n_regions int"),
+    "links": ("articles", ["id", "region_ids"], _links, "article_pos int, article_id string, link_pos int, region_id string"),
+    "alternatives": ("regions", ["read_a"], _alternatives, "region_pos int, span_pos int, alternative_pos int, alternative string"),
 }
 
 
@@ -198,14 +221,14 @@ def _flatten(table: str, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]
             given = payload.is_valid()
             if pc.any(given).as_py():
                 docs = [parse_payload(p) for p in payload.filter(given).to_pylist()]
-                nested = [None if d is None else _articles(d) if source == "articles" else [_region(r, fields) for r in _list(d.get("regions"))] for d in docs]
+                nested = [None if d is None else [a and {f: a[f] for f in fields} for a in _articles(d)] if source == "articles" else [_region(r, fields) for r in _list(d.get("regions"))] for d in docs]
                 yield pa.RecordBatch.from_arrays(kernel([k.filter(given) for k in keys], pa.array(nested, kind)), names)
 
     return run
 
 
 def flatten_layouts(layouts: DataFrame, table: str) -> DataFrame:
-    """One of the flat tables of page layouts: corners, regions, spans or articles, each row with the keys of its parents.
+    """One of the flat tables of page layouts: corners, regions, spans, alternatives (of spans), articles or links (of articles to regions), each row with the keys of its parents.
 
     Every row has layout_id and page_id, then positions in the lists above it, from 0; null and bad elements count for positions
     but give no rows. A corner needs a point of exactly two finite numbers. article_id is trimmed, and '' when null, absent or

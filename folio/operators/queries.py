@@ -35,6 +35,14 @@ def p1_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.flatten_layouts(read(spark, sf_dir, "manual_layouts"), "spans")
 
 
+def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.flatten_layouts(read(spark, sf_dir, "manual_layouts"), "links")
+
+
+def p1_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.flatten_layouts(read(spark, sf_dir, "manual_layouts"), "alternatives")
+
+
 #: Regions of either kind, with the number at which each stands.
 _REGIONS = """
 WITH doc AS (
@@ -114,7 +122,7 @@ FROM both_kinds b JOIN (SELECT DISTINCT layout_id, page_id FROM manual_layouts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_corners, p1_layouts, p1_regions, p1_articles, p1_spans)}
+    return {f.__name__: f for f in (p1_found, p1_corners, p1_layouts, p1_regions, p1_articles, p1_spans, p1_links, p1_alternatives)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -53,6 +53,15 @@ def test_empty_and_extra_columns(spark, layouts):
     assert flatten_layouts(clash, "corners").count() == flatten_layouts(layouts, "corners").count()
 
 
+def test_links_and_alternatives(spark):
+    spans = [None, ("a", 0, 1, ["b", None, "c"]), ("d", 1, 2, None)]
+    doc = {"regions": [{"id": "q"}, {"read_a": {"uncertain_spans": [{"text": "a", "alternatives": ["x"]}]}}], "articles": [None, {"id": " k ", "region_ids": ["r9", 3, None]}]}
+    rows = [layout(1, [None, region("r1"), region("r2", spans=spans)], [("z", [], 1), None, (" a ", ["r2", None, "gone"], 2), ("n", None, 3)]), layout(2, payload=json.dumps(doc)), layout(3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(tuple(r) for r in flatten_layouts(df, "links").collect()) == [(1, "p", 2, "a", 0, "r2"), (1, "p", 2, "a", 2, "gone"), (2, "p", 1, "k", 0, "r9"), (2, "p", 1, "k", 1, "3")]
+    assert sorted(tuple(r) for r in flatten_layouts(df, "alternatives").collect()) == [(1, "p", 2, 1, 0, "b"), (1, "p", 2, 1, 2, "c"), (2, "p", 1, 0, 0, "x")]
+
+
 def test_whole_layouts(spark, layouts, tmp_path):
     got = {r.layout_id: r for r in whole_layouts(layouts).collect()}
     assert set(got) == {1, 2, 3, None, 6} and [r and r.id for r in got[2].regions] == ["a", None, "b"] and got[2].regions[0].reading_order == 3 and len(got[1].regions) == 3
