@@ -125,6 +125,16 @@ def test_neighbours_recall(spark, monkeypatch):
     assert np.mean([len(set(got[i]) & set(true[i])) / 10 for i in ids]) >= 0.9
 
 
+def test_similarities_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LARGEST", 300)
+    ids, v = embedded(spark, n=1200, d=64, seed=3)
+    df = spark.createDataFrame([(i, "m", json.dumps(x.tolist())) for i, x in zip(ids, v, strict=True)], "passage_id string, embedding_model string, embedding_json string")
+    at = {i: x for i, x in zip(ids, v, strict=True)}
+    rows = ann.neighbours(df).orderBy("id", "rank").collect()
+    assert len(rows) == 12_000 and max(abs(r.similarity - at[r.id] @ at[r.neighbour]) for r in rows) < 2e-6
+    assert all(a.similarity >= b.similarity for a, b in itertools.pairwise(rows) if a.id == b.id)
+
+
 def test_usable_and_ties(spark):
     e = json.dumps
     rows = [(f"c{i:02}", "m", e([2.0 + 0 * i, 0.0])) for i in range(14)] + [("z1", "m", e([1.0, 0.1])), ("z1", "m", e([1.0, 0.1])), ("o", "other", e([1.0, 0.0])), ("n1", "m", None), ("n2", "m", ""), ("n3", "m", "[0,0]"), ("n4", "m", "[1,"), ("n5", "m", "[1,2,3]"), ("n6", "m", "[1, true]"), ("n7", "m", "[NaN,1]"), (None, "m", e([1, 0])), ("n8", None, e([1, 0]))]
