@@ -2,7 +2,7 @@
 
 Vectors of unit length are the nodes; equal ones are one node, so copies cost nothing. The graph starts from overlapping blocks: each
 node goes to the blocks of its nearest centroids (fitted on a bounded sample) and is compared with all of a block in matrix products.
-Then the neighbours of each node are introduced to one another, in rounds of joins: a pair is proposed if it beats the worst neighbour that
+Then the neighbours of each node, and those whose neighbour it is, are introduced to one another, in rounds of joins: a pair is proposed if it beats the worst neighbour that
 either has, and only pairs with at least one neighbour that is new since the last round are compared. New vectors are searched for by
 walking the graph from seeds of their nearest blocks, always on from the best nodes found so far.
 """
@@ -20,8 +20,10 @@ from pyspark.sql.window import Window
 
 from folio.session import written
 
-#: Neighbours kept while the graph is made, blocks of each node, most rounds, and the share of new edges at which they end.
-KEPT, BLOCKS_EACH, ROUNDS, ENOUGH = 12, 4, 2, 0.01
+#: Neighbours kept while the graph is made, blocks of each node, and the share of new edges at which the rounds end.
+KEPT, BLOCKS_EACH, ENOUGH = 12, 4, 0.01
+#: A node with more neighbours, forward and reverse, introduces them in parts of about so many, each part to each.
+PART = 64
 #: The centroids of a model are fitted on so many nodes at most, of at most so many models; a block has about, and at most about, so many.
 SAMPLE, MOST_MODELS, BLOCK, LARGEST = 16_384, 64, 400, 4_096
 
@@ -219,7 +221,16 @@ def _eight_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["node", "vec"])
 
 
-def graph_of(nodes: DataFrame, kept: int = KEPT, each: int = BLOCKS_EACH, rounds: int = ROUNDS, centres: dict[str, np.ndarray] | None = None) -> DataFrame:
+def _parted(listed: DataFrame) -> DataFrame:
+    """(via, node, new) of nodes that have a new neighbour; where there are more than PART, via stands for two of their parts, so that all meet but no task gets all."""
+    sizes = listed.groupBy("via").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts"), F.bool_or("new").alias("lively")).where("lively").select("via", "parts")
+    part = F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int")
+    dealt = listed.join(sizes, "via").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    key = F.when(F.col("parts") == 1, F.col("via")).otherwise(F.xxhash64("via", F.least("part", "other"), F.greatest("part", "other")))
+    return dealt.select(key.alias("via"), "node", "new")
+
+
+def graph_of(nodes: DataFrame, kept: int = KEPT, each: int = BLOCKS_EACH, centres: dict[str, np.ndarray] | None = None) -> DataFrame:
     """(node, to, sim, new): the neighbour graph of (node, model, vec), written to the shared folder.
 
     No nodes give an empty graph; a node alone in its model has no edges. A block that would be larger than LARGEST is divided by random
@@ -235,10 +246,11 @@ def graph_of(nodes: DataFrame, kept: int = KEPT, each: int = BLOCKS_EACH, rounds
     first = placed.groupBy("model", "block", "side").applyInArrow(_block(kept), "node bigint, to bigint, sim float").withColumn("new", F.lit(True))
     graph = written(_best(first, kept), "graph")
     small = written(nodes.select("node", "vec").mapInArrow(_eight_bits, "node bigint, vec binary"), "eightbit")
-    for _ in range(rounds):
+    # Lists only get better, so this ends.
+    while True:
         worst = graph.groupBy("node").agg(F.when(F.count("*") >= kept, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
-        lively = graph.where("new").select("node").distinct()
-        listed = graph.join(lively, "node", "left_semi").select(F.col("node").alias("via"), F.col("to").alias("node"), "new")
+        ways = graph.select(F.col("node").alias("via"), F.col("to").alias("node"), "new").unionByName(graph.select(F.col("to").alias("via"), "node", "new"))
+        listed = _parted(ways.groupBy("via", "node").agg(F.bool_and("new").alias("new")))
         sent = listed.join(small.join(worst, "node"), "node").select("via", "node", "vec", "worst", "new")
         proposed = sent.repartition("via").sortWithinPartitions("via").mapInArrow(_introduce, "node bigint, to bigint, sim float").withColumn("new", F.lit(True))
         graph = written(_best(graph.withColumn("new", F.lit(False)).unionByName(proposed), kept), "graph")

@@ -135,6 +135,27 @@ def test_similarities_are_exact(spark, monkeypatch):
     assert all(a.similarity >= b.similarity for a, b in itertools.pairwise(rows) if a.id == b.id)
 
 
+def test_reverse_neighbours_meet(spark, monkeypatch):
+    """From poor first lists, only rounds over both directions until few edges are new lead to the neighbours; crowded nodes introduce all, in parts."""
+    monkeypatch.setattr(ann, "LARGEST", 60)
+    ids, v = embedded(spark, n=2000, d=24, seed=4)
+    df = spark.createDataFrame([(i, "m", json.dumps(x.tolist())) for i, x in zip(ids, v, strict=True)], "id string, model string, e string")
+    members, nodes = ann.nodes_of(ann.usable(df, "id", "model", "e"))
+    name = {r.node: r.id for r in members.collect()}
+    got = {}
+    for r in ann.graph_of(nodes, each=2).orderBy("node", F.desc("sim")).collect():
+        got.setdefault(name[r.node], []).append(name[r.to])
+    true = brute(ids, v, 10)
+    share = np.mean([len(set(got.get(i, [])) & set(true[i])) / 10 for i in ids])
+    assert share >= 0.97, share
+    hot = spark.createDataFrame([(1, i, i == 0) for i in range(300)] + [(2, 1, False), (2, 2, False), (3, 1, True)], "via bigint, node bigint, new boolean")
+    met = {}
+    for r in ann._parted(hot).collect():
+        met.setdefault(r.via, set()).add(r.node)
+    assert 2 not in met and met[3] == {1} and max(map(len, met.values())) < 200
+    assert {p for x in met.values() for p in itertools.combinations(sorted(x), 2)} == set(itertools.combinations(range(300), 2))
+
+
 def test_usable_and_ties(spark):
     e = json.dumps
     rows = [(f"c{i:02}", "m", e([2.0 + 0 * i, 0.0])) for i in range(14)] + [("z1", "m", e([1.0, 0.1])), ("z1", "m", e([1.0, 0.1])), ("o", "other", e([1.0, 0.0])), ("n1", "m", None), ("n2", "m", ""), ("n3", "m", "[0,0]"), ("n4", "m", "[1,"), ("n5", "m", "[1,2,3]"), ("n6", "m", "[1, true]"), ("n7", "m", "[NaN,1]"), (None, "m", e([1, 0])), ("n8", None, e([1, 0]))]
