@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folio.llm.batches import sliced
-from folio.llm.ocr import CONFUSIONS, SIGNS, Model, repaired, trained
+from folio.llm.ocr import SIGNS, Model, repaired, trained
 from folio.llm.unify import AS_LATIN, CYRILLIC, GREEK, GREEK_AS_LATIN
 from folio.session import written
 
@@ -31,7 +31,8 @@ RUN, BLOCKS, SYMBOLS, SIMILARITY = 3, 20, 4, 0.4
 CROWD = 1_000
 
 _LOOKS = str.maketrans(CYRILLIC + GREEK, AS_LATIN + GREEK_AS_LATIN)
-_SIGNED = [str.maketrans({a: b for a, b in reversed(CONFUSIONS) if not a.isalpha() and (("а" <= b <= "я") == c)}) for c in (False, True)]
+#: Signs and digits that scanners read for Latin and for Cyrillic letters of their shape. To compare texts, it doesn't matter which are.
+_SIGNED = [str.maketrans("015¦†~|", "oisrtal"), str.maketrans("08^|•634", "оатлмбзч")]
 _WORDS = re.compile(rf"[\w{re.escape(SIGNS)}]+")
 _PLAIN = re.compile(r"[^\W_]+")
 _CYRILLIC = re.compile("[а-я]")
@@ -166,13 +167,16 @@ def _crowded(one: DataFrame, crowd: DataFrame, similarity: float) -> DataFrame:
     df = single.groupBy("run").agg(F.count("*").alias("df"))
     order = Window.partitionBy("a").orderBy("df", "run")
     rare = single.join(df, "run").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("size") - F.ceil(F.lit(similarity) * F.col("size")) + 1)
-    rare = rare.where("df > 1").select("a", "run", "size")
-    other = rare.select(F.col("a").alias("a2"), "run", F.col("size").alias("size2"))
+    rare = rare.where("df > 1").select("a", "run", "size", "r")
+    other = rare.select(F.col("a").alias("a2"), "run", F.col("size").alias("size2"), F.col("r").alias("r2"))
     near = (F.col("a") < F.col("a2")) & (F.least("size", "size2") >= similarity * F.greatest("size", "size2"))
+    # The first run in this order that both have leaves no more than this for them to share: what many have in common stands at the end.
+    left = F.least(F.col("size") - F.col("r"), F.col("size2") - F.col("r2")) + F.least("r", "r2")
+    near = near & (left >= similarity / (1 + similarity) * (F.col("size") + F.col("size2")) - 1e-9)
     return rare.join(other, "run").where(near).select("a", "a2")
 
 
-def classes_and_links(articles: DataFrame, gold: DataFrame, hints: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def classes_and_links(articles: DataFrame, gold: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(article_id, a, b): the class of each article with a text, a class being the articles with the same runs; and (a, b, a2, b2, similarity): every link between two classes.
 
     Both are written to the shared folder. Null, empty and wordless texts have no class; repeated rows count once; a null article_id is
@@ -181,7 +185,7 @@ def classes_and_links(articles: DataFrame, gold: DataFrame, hints: DataFrame, si
     """
     kept = articles.where(F.length(F.trim("verbatim_text")) > 0).select("article_id", "verbatim_text")
     kind = articles.schema["article_id"].dataType.simpleString()
-    marks = written(kept.mapInArrow(_fingerprints(trained(gold, hints)), f"article_id {kind}, a bigint, b bigint, runs binary"), "runs")
+    marks = written(kept.mapInArrow(_fingerprints(trained(gold)), f"article_id {kind}, a bigint, b bigint, runs binary"), "runs")
     members = marks.select("article_id", "a", "b").distinct()
     one = marks.groupBy("a", "b").agg(F.any_value("runs").alias("runs"))
     one = written(one, "classes")
@@ -205,27 +209,31 @@ def pairs(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def groups(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(article_id, group_id, class_size, links): the story of each article, named by its smallest article id, the copies of its text, and the links of its class.
+    """(article_id, class_id, group_id, group_name, class_size, links): one row for each member: the class of its text and that class's size and links, and its story.
 
-    Groups are the components of the links: each class takes the smallest name among itself and its neighbours, then the name that
-    one has, until none changes; every round is written to the shared folder, and only the number of changes reaches the driver.
+    Stories are the components of the links over classes, never over article ids, so articles without an id, or with the same one, stay
+    apart: each class takes the smallest class among its own label and its neighbours', then the label which that one has, until none
+    changes; every round is written to the shared folder, and only the number of changes reaches the driver. group_id is the smallest class
+    of the story, group_name its smallest article id (null if none has one). Without members there are no rows.
     """
-    node = F.concat_ws(":", "a", "b")
-    named = written(members.groupBy(node.alias("node")).agg(F.min(F.coalesce("article_id", F.lit(""))).alias("name"), F.count("*").alias("class_size")), "names")
-    edges = links.select(node.alias("u"), F.concat_ws(":", "a2", "b2").alias("v"))
-    edges = written(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "edges")
-    now = named.select("node", "name")
+    sizes = written(members.groupBy("a", "b").agg(F.min("article_id").alias("name"), F.count("*").alias("class_size")), "sizes")
+    back = links.select(F.col("a2").alias("a"), F.col("b2").alias("b"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+    edges = written(links.select("a", "b", "a2", "b2").unionByName(back), "edges")
+    now = sizes.select("a", "b", F.struct("a", "b").alias("label"))
     while True:
-        offered = edges.join(now, edges.v == now.node).groupBy("u").agg(F.min("name").alias("offer"))
-        least = now.join(offered, now.node == offered.u, "left").select("node", F.col("name").alias("was"), F.least("name", F.coalesce("offer", "name")).alias("name"))
-        # Jump: the name of the class that gave its name.
-        given = least.join(named.select(F.col("name").alias("k"), F.col("node").alias("giver")), F.col("name") == F.col("k")).select("node", "was", "name", "giver")
-        jumped = given.join(least.select(F.col("node").alias("giver"), F.col("name").alias("further")), "giver").select("node", "was", F.least("name", "further").alias("name"))
-        after = written(jumped, "names")
-        changed = after.where("name <> was").limit(1).count()
-        now = after.select("node", "name")
+        offered = edges.join(now.select(F.col("a").alias("a2"), F.col("b").alias("b2"), "label"), ["a2", "b2"]).groupBy("a", "b").agg(F.min("label").alias("offer"))
+        least = now.join(offered, ["a", "b"], "left").select("a", "b", F.col("label").alias("was"), F.least("label", F.coalesce("offer", "label")).alias("label"))
+        giver = least.select(F.col("a").alias("label_a"), F.col("b").alias("label_b"), F.col("label").alias("further"))
+        jumped = least.join(giver, (F.col("label.a") == F.col("label_a")) & (F.col("label.b") == F.col("label_b"))).select("a", "b", "was", F.least("label", "further").alias("label"))
+        after = written(jumped, "labels")
+        changed = after.where("label <> was").limit(1).count()
+        now = after.select("a", "b", "label")
         if not changed:
             break
-    degree = edges.groupBy("u").agg(F.count("*").alias("links"))
-    known = now.join(named.select("node", "class_size"), "node").join(degree, F.col("node") == F.col("u"), "left")
-    return members.withColumn("node", node).join(known, "node").select("article_id", F.col("name").alias("group_id"), "class_size", F.coalesce("links", F.lit(0)).alias("links"))
+    degree = edges.groupBy("a", "b").agg(F.count("*").alias("links"))
+    known = now.join(sizes, ["a", "b"]).join(degree, ["a", "b"], "left")
+    names = known.groupBy("label").agg(F.min("name").alias("group_name"))
+    shown = known.join(names, "label").select(
+        "a", "b", F.concat_ws(":", "a", "b").alias("class_id"), F.concat_ws(":", "label.a", "label.b").alias("group_id"), "group_name", "class_size", F.coalesce("links", F.lit(0)).alias("links")
+    )
+    return members.join(shown, ["a", "b"]).select("article_id", "class_id", "group_id", "group_name", "class_size", "links")

@@ -1,9 +1,10 @@
 """Repair of text from scanned pages: running headers, page numbers, words cut at line ends, misread characters.
 
-Lines are labelled body, header or break (a page number) by a hidden Markov model over layout features; its tables are counted from
-gold reads, where a line of the scan none of whose words is in the correct text is no body. Paragraphs are put together from the body
-lines. Misread words are found among all words of all articles: a word that becomes a far more frequent one when a confusion of
-characters is undone, or that has a sign between its letters.
+Lines are labelled body, header or break (a page number) by a hidden Markov model over layout features, whatever paper they name; its
+tables are counted from gold reads, where a line of the scan none of whose words is in the correct text is no body. Paragraphs are put
+together from the body lines. What scanners take for what is learned too: from gold reads, aligned with their correct texts, and from all
+words of the corpus, where a confusion shows as rare words that differ from far more frequent ones always by the same characters.
+Misread is a word that becomes a far more frequent one when a confusion is undone, or that has a sign between its letters.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import difflib
 import math
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,17 +24,13 @@ from folio.llm.batches import sliced
 from folio.llm.unify import AS_CYRILLIC, AS_LATIN, CYRILLIC, GREEK, GREEK_AS_CYRILLIC, GREEK_AS_LATIN, GREEK_C, LATIN
 from folio.session import written
 
-#: Bounds of what the model is trained on: gold reads, and names of papers.
-MOST_GOLD, MOST_NAMES = 5_000, 20_000
-#: What scanners commonly read for the letters that were printed.
-CONFUSIONS = (
-    ("н", "и"), ("п", "н"), ("з", "в"), ("л", "д"), ("л", "п"), ("п", "ц"), ("ь", "ъ"), ("щ", "ш"), ("ак", "ж"),
-    ("c", "e"), ("f", "t"), ("b", "h"), ("q", "g"), ("ri", "n"), ("ii", "u"), ("cl", "d"), ("rn", "m"), ("vv", "w"),
-    ("0", "о"), ("8", "а"), ("^", "т"), ("|", "л"), ("•", "м"), ("6", "б"), ("3", "з"), ("4", "ч"),
-    ("0", "o"), ("1", "i"), ("1", "l"), ("5", "s"), ("¦", "r"), ("†", "t"), ("~", "a"), ("|", "l"),
-)
+#: Bound of what the model is trained on: gold reads, the first by a hash.
+MOST_GOLD = 5_000
 #: A word is misread if undoing a confusion gives one that so many times as many articles have.
 TIMES = 10
+#: A confusion is learned from the corpus if it explains so many different words as misread, which are so large a part of all words
+#: that differ by it; the right ones stand in so many texts at least. Words longer than this teach none.
+LEAST_WORDS, LEAST_SHARE, LEAST_TEXTS, LONGEST = 3, 0.8, 20, 40
 #: Signs that stand for letters inside words.
 SIGNS = "^|~¦†•§¢£¥"
 HYPHENS = "-‐¬=⸗\xad"
@@ -41,8 +38,9 @@ HYPHENS = "-‐¬=⸗\xad"
 _INVISIBLE = re.compile(r"[\u180e\u200b-\u200f\u2060-\u2064\ufeff]+")
 _SOFT = re.compile(r"\xad(?!\s*\n)")
 _NUMBER = re.compile(r"\W{0,4}(?:(?:стр|с|page|pag|seite|p|s)\b\.?\s*)?\W{0,3}(\d{1,3})\W{0,4}", re.I)
-_ISSUE = re.compile(r"(?:\bброй|\bбр\.|\bno\.?|\bnr\.?|\bn°|№|\bnum[ée]ro|\bissue)\s*\d+", re.I)
-_DATE = re.compile(r"\b(?:1[6-9]|20)\d\d\b")
+#: The number of an issue, and a date with its year at the end of a line, each set apart from what else the line has.
+_ISSUE = re.compile(r"(?:^|[,·•—–|]\s*|\s{2})(?:брой|бр\.|no\.?|nr\.?|n°|№|num[ée]ro|issue)\s*\d+(?=$|\s*[,·•—–|]|\s{2})", re.I)
+_DATE = re.compile(r"(?:^|[,·•—–|]\s*|\s{2})\d{1,2}(?:\.?\s+[^\W\d_]{3,}\s+|[./-]\d{1,2}[./-])(?:1[6-9]|20)\d\d$")
 _SPACED = re.compile(r"(?:[^\W\d_]\s+){4,}[^\W\d_]\b")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _WORD = re.compile(r"[^\W\d_](?:[\w^|~¦†•§¢£¥'’-]*\w)?|(?<![\d^|~¦†•§¢£¥])[\d^|~¦†•§¢£¥]+[^\W\d_][\w^|~¦†•§¢£¥]*")
@@ -75,99 +73,78 @@ def squeezed(text: str) -> str:
     return _NOT_LETTERS.sub("", text).lower()
 
 
-class Names:
-    """Names of papers, looked up in short lines, also with a few characters misread."""
+_GAPS = re.compile(r"\S(?:\s{2,}|\s+[·•—–|]\s+)\S")
+_STOP = re.compile(r"[.!?…:;,][\"'”“»’)\]]*$")
+_INNER_STOP = re.compile(r"(?:\d|[^\W\d_]{4})[.!?…:;][\"'”“»’)\]]*\s")
 
-    def __init__(self, names: list[str]):
-        self.names = sorted({squeezed(unicodedata.normalize("NFKC", n)) for n in names if n} - {""}, key=len, reverse=True)
-        self.whole = set(self.names)
-        self.grams: dict[str, set[str]] = defaultdict(set)
-        for n in self.names:
-            for i in range(len(n) - 2):
-                self.grams[n[i : i + 3]].add(n)
-        self.known: dict[str, int] = {}
 
-    def match(self, line: str) -> int:
-        """2: the line is a name, perhaps with issue and date; 1: nearly; 0: neither."""
-        found = self.known.get(line)
-        if found is None:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            found = self.known[line] = self._match(line)
-        return found
-
-    def _match(self, line: str) -> int:
-        bare = squeezed(_ISSUE.sub(" ", line))
-        if bare in self.whole:
-            return 2
-        hits = Counter(n for i in range(len(bare) - 2) for n in self.grams.get(bare[i : i + 3], ()))
-        for n, h in hits.most_common(3):
-            if h * 3 < len(n) - 2:
-                break
-            # Months and the like may stand beside the name.
-            if n in bare and len(bare) - len(n) <= 12:
-                return 2
-            m = difflib.SequenceMatcher(None, bare, n, autojunk=False)
-            same = sum(b.size for b in m.get_matching_blocks())
-            if same >= 0.8 * len(n) and len(bare) - same <= 14:
-                return 1
-        return 0
-
-
-def features(lines: list[str], names: Names) -> list[tuple]:
-    """What the layout of each line shows."""
-    long = sorted(len(x) for x in lines)[len(lines) // 2] if lines else 0
+def features(lines: list[str]) -> list[tuple]:
+    """What the layout of each line shows: the sign of a head or number that it has, whether it is short, how it starts and ends, whether it breaks into a sentence."""
+    long = sorted(map(len, lines))[len(lines) // 2] if lines else 0
     out = []
-    for x in lines:
+    going = False
+    for i, x in enumerate(lines):
         s = x.strip()
-        number = bool(_NUMBER.fullmatch(s)) if len(s) <= 14 else False
-        digits = any(map(str.isdigit, s)) if not number else False
-        issue = digits and bool(_ISSUE.search(s))
-        date = digits and bool(_DATE.search(s))
-        upper = s.isupper()
-        spaced = upper and bool(_SPACED.search(s))
-        name = 0
-        if not number and 4 < len(s) <= 90 and (upper or issue or date or len(s) * 4 < long * 3 or len(lines) < 4) and s[-1] not in HYPHENS:
-            name = names.match(s)
-            if name == 1 and not (upper or issue or date):
-                name = 0
-        shape = "spaced" if spaced else "upper" if upper else "mixed"
-        out.append(("number" if number else "issue" if issue and name else "date" if date and name else "none", name, shape if not number else "none", len(s) * 4 < long * 3))
+        end = "stop" if _STOP.search(s) else "hyphen" if s[-1] in HYPHENS else "open"
+        lower = s[0].islower()
+        sign = "number" if len(s) <= 14 and _NUMBER.fullmatch(s) else "none"
+        if sign == "none":
+            upper = sum(map(str.isupper, s))
+            if upper > 4 and upper > sum(map(str.islower, s)):
+                sign = "spaced" if _SPACED.search(s) else "caps"
+            if sign != "spaced" and end == "open" and len(s) <= 90 and not _INNER_STOP.search(s):
+                digits = any(map(str.isdigit, s))
+                same = " ".join(one_script(s.lower().split(" "))) if digits and _SCRIPTS_MEET.search(s.lower()) else s
+                sign = "issue" if digits and _ISSUE.search(same) else "date" if digits and _DATE.search(s) else "gaps" if sign == "none" and _GAPS.search(s) else sign
+        after = next((y.lstrip()[0] for y in lines[i + 1 : i + 2]), "")
+        out.append((sign, len(s) * 4 < long * 3, "lower" if lower else "other", end, going and after.islower()))
+        going = end == "hyphen" or end == "open"
     return out
 
 
+#: What the model starts from, as counts of lines, so that few gold reads do, or none: of each state, the values of each feature, and the states after it.
+PRIOR = {
+    "body": ({"none": 40, "gaps": 1}, {False: 28, True: 12}, {"lower": 26, "other": 14}, {"open": 24, "stop": 9, "hyphen": 7}, {False: 35, True: 5}),
+    "header": ({"issue": 3, "date": 2, "spaced": 2, "caps": 2, "gaps": 1}, {True: 5, False: 5}, {"other": 9, "lower": 1}, {"open": 10}, {True: 5, False: 5}),
+    "break": ({"number": 8}, {True: 6, False: 2}, {"other": 6, "lower": 2}, {"open": 4, "stop": 2, "hyphen": 2}, {True: 4, False: 4}),
+}
+FOLLOWS = {"body": {"body": 36, "header": 2, "break": 2}, "header": {"body": 6, "header": 1, "break": 1}, "break": {"body": 6, "header": 1, "break": 1}}
+
+
 class Model:
-    """A hidden Markov model of the lines of a page."""
+    """A hidden Markov model of the lines of a page, and the confusions of characters in gold reads."""
 
-    def __init__(self, names: list[str]):
-        self.names = Names(names)
-        self.start = dict.fromkeys(STATES, math.log(1 / 3))
-        self.move = {a: dict.fromkeys(STATES, math.log(1 / 3)) for a in STATES}
-        self.counts: dict[str, list[Counter]] = {s: [Counter() for _ in range(4)] for s in STATES}
+    def __init__(self):
+        self.counts = {s: [Counter(c) for c in PRIOR[s]] for s in STATES}
+        self.first, self.next = Counter(FOLLOWS["body"]), {s: Counter(c) for s, c in FOLLOWS.items()}
         self.known: dict[tuple, tuple[float, ...]] = {}
+        self.confusions: tuple[tuple[str, str], ...] = ()
+        self._weigh()
+
+    def _weigh(self) -> None:
+        self.start = {s: math.log((self.first[s] + 1) / (self.first.total() + 3)) for s in STATES}
+        self.move = {a: {b: math.log((self.next[a][b] + 1) / (self.next[a].total() + 3)) for b in STATES} for a in STATES}
+        self.known.clear()
 
     def train(self, pairs: list[tuple[str, str]]) -> Model:
         """From (scanned text, correct text)."""
-        start, move = Counter(), {a: Counter() for a in STATES}
         for scanned, correct in pairs:
             lines = [x for x in plain(scanned or "").split("\n") if x.strip()]
-            right = set((correct or "").split())
-            seen = features(lines, self.names)
+            right = set(plain(correct or "").split())
             last = None
-            for x, f in zip(lines, seen, strict=True):
-                words = x.split()
-                foreign = len(words) < 12 and not any(w in right and len(w) > 1 for w in words)
+            for x, f in zip(lines, features(lines), strict=True):
+                words = [w for w in x.split() if len(w) > 1]
+                foreign = len(words) < 12 and right.isdisjoint(words)
                 state = "body" if not foreign else "break" if f[0] == "number" else "header"
                 for k, v in enumerate(f):
                     self.counts[state][k][v] += 1
                 if last:
-                    move[last][state] += 1
+                    self.next[last][state] += 1
                 else:
-                    start[state] += 1
+                    self.first[state] += 1
                 last = state
-        self.start = {s: math.log((start[s] + 1) / (start.total() + 3)) for s in STATES}
-        self.move = {a: {b: math.log((move[a][b] + 1) / (move[a].total() + 3)) for b in STATES} for a in STATES}
-        self.known.clear()
+        self._weigh()
+        self.confusions = tuple(sorted({c for scanned, correct in pairs for c in differences(repaired(scanned or "", self), plain(correct or ""))}))
         return self
 
     def _emission(self, f: tuple) -> tuple[float, ...]:
@@ -178,13 +155,14 @@ class Model:
 
     def label(self, lines: list[str]) -> list[str]:
         """The most likely states of lines that aren't blank."""
-        seen = features(lines, self.names)
-        if all(f[0] == "none" and not f[1] for f in seen):
+        seen = [self._emission(f) for f in features(lines)]
+        # Where no line is likelier, by more than a way there could save, to be anything else, all are body: no other path can win.
+        spare = 2 * self.move["body"]["body"]
+        if self.start["body"] >= max(self.start.values()) and all(max(e[1:]) - spare < e[0] for e in seen):
             return ["body"] * len(lines)
-        best = [self.start[s] + e for s, e in zip(STATES, self._emission(seen[0]), strict=True)]
+        best = [self.start[s] + e for s, e in zip(STATES, seen[0], strict=True)]
         back = []
-        for f in seen[1:]:
-            e = self._emission(f)
+        for e in seen[1:]:
             steps = [max((best[i] + self.move[a][b], i) for i, a in enumerate(STATES)) for b in STATES]
             best = [s[0] + e[k] for k, s in enumerate(steps)]
             back.append([s[1] for s in steps])
@@ -196,6 +174,19 @@ class Model:
         return [STATES[i] for i in reversed(path)]
 
 
+def differences(read: str, correct: str) -> list[tuple[str, str]]:
+    """(read, true): the characters that differ in the aligned words of two texts; case ignored, up to two characters for one or one for two."""
+    a, b = read.lower().split(), correct.lower().split()
+    out = []
+    for op, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+        if op != "replace" or j - i != m - k:
+            continue
+        for u, v in zip(a[i:j], b[k:m], strict=True):
+            found = [c for c in difflib.SequenceMatcher(None, u, v, autojunk=False).get_opcodes() if c[0] != "equal"]
+            out += [(u[p:q], v[r:s]) for _, p, q, r, s in found if len(found) < 3 and 2 <= q - p + s - r <= 3 and q > p and s > r]
+    return out
+
+
 def read_page(text: str, model: Model) -> tuple[list[list[str]], list[str], list[int]]:
     """The body lines by paragraph, the running heads and the page numbers. A blank line beside a header or number divides no paragraph that goes on."""
     raw = plain(text).split("\n")
@@ -282,7 +273,7 @@ def _scan(model: Model):
                     seen.update(one_script(_WORD.findall(whole.lower())))
                 cut.append(certain)
                 maybe.append(list(unsure))
-                head.append(any(f[1] for f in features(heads, model.names)))
+                head.append(bool(heads))
                 numbers.append(found)
                 words.append([w for w in seen if len(w) > 2])
             yield pa.RecordBatch.from_arrays(
@@ -293,55 +284,81 @@ def _scan(model: Model):
     return run
 
 
-def trained(gold: DataFrame, hints: DataFrame) -> Model:
-    """The model, from at most MOST_GOLD gold reads and MOST_NAMES names of papers."""
-    pairs = [(r[0], r[1]) for r in gold.select("prediction_text", "reference_text").limit(MOST_GOLD).collect()]
-    names = [r[0] for r in hints.select("publication").where("publication is not null").distinct().limit(MOST_NAMES + 1).collect()]
-    if len(names) > MOST_NAMES:
-        raise ValueError(f"more than {MOST_NAMES} names of papers")
-    return Model(names).train(pairs)
+def trained(gold: DataFrame) -> Model:
+    """The model, from at most MOST_GOLD gold reads, the first by a hash."""
+    first = gold.select("prediction_text", "reference_text").distinct().orderBy(F.xxhash64("prediction_text", "reference_text")).limit(MOST_GOLD)
+    return Model().train([(r[0], r[1]) for r in first.collect()])
 
 
-def undone(word: str) -> set[str]:
+def undone(word: str, confusions: tuple[tuple[str, str], ...]) -> set[str]:
     """What the word may have been: one confusion undone, or all of its signs and digits."""
     out = set()
-    for read, true in CONFUSIONS:
+    for read, true in confusions:
         at = word.find(read)
         while at >= 0:
             out.add(word[:at] + true + word[at + len(read) :])
             at = word.find(read, at + 1)
     if sum(c in SIGNS or c.isdigit() for c in word) > 1:
-        for script in (0, 1):
-            table = {a: b for a, b in CONFUSIONS if not a.isalpha() and (("а" <= b <= "я") == bool(script))}
+        for script in (False, True):
+            table = {a: b for a, b in confusions if len(a) == 1 and not a.isalpha() and ("а" <= b <= "я") == script}
             out.add("".join(table.get(c, c) for c in word))
     out.discard(word)
     return out
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches):
-        rows = [list(undone(w)) for w in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.string()))], ["word", "df", "before"])
+def _candidates(confusions: tuple[tuple[str, str], ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            rows = [list(undone(w, confusions)) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.string()))], ["word", "df", "before"])
+
+    return run
 
 
-def scanned(articles: DataFrame, gold: DataFrame, hints: DataFrame) -> DataFrame:
-    """One row for each article with a text: (article_id, page_id, cut, maybe, head, numbers, words), written to the shared folder. Null and blank texts give none."""
-    model = trained(gold, hints)
-    kept = articles.where(F.length(F.trim("verbatim_text")) > 0).select(F.struct("article_id", "page_id").alias("__key"), "verbatim_text")
+def scanned(articles: DataFrame, model: Model) -> DataFrame:
+    """One row for each article with a text: (article_id, page_id, h, cut, maybe, head, numbers, words), h a hash of the text; written to the shared folder. Null and blank texts give none."""
+    kept = articles.where(F.length(F.trim("verbatim_text")) > 0).select(F.struct("article_id", "page_id", F.xxhash64("verbatim_text").alias("h")).alias("__key"), "verbatim_text")
     schema = f"__key {kept.schema['__key'].dataType.simpleString()}, cut boolean, maybe array<string>, head boolean, numbers array<int>, words array<string>"
     done = kept.mapInArrow(_scan(model), schema)
-    return written(done.select("__key.article_id", "__key.page_id", "cut", "maybe", "head", "numbers", "words"), "scan")
+    return written(done.select("__key.article_id", "__key.page_id", "__key.h", "cut", "maybe", "head", "numbers", "words"), "scan")
 
 
 def word_counts(scan: DataFrame) -> DataFrame:
-    """(word, df): in how many articles each word stands, over all articles; written to the shared folder."""
-    return written(scan.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df")), "words")
+    """(word, df): in how many different texts each word stands, over all of them; written to the shared folder. Copies count once: a misread word in a text with many copies is no more frequent for it."""
+    once = scan.select("h", "words").dropDuplicates(["h"])
+    return written(once.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df")), "words")
+
+
+def confusions_of(counts: DataFrame, known: tuple[tuple[str, str], ...] = ()) -> tuple[tuple[str, str], ...]:
+    """(read, true): the known confusions, and those learned from (word, df).
+
+    Words that are equal but for one place within them, one or two characters there against one or one against two, meet at the hash of what they
+    have in common. Of all words that differ from a frequent one (LEAST_TEXTS) in the same way, nearly all (LEAST_SHARE) must be far rarer (TIMES),
+    and they must be of LEAST_WORDS different ones: forms of a word differ from one another alike, but neither is the rarer throughout. The
+    last two characters and the first are left out, for there words change by inflection. What comes to the driver is bounded by the characters.
+    """
+    able = counts.where(F.length("word").between(5, LONGEST))
+
+    def cut(df: DataFrame, size: int, names: tuple[str, str, str]) -> DataFrame:
+        at = df.where(F.length("word") >= 3 + size).withColumn("at", F.explode(F.sequence(F.lit(2), F.length("word") - 1 - size)))
+        key = F.xxhash64(F.substr("word", F.lit(1), F.col("at") - 1), F.substr("word", F.col("at") + size))
+        return at.select(key.alias("key"), F.col("word").alias(names[0]), F.col("df").alias(names[1]), F.substr("word", F.col("at"), F.lit(size)).alias(names[2]))
+
+    left, right = ("word", "df", "read"), ("right", "right_df", "true")
+    usual = able.where((F.col("df") >= LEAST_TEXTS) & F.col("word").rlike(r"^\p{L}+$"))
+    one, two = cut(able, 1, left), cut(able, 2, left)
+    met = one.unionByName(two).join(cut(usual, 1, right), "key").unionByName(one.join(cut(usual, 2, right), "key"))
+    met = met.where(~(F.contains("read", F.col("true")) | F.contains("true", F.col("read"))))
+    rarer = F.when(F.col("right_df") >= TIMES * F.col("df"), F.col("right"))
+    found = met.groupBy("read", "true").agg(F.count_distinct(rarer).alias("rare"), F.count_distinct("right").alias("every"))
+    rows = found.where((F.col("rare") >= LEAST_WORDS) & (F.col("rare") >= LEAST_SHARE * F.col("every"))).select("read", "true").collect()
+    return tuple(sorted({*known, *((r.read, r.true) for r in rows)}))
 
 
-def misread_words(counts: DataFrame) -> DataFrame:
+def misread_words(counts: DataFrame, confusions: tuple[tuple[str, str], ...]) -> DataFrame:
     """(word, true_word): the words of the corpus that are misread, each with the most frequent word it may stand for; null where only a single sign between its letters tells."""
-    able = "[" + "".join(sorted({a[0] for a, _ in CONFUSIONS} | set(SIGNS))).replace("^", r"\^") + "]"
-    rare = counts.where(F.col("word").rlike(able)).mapInArrow(_candidates, "word string, df bigint, before array<string>")
+    able = "[" + "".join(sorted({a[0] for a, _ in confusions} | set(SIGNS))).replace("\\", r"\\").replace("]", r"\]").replace("[", r"\[").replace("^", r"\^").replace("-", r"\-") + "]"
+    rare = counts.where(F.col("word").rlike(able)).mapInArrow(_candidates(confusions), "word string, df bigint, before array<string>")
     long = rare.select("word", "df", F.explode("before").alias("true_word")).where((F.length("true_word") >= 4) | ~F.col("word").rlike(r"^\p{L}+$"))
     known = counts.select(F.col("word").alias("true_word"), F.col("df").alias("true_df")).where(F.col("true_word").rlike(r"^[\p{L}'’-]+$"))
     found = long.join(known, "true_word").where(F.col("true_df") >= TIMES * F.col("df"))
@@ -357,23 +374,24 @@ def own_hyphens(maybe: DataFrame, counts: DataFrame) -> DataFrame:
     return maybe.select("word").distinct().join(whole, "word").join(bare, "without", "left").where(F.col("with_hyphen") >= F.coalesce("n", F.lit(0))).select("word")
 
 
-def noise(articles: DataFrame, pages: DataFrame, gold: DataFrame, hints: DataFrame) -> DataFrame:
+def noise(articles: DataFrame, pages: DataFrame, gold: DataFrame) -> DataFrame:
     """(article_id, kind): the kinds of noise in each article's verbatim text: hyphen, misread, running_head, page_number.
 
-    A line in the state header counts if it has a paper's name, one in the state break if its number is the page's; where the page
-    isn't known, any. A plain hyphen at a line end counts unless the corpus has the word with its hyphen at least as often as
+    A line in the state header counts whatever paper it names; one in the state break if its number is the page's; where the page isn't
+    known, any. A plain hyphen at a line end counts unless the corpus has the word with its hyphen at least as often as
     without. Null, empty and blank texts have no noise; repeated rows count once; a null article_id is kept; without rows there
-    are none; other columns are not read. Words are counted over the body of all articles, for running heads are damaged in other
-    ways; only gold reads and names reach the driver.
+    are none; other columns are not read. Words are counted over the body of all different texts, for running heads are damaged in other
+    ways; only gold reads and confusions of characters reach the driver.
     """
-    scan = scanned(articles, gold, hints)
+    model = trained(gold)
+    scan = scanned(articles, model)
     counts = word_counts(scan)
     numbered = pages.where("page_id is not null").groupBy("page_id").agg(F.any_value("page_number", True).alias("page_number"))
     number = scan.where(F.size("numbers") > 0).join(numbered, "page_id", "left").where(F.col("page_number").isNull() | F.array_contains("numbers", F.col("page_number")))
     maybe = scan.where(~F.col("cut")).select("article_id", F.explode("maybe").alias("word"))
     own = own_hyphens(maybe, counts)
     cut = scan.where("cut").select("article_id").unionByName(maybe.join(own, "word", "left_anti").select("article_id"))
-    wrong = written(misread_words(counts).select("word"), "misread")
+    wrong = written(misread_words(counts, confusions_of(counts, model.confusions)).select("word"), "misread")
     misread = scan.select("article_id", F.explode("words").alias("word")).join(wrong, "word", "left_semi")
     kinds = {"hyphen": cut, "misread": misread, "running_head": scan.where("head"), "page_number": number}
     out = None
@@ -392,10 +410,10 @@ def _repair(model: Model):
     return run
 
 
-def repair(records: DataFrame, key: str, gold: DataFrame, hints: DataFrame, text: str = "verbatim_text") -> DataFrame:
+def repair(records: DataFrame, key: str, gold: DataFrame, text: str = "verbatim_text") -> DataFrame:
     """(key, repaired_text): each row's text as continuous paragraphs without running heads and page numbers, words joined; null stays null, blank gives ''."""
     kept = records.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    done = kept.mapInArrow(_repair(trained(gold, hints)), f"__key {kept.schema['__key'].dataType.simpleString()}, __text string")
+    done = kept.mapInArrow(_repair(trained(gold)), f"__key {kept.schema['__key'].dataType.simpleString()}, __text string")
     return done.select(F.col("__key").alias(key), F.col("__text").alias("repaired_text"))
 
 
@@ -429,18 +447,19 @@ _LONG = r"[\p{L}\p{N}\^|~¦†•§¢£¥'’-]{3,}+"
 _PIECES = r"[\p{L}\p{N}\^|~¦†•§¢£¥'’-]+|[^\p{L}\p{N}\^|~¦†•§¢£¥'’-]+"
 
 
-def corrected(articles: DataFrame, gold: DataFrame, hints: DataFrame, fields: tuple[str, ...] = ("verbatim_text",)) -> DataFrame:
+def corrected(articles: DataFrame, gold: DataFrame, fields: tuple[str, ...] = ("verbatim_text",)) -> DataFrame:
     """(article_id, field, repaired_text): each field as repair() has it, but compounds cut at their own hyphen keep it, and misread words are written as the word that they most likely were.
 
-    Both are told by the counts of all words (see own_hyphens and misread_words), over all of the fields, an article counting once;
+    Both are told by the counts of all words (see own_hyphens and misread_words), over all of the fields, a row's fields together counting once;
     capitals stay. Null texts stay null; repeated rows stay. Each text is read once.
     """
-    kept = articles.select(F.col("article_id").alias("__key"), *fields)
+    model = trained(gold)
+    kept = articles.select(F.struct("article_id", F.xxhash64(*fields).alias("h")).alias("__key"), *fields)
     schema = f"__key {kept.schema['__key'].dataType.simpleString()}, made array<struct<pieces:array<string>,breaks:array<string>>>, words array<string>"
-    scan = written(kept.mapInArrow(_divide(trained(gold, hints)), schema), "divided")
+    scan = written(kept.mapInArrow(_divide(model), schema).select("__key.article_id", "__key.h", "made", "words"), "divided")
     counts = word_counts(scan)
-    wrong = written(misread_words(counts).where("true_word is not null"), "misread")
-    one = scan.select(F.col("__key").alias("article_id"), F.posexplode("made").alias("at", "x")).select("article_id", "at", "x.pieces", "x.breaks")
+    wrong = written(misread_words(counts, confusions_of(counts, model.confusions)).where("true_word is not null"), "misread")
+    one = scan.select("article_id", F.posexplode("made").alias("at", "x")).select("article_id", "at", "x.pieces", "x.breaks")
     divided = one.withColumn("key", F.xxhash64("article_id", "pieces", "breaks"))
     maybe = divided.where(F.size("breaks") > 0).select("key", F.explode(F.array_distinct("breaks")).alias("word"))
     own = maybe.join(own_hyphens(maybe, counts), "word").groupBy("key").agg(F.collect_set("word").alias("own"))

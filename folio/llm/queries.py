@@ -41,16 +41,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    passages = read(spark, sf_dir, "passages").select("passage_id", "article_id", "normalized_text", "start_offset")
+    passages = read(spark, sf_dir, "passages").select("passage_id", "article_id", "passage_order", "normalized_text", "start_offset")
     return splitting.split_oversized(splitting.recovered_offsets(passages, read(spark, sf_dir, "articles")))
 
 
-def _noise_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return read(spark, sf_dir, "gold_reads"), read(spark, sf_dir, "publication_hints")
+def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "gold_reads")
 
 
 def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return neardup.classes_and_links(read(spark, sf_dir, "articles"), *_noise_tables(spark, sf_dir))
+    return neardup.classes_and_links(read(spark, sf_dir, "articles"), _gold(spark, sf_dir))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,11 +62,11 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ocr.noise(read(spark, sf_dir, "articles"), read(spark, sf_dir, "pages"), *_noise_tables(spark, sf_dir))
+    return ocr.noise(read(spark, sf_dir, "articles"), read(spark, sf_dir, "pages"), _gold(spark, sf_dir))
 
 
 def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ocr.corrected(read(spark, sf_dir, "articles"), *_noise_tables(spark, sf_dir), fields=("verbatim_text", "normalized_text"))
+    return ocr.corrected(read(spark, sf_dir, "articles"), _gold(spark, sf_dir), fields=("verbatim_text", "normalized_text"))
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.truncated(_records(spark, sf_dir), *_noise_tables(spark, sf_dir))
+    return truncation.truncated(_records(spark, sf_dir), _gold(spark, sf_dir))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

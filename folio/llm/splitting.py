@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Estimated tokens: length in code points divided by this, rounded up.
 CHARS_PER_TOKEN = 3.2
@@ -51,8 +52,10 @@ def _snap(at: list[int], strength: list[float], target: float, low: float, high:
 def pieces(text: str, most: int, overlap: int) -> list[tuple[int, int]]:
     """Half-open spans of at most `most` characters that cover the text; successive ones share about `overlap` characters.
 
-    The fewest possible pieces are tried first: equal targets, each snapped to the strongest boundary near it. Where a piece
-    would get too long, one more is tried. Where there is no boundary at all, the cut is at the target itself.
+    The fewest possible pieces are tried first: equal targets, each snapped to the strongest boundary near it. As long as the last
+    piece gets too long, for the others are kept short enough, there are more pieces, so the targets lie closer. Where there is no
+    boundary at all, the cut is at the target itself. Targets move by a quarter of what a piece has beside its overlap at most, so all
+    pieces fit at four times the least count if not before.
     """
     n = len(text)
     if n <= most:
@@ -60,27 +63,28 @@ def pieces(text: str, most: int, overlap: int) -> list[tuple[int, int]]:
     overlap = max(0, min(overlap, most // 2 - 1))
     at, strength = boundaries(text)
     count = math.ceil((n - overlap) / (most - overlap))
-    for k in range(count, count + 3):
-        size = (n + (k - 1) * overlap) / k
-        out: list[tuple[int, int]] = []
-        start = 0
-        for i in range(k - 1):
-            target = (i + 1) * (size - overlap) + overlap
-            low, high = max(start + overlap + 1, target - size / 4), min(start + most, target + size / 4)
-            end = _snap(at, strength, target, low, high, size / 4) if high > low else None
-            end = min(end if end is not None else round(target), start + most)
-            out.append((start, end))
-            back = _snap(at, strength, end - overlap, max(start + 1, end - 1.5 * overlap), end - 0.5 * overlap, max(overlap / 2, 1)) if overlap else end
-            start = max(start + 1, back if back is not None else end - overlap)
-        out.append((start, n))
-        if all(e - s <= most for s, e in out):
+    while True:
+        out = _placed(at, strength, n, most, overlap, count)
+        if out[-1][1] - out[-1][0] <= most:
             return out
-    # No snapping keeps every piece short enough: go on from each start as far as allowed.
-    out, start = [], 0
-    while n - start > most:
-        end = _snap(at, strength, start + most, start + most / 2, start + most, most) or start + most
+        # Very long texts take more pieces at a time.
+        count += max(1, count // 64)
+
+
+def _placed(at: list[int], strength: list[float], n: int, most: int, overlap: int, count: int) -> list[tuple[int, int]]:
+    """So many pieces, all but the last of at most `most` characters."""
+    step = (n - overlap) / count
+    reach, back = min((step + overlap) / 4, (most - overlap) / 4), min(overlap / 2, (most - overlap) / 4)
+    out: list[tuple[int, int]] = []
+    start = 0
+    for i in range(count - 1):
+        target = (i + 1) * step + overlap
+        low, high = max(start + overlap + 1, target - reach), min(start + most, target + reach)
+        end = _snap(at, strength, target, low, high, reach) if high > low else None
+        end = max(start + 1, min(end if end is not None else round(target), start + most))
         out.append((start, end))
-        start = max(start + 1, end - overlap)
+        again = _snap(at, strength, end - overlap, max(start + 1, end - overlap - back), end - overlap + back, max(back, 1)) if overlap else end
+        start = max(start + 1, again if again is not None else end - overlap)
     return [*out, (start, n)]
 
 
@@ -126,9 +130,18 @@ def split_oversized(passages: DataFrame, limit: int = 900, overlap: int = 50) ->
 
 
 def recovered_offsets(passages: DataFrame, articles: DataFrame) -> DataFrame:
-    """The passages, null start offsets filled in where the passage's text stands word for word in its article. Passages that have one pass by."""
+    """The passages, null start offsets filled in where the passage's text stands word for word in its article. Passages that have one pass by.
+
+    A text that its article has several times is looked for from the start of the last passage before it, by passage_order, whose offset is
+    known; without a passage_order, and where nothing is found from there on, the first place counts.
+    """
+    order = Window.partitionBy("article_id").orderBy("passage_order").rangeBetween(Window.unboundedPreceding, -1)
+    before = passages.select("passage_id", "article_id", "passage_order", "start_offset").distinct().withColumn("__after", F.max("start_offset").over(order))
+    before = before.where("start_offset is null and __after is not null").groupBy(F.col("passage_id").alias("__id"), F.col("article_id").alias("__of")).agg(F.max("__after").alias("__after"))
     unknown = passages.where(F.col("start_offset").isNull())
-    texts = articles.select("article_id", F.col("normalized_text").alias("__article"))
-    place = F.expr("instr(__article, normalized_text)")
-    found = unknown.join(texts, "article_id", "left").withColumn("start_offset", F.when(place > 0, (place - 1).cast("int")))
+    texts = articles.select(F.col("article_id").alias("__of"), F.col("normalized_text").alias("__article"))
+    known = unknown.join(texts, F.col("article_id") == F.col("__of"), "left").drop("__of").join(before, (F.col("passage_id") == F.col("__id")) & (F.col("article_id") == F.col("__of")), "left")
+    place = F.expr("locate(normalized_text, __article, coalesce(__after, -1) + 2)")
+    place = F.when(place > 0, place).otherwise(F.expr("instr(__article, normalized_text)"))
+    found = known.withColumn("start_offset", F.when(place > 0, (place - 1).cast("int")))
     return passages.where(F.col("start_offset").isNotNull()).unionByName(found.select(passages.columns))

@@ -106,7 +106,7 @@ def begun_elsewhere(texts: DataFrame) -> DataFrame:
     return found.where("part is null").select("a", "b").unionByName(across.select("a", "b"))
 
 
-def truncated(records: DataFrame, gold: DataFrame, hints: DataFrame) -> DataFrame:
+def truncated(records: DataFrame, gold: DataFrame) -> DataFrame:
     """(table_name, record_key, source, ending, longer_copy, truncated) of records (table_name, record_key, source, text).
 
     Every distinct record gives a row. ending: see ending(); null and blank texts are done and not truncated, whatever stands elsewhere.
@@ -123,7 +123,7 @@ def truncated(records: DataFrame, gold: DataFrame, hints: DataFrame) -> DataFram
     plainly = kept.where(done).select("table_name", "record_key", "source", "a", "b", F.lit("done").alias("ending"))
     rest = kept.where(~done).select(F.struct("table_name", "record_key", "source", "a", "b").alias("__key"), "text")
     schema = f"__key {rest.schema['__key'].dataType.simpleString()}, ending string"
-    looked = rest.mapInArrow(_endings(trained(gold, hints)), schema).select("__key.*", "ending")
+    looked = rest.mapInArrow(_endings(trained(gold)), schema).select("__key.*", "ending")
     joined = plainly.unionByName(looked).join(prefixes, ["a", "b"], "left")
     longer = F.coalesce("longer_copy", F.lit(False))
     return joined.select(
