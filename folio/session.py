@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -25,11 +27,11 @@ def get_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset and all runs in one JVM, a temporary folder, which is then set."""
+    """The folder of spark.checkpoint.dir; where that is unset and all runs in this one process, as in tests, a temporary folder, which is then set. Any cluster, a local one too, must name its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="folio-")
     spark.conf.set("spark.checkpoint.dir", made)
@@ -54,16 +56,33 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
 _WRITTEN: dict[str, list[str]] = {}
 
 
-def forget(spark: SparkSession) -> int:
-    """Deletes what written() has made so far; results that still read it must be done. Returns how many tables there were."""
-    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm = spark.sparkContext._jvm
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget(spark: SparkSession) -> int:
+    """Deletes what written() has made so far; results that still read it must be done. Returns how many tables there were."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    _delete(spark, paths)
     return len(paths)
 
 
+def replaced(df: DataFrame, new: DataFrame) -> DataFrame:
+    """new, once nothing reads df any more, a table that written() made: df is deleted, and the shuffles that nothing refers to are given up, so rounds don't pile up on the disks."""
+    spark = new.sparkSession
+    known = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    old = {os.path.basename(os.path.dirname(f)) for f in df.inputFiles()}
+    gone = [p for p in known if os.path.basename(p) in old]
+    _WRITTEN[spark.sparkContext.applicationId] = [p for p in known if p not in gone]
+    _delete(spark, gone)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return new
+
+
 def importable(spark: SparkSession) -> SparkSession:
     """The session, its Python workers told where this package lies, whatever folder they start in. Elsewhere than on shared disks, give it by --py-files."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
