@@ -23,7 +23,7 @@ def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy search: every vec_id divisible by 20 as a query, against all rows of embeddings."""
-    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.lit("embeddings").alias("model"), F.to_json("embedding").alias("embedding"))
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.lit("embeddings").alias("model"), "embedding")
     members, nodes = ann.nodes_of(ann.usable(vectors, "id", "model", "embedding"))
     centres = ann.centroids(nodes)
     graph = ann.graph_of(nodes, centres=centres)
