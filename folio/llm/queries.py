@@ -70,20 +70,24 @@ def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts of articles and article_input with the workflow that made them."""
-    articles, pages, reads = (read(spark, sf_dir, t) for t in ("articles", "pages", "article_input"))
-    workflows = pages.select("page_id", "workflow").dropDuplicates(["page_id"])
-    one = articles.join(workflows, "page_id", "left").select(F.lit("articles").alias("table_name"), F.col("article_id").alias("record_key"), F.col("workflow").alias("source"), F.col("verbatim_text").alias("text"))
+    """The texts of articles and article_input with the workflow of the latter, the page of the former."""
+    articles, reads = (read(spark, sf_dir, t) for t in ("articles", "article_input"))
+    one = articles.select(F.lit("articles").alias("table_name"), F.col("article_id").alias("record_key"), F.col("page_id").alias("source"), F.col("verbatim_text").alias("text"))
     two = reads.select(F.lit("article_input").alias("table_name"), F.col("read_id").alias("record_key"), "source", F.col("verbatim_text").alias("text"))
     return one.unionByName(two)
 
 
 def p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.truncated(_records(spark, sf_dir), _gold(spark, sf_dir))
+    """All records; pages are joined last, without the texts."""
+    found = truncation.truncated(_records(spark, sf_dir), _gold(spark, sf_dir))
+    workflows = read(spark, sf_dir, "pages").where("page_id is not null").groupBy("page_id").agg(F.min("workflow").alias("workflow"))
+    both = found.join(workflows, (F.col("table_name") == "articles") & (F.col("source") == F.col("page_id")), "left")
+    return both.withColumn("source", F.when(F.col("table_name") == "articles", F.col("workflow")).otherwise(F.col("source"))).drop("page_id", "workflow")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p6_records(spark, sf_dir).where("truncated").select("table_name", "record_key").distinct()
+    found = truncation.truncated(_records(spark, sf_dir), _gold(spark, sf_dir))
+    return found.where("truncated").select("table_name", "record_key").distinct()
 
 
 def p6_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Finding texts that stop before they end, and how often each source truncates.
 
-Evidence comes from a self-join by prefix: all distinct texts, reduced to letters and digits, are sorted across the cluster; a value is a
-strict prefix of a longer one exactly if it is one of its successor, so neighbours are all that is compared, whatever the number of
-copies or of texts with the same beginning. An open ending decides where no longer copy is known; an ending that whole texts also
-have (a signature, verse, a list, an instalment note) counts only with a longer copy.
+Evidence comes from a self-join by prefix: all texts, reduced to letters and digits, are sorted across the cluster; a value is a
+strict prefix of a longer one exactly if it begins its successor, so neighbours are all that is compared, whatever the number of
+copies or of texts with the same beginning. Where a longer copy is known, it decides, by how it goes on there: in the same word or the same
+sentence, and the text was cut. How a text ends decides where none is known, or where the copy goes on with another sentence; an ending that
+whole texts also have (a signature, verse, a list) counts only with a longer copy.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folio.llm.ocr import Model, plain, read_page, trained
+from folio.llm.ocr import HYPHENS, Model, plain, read_page, trained
 from folio.session import written
 
 #: Marks that are left where a text was cut; an ellipsis at the very end is one.
@@ -66,6 +67,36 @@ def ending(text: str, model: Model) -> str:
 CUT, PERHAPS = ("marked", "open"), ("signature", "list", "verse")
 
 
+_LETTERS = re.compile(r"[^\W_]+")
+_SAME_WORD = re.compile(rf"[{HYPHENS}]\s*\n\s*|[^\s!-/:-@\[-`{{-~–—„“”«»‘’…]*")
+
+
+def following(text: str, n: int) -> str:
+    """How a text goes on after its first n letters and digits: in the same word, sentence or abbreviation's sentence; with a new paragraph; or it is the end of a sentence."""
+    seen = 0
+    last = None
+    for m in _LETTERS.finditer(text):
+        if last is not None:
+            gap = text[last:m.start()]
+            if _SAME_WORD.fullmatch(gap):
+                return "word"
+            if re.search("[.!?…]", gap):
+                return "abbreviation" if m[0][0].islower() else "end"
+            return "paragraph" if re.search(r"\n\s*\n", gap) else "sentence"
+        seen += len(m[0])
+        if seen > n:
+            return "word"
+        if seen == n:
+            last = m.end()
+    return "end"
+
+
+def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [following(t, n) for t, n in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.string())], ["a", "b", "follows"])
+
+
 def _endings(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,60 +106,83 @@ def _endings(model: Model):
     return run
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each value once for each task: however many copies a text has, no task gets more of them than there are tasks."""
+    known: set[tuple[int, int]] = set()
+    for batch in batches:
+        first = []
+        for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            first.append(key not in known)
+            known.add(key)
+        yield batch.filter(pa.array(first, pa.bool_()))
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of values in order: the ids of those that begin their successor, and the first and last value of the partition."""
+    """Of values in order: the ids of those that begin their successor, and the successor's, and the first and last value of the partition."""
     last = first = None
     part = TaskContext.get().partitionId()
-    names = ["a", "b", "part", "first", "last"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string()]
+    names = ["a", "b", "a2", "b2", "part", "first", "last", "first_a", "first_b"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()]
     for batch in batches:
-        a, b = [], []
-        for x, y, value in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        found = []
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if last is None:
-                first = value
-            elif value.startswith(last[2]) and len(value) > len(last[2]):
-                a.append(last[0])
-                b.append(last[1])
-            last = (x, y, value)
-        none = [None] * len(a)
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip((a, b, none, none, none), kinds, strict=True)], names)
+                first = row
+            elif len(row[2]) > len(last[2]) and row[2].startswith(last[2]):
+                found.append((*last[:2], *row[:2], None, None, None, None, None))
+            last = row
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*found, strict=True) if found else [[]] * len(kinds), kinds, strict=True)], names)
     if last is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((last[0], last[1], part, first, last[2]), kinds, strict=True)], names)
+        edge = (*last[:2], None, None, part, first[2], last[2], *first[:2])
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(edge, kinds, strict=True)], names)
 
 
 def begun_elsewhere(texts: DataFrame) -> DataFrame:
-    """(a, b): of distinct (a, b, value), the ids of the values that are strict prefixes of another value."""
-    ordered = texts.repartitionByRange("value").sortWithinPartitions("value")
-    found = written(ordered.mapInArrow(_neighbours, "a bigint, b bigint, part int, first string, last string"), "prefixes")
+    """(a, b, a2, b2): of (a, b, value), the ids of the values that are strict prefixes of another value, and of the next such one."""
+    ordered = texts.mapInArrow(_once, texts.schema).repartitionByRange("value").sortWithinPartitions("value")
+    schema = "a bigint, b bigint, a2 bigint, b2 bigint, part int, first string, last string, first_a bigint, first_b bigint"
+    found = written(ordered.mapInArrow(_neighbours, schema), "prefixes")
     # Values at the edges of partitions: one row for each partition.
-    edges = found.where("part is not null").withColumn("next", F.lead("first").over(Window.orderBy("part")))
-    across = edges.where(F.col("next").startswith(F.col("last")) & (F.length("next") > F.length("last")))
-    return found.where("part is null").select("a", "b").unionByName(across.select("a", "b"))
+    order = Window.orderBy("part")
+    edges = found.where("part is not null").select("a", "b", "last", *[F.lead(c).over(order).alias(c) for c in ("first", "first_a", "first_b")])
+    across = edges.where(F.col("first").startswith(F.col("last")) & (F.length("first") > F.length("last"))).select("a", "b", F.col("first_a").alias("a2"), F.col("first_b").alias("b2"))
+    return found.where("part is null").select("a", "b", "a2", "b2").unionByName(across)
 
 
 def truncated(records: DataFrame, gold: DataFrame) -> DataFrame:
-    """(table_name, record_key, source, ending, longer_copy, truncated) of records (table_name, record_key, source, text).
+    """(table_name, record_key, source, ending, longer_copy, follows, truncated, evidence) of records (table_name, record_key, source, text).
 
     Every distinct record gives a row. ending: see ending(); null and blank texts are done and not truncated, whatever stands elsewhere.
-    longer_copy: another record's text begins with all of this one's letters and digits and goes on. Truncated are texts with an
-    open or marked ending, and ones with another ending than a full stop if a longer copy goes on. Null keys and sources are kept;
-    repeated rows count once; no records give no rows. Texts that plainly end with a full stop are told in the JVM.
+    longer_copy: another record's text begins with all of this one's letters and digits and goes on; follows: how (see following()). A text
+    is truncated by evidence of its copy if that goes on in the same word or sentence, and this one doesn't close with a full stop that the copy
+    hasn't there; by evidence of its ending if that is open or marked, or, with a longer copy, another than a full stop. Null keys and sources
+    are kept; repeated rows count once; no records give no rows. Texts that plainly end with a full stop are told in the JVM. Only letters and
+    digits are written and sorted; texts are read again where they are needed.
     """
     value = F.regexp_replace(F.lower("text"), r"(?:\[[^\]\n]{0,40}truncated[^\]\n]{0,20}\]|<[^>\n]{0,30}truncated[^>\n]{0,20}>)\s*$", "")
-    value = F.regexp_replace(value, r"[^\p{L}\p{N}]+", "")
-    keyed = records.distinct().withColumn("value", F.coalesce(value, F.lit(""))).select("*", F.xxhash64("value").alias("a"), F.xxhash64(F.lit(1), "value").alias("b"))
-    kept = written(keyed, "values")
-    prefixes = begun_elsewhere(kept.where("value <> ''").select("a", "b", "value").distinct()).distinct().withColumn("longer_copy", F.lit(True))
+    value = F.coalesce(F.regexp_replace(value, r"[^\p{L}\p{N}]+", ""), F.lit(""))
+    keyed = records.select(F.xxhash64("text").alias("t"), value.alias("value"))
+    kept = written(keyed.where("value <> ''").select("t", "value", F.xxhash64("value").alias("a"), F.xxhash64(F.lit(1), "value").alias("b")), "values")
+    prefixes = written(begun_elsewhere(kept.select("a", "b", "value")).distinct(), "begun")
+    # The texts of both sides, by their hashes; of the longer ones any will do.
+    shorter = kept.join(prefixes, ["a", "b"]).groupBy("t", "a", "b", "a2", "b2").agg(F.max(F.length("value")).alias("n"))
+    shorter = written(shorter, "shorter")
+    longer = kept.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("t").alias("t2")).join(prefixes.select("a2", "b2").distinct(), ["a2", "b2"]).groupBy("a2", "b2").agg(F.min("t2").alias("t2"))
+    pairs = shorter.select("a", "b", "a2", "b2", "n").distinct().join(longer, ["a2", "b2"])
+    read_again = records.select(F.xxhash64("text").alias("t2"), "text").join(pairs, "t2").select("a", "b", "n", "text")
+    follows = read_again.mapInArrow(_followed, "a bigint, b bigint, follows string").groupBy("a", "b").agg(F.min("follows").alias("follows"))
+    known = shorter.join(follows, ["a", "b"]).groupBy("t").agg(F.min("follows").alias("follows"))
     done = F.coalesce(F.trim("text"), F.lit("")).rlike(r"(^|[\p{L}\d]{2}[\"'”“»’)\]]{0,2}[.!?][\"'”“»’)\]]{0,2})$")
-    plainly = kept.where(done).select("table_name", "record_key", "source", "a", "b", F.lit("done").alias("ending"))
-    rest = kept.where(~done).select(F.struct("table_name", "record_key", "source", "a", "b").alias("__key"), "text")
-    schema = f"__key {rest.schema['__key'].dataType.simpleString()}, ending string"
-    looked = rest.mapInArrow(_endings(trained(gold)), schema).select("__key.*", "ending")
-    joined = plainly.unionByName(looked).join(prefixes, ["a", "b"], "left")
-    longer = F.coalesce("longer_copy", F.lit(False))
-    return joined.select(
-        "table_name", "record_key", "source", "ending", longer.alias("longer_copy"), (F.col("ending").isin(*CUT) | (F.col("ending").isin(*PERHAPS) & longer)).alias("truncated")
-    )
+    columns = ["table_name", "record_key", "source", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("t")]
+    plainly = records.where(done).select(*columns, F.lit("done").alias("ending"))
+    rest = records.where(~done).select(F.struct(*columns).alias("__key"), "text")
+    looked = rest.mapInArrow(_endings(trained(gold)), f"__key {rest.schema['__key'].dataType.simpleString()}, ending string").select("__key.*", "ending")
+    joined = plainly.unionByName(looked).distinct().join(known, "t", "left")
+    copied, stops = F.col("follows").isNotNull(), F.col("ending").isin("done", "instalment")
+    by_copy = copied & ((F.col("follows") == "abbreviation") | (F.col("follows").isin("word", "sentence") & ~stops))
+    by_ending = F.col("ending").isin(*CUT) | (F.col("ending").isin(*PERHAPS) & copied)
+    evidence = F.when(by_copy, F.lit("copy")).when(by_ending, F.lit("ending"))
+    return joined.select("table_name", "record_key", "source", "ending", copied.alias("longer_copy"), "follows", evidence.isNotNull().alias("truncated"), evidence.alias("evidence"))
 
 
 def by_source(found: DataFrame) -> DataFrame:

@@ -417,6 +417,17 @@ def test_prefixes_brute(spark):
     df = spark.createDataFrame([(i, -i, v) for i, v in enumerate(values)], "a bigint, b bigint, value string").repartition(5)
     got = {r.a for r in truncation.begun_elsewhere(df).collect()}
     assert got == {i for i, v in enumerate(values) if any(w != v and w.startswith(v) for w in values)}
+    for r in truncation.begun_elsewhere(df.union(df)).collect():
+        assert values[r.a2] != values[r.a] and values[r.a2].startswith(values[r.a]) and (r.b, r.b2) == (-r.a, -r.a2)
+
+
+def test_copies_decide(spark, gold):
+    whole = "Кметът живее на ул. роза в града. Там има градска чешма, край която децата играят. Всички го знаят.\n\nП. Петров"
+    assert [truncation.following(whole, n) for n in (5, 6, 15, 16, 25, sum(map(str.isalnum, whole[:-11])))] == ["word", "sentence", "abbreviation", "word", "end", "end"] and truncation.following("едно\n\nдве", 4) == "paragraph" and truncation.following("печат-\nница", 5) == "word"
+    cuts = {"street": "Кметът живее на ул.", "name": "Кметът живее на", "word": whole[:45], "ended": "Кметът живее на ул. роза в града.", "edited": "Кметът живее на ул. роза в града. Там има градска чешма.", "signed": whole[:-11], "lost": "Кметът живее на ул. роза в града"}
+    df = spark.createDataFrame([("t", "whole", "s", whole), *(("t", k, "s", v) for k, v in cuts.items())], "table_name string, record_key string, source string, text string")
+    got = {r.record_key: (r.truncated, r.evidence) for r in truncation.truncated(df, gold).collect()}
+    assert got == {"whole": (False, None), "street": (True, "copy"), "name": (True, "copy"), "word": (True, "copy"), "ended": (False, None), "edited": (False, None), "signed": (False, None), "lost": (True, "ending")}
 
 
 def test_truncated(spark, gold):
