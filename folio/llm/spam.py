@@ -1,9 +1,10 @@
 """Finding pages made of repeated keywords, lists of links or product tags.
 
-A text is divided into sentences and runs. A run is what no sentence end interrupts for longer than a sentence lasts. Links and
-tags count by what they are. Of the words of the runs the gaps between recurrences and the positional autocorrelation over a
-window of lags are taken: a newspaper's own lists (results, prices, names) hardly repeat a word, stuffed keywords do so at every
-few places. Runs of many different plain nouns without function words count as well.
+A text is divided into sentences and runs. A run is what no sentence end interrupts for longer than a sentence lasts, or has links or tags
+every few words. Its terms are its words, and one term that stands for any link, one for any tag and one for any number beside words. What decides is how they recur: the gaps
+between recurrences within a window of lags, and the positional autocorrelation at each lag. A newspaper's own lists (results, prices, names)
+hardly repeat a term; stuffed keywords, links and tags do so at every few places. Runs of many different plain nouns without function words
+count as well.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.batches import sliced
+
 #: Frequent function words of Bulgarian, English, German and French.
 FUNCTION_WORDS = frozenset(
     """
@@ -34,15 +37,20 @@ FUNCTION_WORDS = frozenset(
 SENTENCE, LAGS, MOST_PART = 45, 16, 0.5
 #: Up to so many words without a function word or a name may be a keyword phrase closed with a full stop.
 SHORT = 6
-#: Of a run: words that recur, words that equal the one a lag before them, function words in a list of nouns.
-RECURRENT, REGULAR, NO_FUNCTION = 0.55, 0.3, 0.03
+#: Of a run: terms that recur; those that equal the one a lag before them; recurrences within the lags; function words in a list of nouns.
+RECURRENT, REGULAR, NEAR, NO_FUNCTION = 0.5, 0.3, 0.6, 0.03
+#: Terms that a run needs for its recurrences to tell anything, and links and tags that do.
+LEAST_TERMS, LEAST_MARKS = 8, 3
+#: What stands for a link.
+LINK = "\ue000"
 
 _INVISIBLE = dict.fromkeys([0xAD, *range(0x200B, 0x2010), *range(0x2060, 0x2065), 0xFEFF])
 _DOT = r"(?:\.|\s\.\s|\[\.\]|\(dot\)|\s?\[dot\]\s?)"
 _URL = re.compile(rf"(?:h(?:tt|xx)ps?\s?:\s?//|w\s?w\s?w\s?{_DOT})\s?[^\s<>()\[\]]+(?:{_DOT}[^\s<>()\[\];,]+)*|\b[\w-]{{2,}}(?:\[\.\]|\(dot\))\w{{2,}}", re.I)
 _END = re.compile(r"(?<!\b\w)[.!?…][\"'”“»’)\]]*(?=\s+[\"'„“«(–—]?\s?[^\W\d_a-zа-я]|\s*\n|\s*$)")
 _WORD = re.compile(r"[^\W\d_]{2,}")
-_TAG = re.compile(r"#\w+")
+_TAG = re.compile(r"#(?=\w)")
+_TERM = re.compile(rf"[{LINK}#]|\d+|[^\W\d_]{{2,}}")
 #: Ends of lines of a newspaper's own lists: a result, a price.
 _RESULT, _PRICE = re.compile(r"\s\d{1,3}\s?[:–-]\s?\d{1,3}$"), re.compile(r"\s[—–-]\s\d+(?:[.,]\d+)?$")
 
@@ -56,10 +64,10 @@ def _own_line(line: str) -> bool:
     return line[-60:].rstrip("0123456789 ").replace(" ", "").endswith("...") or bool(_RESULT.search(end) or _PRICE.search(end))
 
 
-def _recurrence(words: list[str]) -> tuple[float, float, int, float]:
-    """Of a run: the share of words that recur, the greatest autocorrelation, its lag, and the variation of the gaps."""
-    n = len(words)
-    _, code, count = np.unique(np.array(words), return_inverse=True, return_counts=True)
+def _recurrence(terms: list[str]) -> tuple[float, float, int, float, float]:
+    """Of a run: the share of terms that recur, the greatest autocorrelation, its lag, the variation of the gaps, and the share of gaps within the lags."""
+    n = len(terms)
+    _, code, count = np.unique(np.array(terms), return_inverse=True, return_counts=True)
     often = count[code] > 1
     best, lag = 0.0, 0
     for k in range(1, min(LAGS, n - 1) + 1):
@@ -68,101 +76,103 @@ def _recurrence(words: list[str]) -> tuple[float, float, int, float]:
             best, lag = same, k
     order = np.argsort(code, kind="stable")
     gaps = np.diff(order)[np.diff(code[order]) == 0]
-    spread = float(gaps.std() / gaps.mean()) if len(gaps) else 0.0
-    return float(often.mean()), best, lag, spread
+    if not len(gaps):
+        return 0.0, best, lag, 0.0, 0.0
+    return float(often.mean()), best, lag, float(gaps.std() / gaps.mean()), float((gaps <= LAGS).mean())
 
 
-def measure(text: str) -> tuple[float, float, float, float, float, float, int, float, bool]:
-    """Shares of a text's characters: links, tags, runs that count as spam, sentences; and of its runs: recurrence, autocorrelation, lag, variation of gaps; is it spam?"""
+def measure(text: str) -> tuple[float, float, float, float, float, float, int, float, float, bool]:
+    """Shares of a text's characters: links, tags, runs that count as spam, sentences; and of its runs: recurrence, autocorrelation, lag, variation of gaps, gaps within the lags; is it spam?"""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text.translate(_INVISIBLE))
     whole = sum(map(len, text.split()))
     if not whole:
-        return 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0, 0.0, False
-    links = tags = sentences = 0.0
-    rest = text
+        return 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0, 0.0, 0.0, False
+    sizes: list[int] = []
+
+    def link(m: re.Match) -> str:
+        sizes.append(len("".join(m[0].split())))
+        return f" {LINK} "
+
     if "://" in text or "www" in text or "w w" in text or "hxxp" in text or "[.]" in text or "(dot)" in text:
-        kept = []
-        for line in text.split("\n"):
-            found = _URL.findall(line)
-            if not found:
-                kept.append(line)
-                continue
-            plain = _URL.sub(" ", line)
-            ends = [m.end() for m in _END.finditer(plain)]
-            cut = ends[-1] if ends and len(plain[: ends[-1]].split()) > 4 else 0
-            size = sum(map(len, line.split()))
-            own = sum(map(len, plain[:cut].split()))
-            # What stands with links counts with them, up to a few words each; whole sentences before them don't.
-            beside = min(sum(map(len, plain[cut:].split())), 40 * len(found))
-            links += min(size - own, sum(len(u.replace(" ", "")) for u in found) + beside)
-            kept.append(plain[:cut] if own else "")
-        rest = "\n".join(kept)
-    if "#" in rest:
-        found = _TAG.findall(rest)
-        if len(found) > 4:
-            tags = float(sum(map(len, found)))
-            rest = _TAG.sub(" ", rest)
-    runs: list[str] = []
+        text = _URL.sub(link, text.replace(LINK, " "))
+    tags = sum(map(len, re.findall(r"#\w+", text))) if "#" in text else 0
+    links = sum(sizes)
+    length = iter(sizes)
+
+    def size(part: str) -> int:
+        """Characters of a part, links as long as they were; parts come in order."""
+        return sum(map(len, part.split())) + sum(next(length) - 1 for _ in range(part.count(LINK)))
+
+    sentences = 0
+    runs: list[tuple[str, int]] = []
     at = 0
-    for end in [*(m.end() for m in _END.finditer(rest)), len(rest)]:
-        part = rest[at:end]
+    for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
+        part = text[at:end]
         at = end
+        if not part.strip():
+            continue
+        marks = part.count(LINK) + (len(_TAG.findall(part)) if "#" in part else 0)
         count = part.count(" ") + part.count("\n")
-        if count > SENTENCE:
+        if marks >= LEAST_MARKS and marks * 4 >= len(part.split()):
+            runs.append((part, size(part)))
+        elif count > SENTENCE:
             # The last line of a run may be a sentence of its own.
             head, _, tail = part.rstrip().rpartition("\n")
             if head and _END.search(tail) and 4 < tail.count(" ") <= SENTENCE:
-                sentences += sum(map(len, tail.split()))
-                part = head
-            runs.append(part)
-        elif part and part.strip():
-            if end == len(rest) and not _END.search(part) and part.strip().count("\n") + part.count(",") + part.count("|") + part.count(" - ") > 3:
-                runs.append(part)
+                runs.append((head, size(head)))
+                sentences += size(tail)
+            else:
+                runs.append((part, size(part)))
+        elif end == len(text) and not _END.search(part) and part.strip().count("\n") + part.count(",") + part.count("|") + part.count(" - ") + 2 * marks > 3:
+            runs.append((part, size(part)))
+        else:
+            words = _WORD.findall(part.lower())
+            if len(words) > 5 and len(set(words)) * 3 < len(words) or len(words) <= SHORT and FUNCTION_WORDS.isdisjoint(words) and part.strip()[1:].islower():
+                runs.append((part, size(part)))
             else:
-                words = _WORD.findall(part.lower())
-                if len(words) > 5 and len(set(words)) * 3 < len(words) or len(words) <= SHORT and FUNCTION_WORDS.isdisjoint(words) and part.strip()[1:].islower():
-                    runs.append(part)
-                else:
-                    sentences += sum(map(len, part.split()))
-    stuffed = again = regular = spread = 0.0
+                sentences += size(part)
+    stuffed = again = regular = spread = near = 0.0
     lag = 0
     if runs:
-        listed = "\n".join(x for x in "\n".join(runs).split("\n") if not _own_line(x))
-        size = sum(map(len, listed.split()))
-        words = _WORD.findall(listed.lower())
-        content = [w for w in words if w not in FUNCTION_WORDS]
-        if len(content) >= 8:
-            again, regular, lag, spread = _recurrence(content)
-            function = 1 - len(content) / len(words)
-            digits = sum(map(str.isdigit, listed)) / size
-            capitals = len(re.findall(r"\b[^\W\d_a-zа-яßàâäæçèéêëîïôöœùûü]", listed)) / len(words)
-            if again >= RECURRENT and (regular >= REGULAR or len(set(content)) * 2 <= len(content) or digits > 0.1):
-                stuffed = float(size)
-            elif len(words) >= 25 and function < NO_FUNCTION and digits < 0.02 and capitals < 0.2:
-                stuffed = float(size)
-    part = (links + tags + stuffed) / whole
-    return links / whole, tags / whole, stuffed / whole, sentences / whole, again, regular, lag, spread, part > MOST_PART
-
-
-_FIELDS = ("link_share", "tag_share", "stuffed_share", "sentence_share", "recurrent_share", "autocorrelation", "best_lag", "gap_variation", "spam")
-_TYPES = (*[pa.float64()] * 6, pa.int32(), pa.float64(), pa.bool_())
+        lines = [x for part, _ in runs for x in part.split("\n")]
+        own = sum(sum(map(len, x.split())) for x in lines if _own_line(x))
+        listed = "\n".join(x for x in lines if not _own_line(x) and (LINK in x or any(map(str.isalpha, x))))
+        part = sum(n for _, n in runs) - own
+        terms = ["0" if t[0].isdigit() else t for t in _TERM.findall(listed.lower()) if t not in FUNCTION_WORDS]
+        marks = sum(t in (LINK, "#") for t in terms)
+        if part > 0 and (len(terms) >= LEAST_TERMS or marks >= LEAST_MARKS):
+            again, regular, lag, spread, near = _recurrence(terms)
+            words = _WORD.findall(listed.lower())
+            if again >= RECURRENT and (regular >= REGULAR or near >= NEAR):
+                stuffed = float(part)
+            elif len(words) >= 25:
+                function = sum(w in FUNCTION_WORDS for w in words) / len(words)
+                digits = sum(map(str.isdigit, listed)) / part
+                capitals = len(re.findall(r"\b[^\W\d_a-zа-яßàâäæçèéêëîïôöœùûü]", listed)) / len(words)
+                if function < NO_FUNCTION and digits < 0.02 and capitals < 0.2:
+                    stuffed = float(part)
+    return min(1.0, links / whole), min(1.0, tags / whole), stuffed / whole, sentences / whole, again, regular, lag, spread, near, stuffed > MOST_PART * whole
+
+
+_FIELDS = ("link_share", "tag_share", "stuffed_share", "sentence_share", "recurrent_share", "autocorrelation", "best_lag", "gap_variation", "near_gaps", "spam")
+_TYPES = (*[pa.float64()] * 6, pa.int32(), *[pa.float64()] * 2, pa.bool_())
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         rows = [measure(t or "") for t in batch.column(1).to_pylist()]
         columns = zip(*rows, strict=True) if rows else [[]] * len(_FIELDS)
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), t) for c, t in zip(columns, _TYPES, strict=True)]], ["__key", *_FIELDS])
 
 
 def measure_pages(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, link_share, tag_share, stuffed_share, sentence_share, recurrent_share, autocorrelation, best_lag, gap_variation, spam).
+    """(key, link_share, tag_share, stuffed_share, sentence_share, recurrent_share, autocorrelation, best_lag, gap_variation, near_gaps, spam).
 
     One row for each row, null keys and repeated rows included; null, empty and blank texts have shares of 0 and are no spam; other
     columns are not read; no rows give none. One scan without a shuffle; time is in proportion to the length of the texts.
     """
     kind = documents.schema[key].dataType.simpleString()
-    schema = f"__key {kind}, link_share double, tag_share double, stuffed_share double, sentence_share double, recurrent_share double, autocorrelation double, best_lag int, gap_variation double, spam boolean"
+    schema = f"__key {kind}, link_share double, tag_share double, stuffed_share double, sentence_share double, recurrent_share double, autocorrelation double, best_lag int, gap_variation double, near_gaps double, spam boolean"
     done = documents.select(F.col(key).alias("__key"), F.col(text).alias("__text")).mapInArrow(_measure, schema)
     return done.select(F.col("__key").alias(key), *_FIELDS)

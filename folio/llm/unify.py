@@ -2,7 +2,9 @@
 
 Fields with suspicious characters are cut into words; the distinct suspicious words are exploded to positioned code points, which
 are joined with broadcast tables of forms, decompositions and look-alike letters; combining marks are put into the order of their
-classes and recomposed by joins with a table of compositions; then the words are rebuilt and put back into their fields. The tables come from the Unicode character data and are bounded by it.
+classes and recomposed, all of them, by a table of compositions; then the words are rebuilt and put back into their fields. The tables, and
+what is suspicious, come from the Unicode character data and are bounded by it. What is composed otherwise than by marks (syllables of Hangul and
+the like) is composed by an exact check at the end.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folio.functions.text import nfc
 from folio.session import written
 
 FIELDS = ("heading", "verbatim_text", "normalized_text")
@@ -25,17 +28,56 @@ LATIN, AS_CYRILLIC = "aceopxyABCEHKMOPTXY", "асеорхуАВСЕНКМОРТ
 CYRILLIC, AS_LATIN = "асеорхуАВСЕНКМОРТХУіѕјІЅЈһԛԝԁӏ", "aceopxyABCEHKMOPTXYisjISJhqwdl"
 GREEK, GREEK_AS_LATIN = "οανριυκχϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "oavpiukxcjABEZHIKMNOPTYX"
 GREEK_C, GREEK_AS_CYRILLIC = "οαρεκχϲΑΒΕΗΚΜΟΡΤΥΧΓΠΦ", "оарекхсАВЕНКМОРТУХГПФ"
-_INVISIBLE = (0xAD, 0x180E, *range(0x200B, 0x2010), *range(0x2060, 0x2065), 0xFEFF)
+_INVISIBLE = (0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0xFEFF)
 _SPACES = r"\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
-_ODD = rf"{_SPACES}\u00ad\u180e\u200b-\u200f\u2060-\u2064\ufeff\uff01-\uffee\ufb00-\ufb4f\u0132\u0133\u0149\u01c4-\u01cc\u01f1-\u01f3\u0300-\u036f\u0483-\u0489\u20d0-\u20f0\u0370-\u03ff"
+
+
+def ranges(points: set[int]) -> str:
+    """Code points as the inside of a character class, in characters, which all engines read alike; none may be special there."""
+    out, start = [], None
+    for o in sorted(points):
+        if start is None or o != end + 1:
+            if start is not None:
+                out.append(chr(start) + ("-" + chr(end) if end > start else ""))
+            start = o
+        end = o
+    return "".join([*out, chr(start) + ("-" + chr(end) if end > start else "")] if start is not None else out)
+
+
+def _odd() -> set[int]:
+    """What may not be in the one form: all that composing changes or that may compose with what stands before it, marks, invisible characters, odd spaces, and forms of width, joined letters and styled letters."""
+    out = {*_INVISIBLE, *range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
+    for o in range(0x80, 0x30000):
+        c = chr(o)
+        form = unicodedata.decomposition(c)
+        category = unicodedata.category(c)
+        if unicodedata.combining(c) or category == "Zs" or not unicodedata.is_normalized("NFC", c) or _form(c, form, category):
+            out.add(o)
+        if form and form[0] != "<" and " " in form:
+            out.add(int(form.split()[1], 16))
+    return out
+
+
+def _form(c: str, form: str, category: str) -> tuple[str, str] | None:
+    """What a character becomes, and the kind of case, where it is one by itself."""
+    if form.startswith(("<wide>", "<narrow>")):
+        return unicodedata.normalize("NFKC", c), "width"
+    if category[0] == "L" and (form.startswith("<font>") or form.startswith("<compat>") and len(unicodedata.normalize("NFKC", c)) > 1):
+        return unicodedata.normalize("NFKC", c), "ligature" if form.startswith("<compat>") else "styled"
+    if form and form[0] != "<" and " " not in form:
+        return unicodedata.normalize("NFC", c), "combining"
+    return None
+
+
+_POINTS = _odd()
+_ODD = ranges(_POINTS)
 #: What makes a word worth a look, in an article in Cyrillic and in Latin letters.
-SUSPICIOUS_C, SUSPICIOUS_L = rf"[{_ODD}{LATIN}]", rf"[{_ODD}\u0400-\u052f]"
-#: Spaces other than the plain one; what words consist of, full-width signs and invisible characters included.
-_SPACE, _IN_WORD = rf"[{_SPACES}]", r"[\p{L}\p{M}\p{N}\u00ad\u180e\u200b-\u200f\u2060-\u2064\ufeff\uff01-\uffee]"
-PIECES = rf"{_IN_WORD}+\.?|{_SPACE}|[^\p{{L}}\p{{M}}\p{{N}}\u00ad\u180e\u200b-\u200f\u2060-\u2064\ufeff\uff01-\uffee{_SPACES}]+"
+SUSPICIOUS_C, SUSPICIOUS_L = rf"[{_ODD}{LATIN}\u0370-\u03ff]", rf"[{_ODD}\u0370-\u052f]"
+#: Spaces other than the plain one; what words consist of, signs that are suspicious included.
+_SIGNS = ranges({o for o in _POINTS if unicodedata.category(chr(o))[0] not in "LMNZ"})
+_SPACE, _IN_WORD = rf"[{_SPACES}]", rf"[\p{{L}}\p{{M}}\p{{N}}{_SIGNS}]"
+PIECES = rf"{_IN_WORD}+\.?|{_SPACE}|[^\p{{L}}\p{{M}}\p{{N}}{_SIGNS}{_SPACES}]+"
 ROMAN = r"^(?=.{2})M{0,3}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"
-#: Canonical composition is tried for so many marks on one letter.
-MARKS = 4
 
 
 def _script(c: str) -> str:
@@ -55,16 +97,12 @@ def code_points() -> tuple[list[tuple], list[tuple[str, str]]]:
         if category in ("Cn", "Cs", "Co"):
             continue
         form = unicodedata.decomposition(c)
-        to, kind = c, None
+        to, kind = _form(c, form, category) or (c, None)
         if o in _INVISIBLE:
             to, kind = "", "invisible"
         elif category == "Zs" and c != " ":
             to, kind = " ", "space"
-        elif form.startswith(("<wide>", "<narrow>")):
-            to, kind = unicodedata.normalize("NFKC", c), "width"
-        elif form.startswith("<compat>") and category[0] == "L" and len(unicodedata.normalize("NFKC", c)) > 1:
-            to, kind = unicodedata.normalize("NFKC", c), "ligature"
-        elif form and form[0] != "<" and not 0xAC00 <= o < 0xD7A4:
+        elif not kind and form and form[0] != "<" and not 0xAC00 <= o < 0xD7A4:
             full.append((c, unicodedata.normalize("NFD", c)))
         plain = to[:1] or c
         if kind or (category[0] == "L" and _script(plain) != "O"):
@@ -73,21 +111,16 @@ def code_points() -> tuple[list[tuple], list[tuple[str, str]]]:
 
 
 @functools.cache
-def compositions() -> list[tuple[str, str, str]]:
-    """(base, mark, composed), as canonical composition has them."""
+def compositions() -> list[tuple[str, str]]:
+    """(base and mark, composed), as canonical composition has them."""
     out = []
-    for o in range(0x300, 0x30000):
+    for o in range(0xC0, 0x30000):
         c = chr(o)
         form = unicodedata.decomposition(c)
-        if form and form[0] != "<" and " " in form and unicodedata.normalize("NFC", c) == c:
+        if form and form[0] != "<" and " " in form and unicodedata.is_normalized("NFC", c):
             base, mark = (chr(int(x, 16)) for x in form.split())
             if unicodedata.combining(mark):
-                out.append((base, mark, c))
-    for o in range(0xC0, 0x300):
-        form = unicodedata.decomposition(chr(o))
-        if form and form[0] != "<" and " " in form:
-            base, mark = (chr(int(x, 16)) for x in form.split())
-            out.append((base, mark, chr(o)))
+                out.append((base + mark, c))
     return out
 
 
@@ -99,7 +132,7 @@ def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame, DataF
         F.broadcast(spark.createDataFrame(rows, schema))
         for rows, schema in (
             (points, "ch string, to string, kind string, of string, look_c string, look_l string"), (full, "ch string, full string"),
-            (classes, "c string, class int"), (compositions(), "base string, mark string, composed string"),
+            (classes, "c string, class int"), ([(dict(compositions()),)], "compositions map<string,string>"),
         )
     )
 
@@ -179,26 +212,23 @@ def unified_words(words: DataFrame) -> DataFrame:
         F.min(F.when(F.col("class") == 0, F.col("c"))).alias("base"), F.any_value("kinds").alias("kinds"),
         F.array_sort(F.collect_list(F.when(F.col("class") > 0, F.struct("class", "pos", "sub", "c", "given")))).alias("marks"),
     )
-    clusters = clusters.withColumns({"rest": F.lit(""), "made": F.lit(False), "last": F.lit(-1)})
-    for i in range(MARKS):
-        clusters = _composed(clusters, composed, i)
-    text = F.concat(F.coalesce("base", F.lit("")), "rest", F.array_join(F.transform(F.slice("marks", MARKS + 1, 1 << 20), lambda m: m["c"]), ""))
-    second = clusters.groupBy("id").agg(
-        _rebuilt(F.collect_list(F.struct("cluster", text.alias("to")))).alias("fixed"), F.any_value("kinds").alias("kinds"), F.bool_or("made").alias("made")
+    begun = F.struct(F.coalesce("base", F.lit("")).alias("base"), F.lit("").alias("rest"), F.lit(False).alias("made"), F.lit(-1).alias("last"))
+    folded = clusters.crossJoin(composed).select("id", "cluster", "kinds", F.aggregate("marks", begun, lambda s, m: _taken(s, m, F.col("compositions"))).alias("s"))
+    second = folded.groupBy("id").agg(
+        _rebuilt(F.collect_list(F.struct("cluster", F.concat("s.base", "s.rest").alias("to")))).alias("fixed"), F.any_value("kinds").alias("kinds"), F.bool_or("s.made").alias("made")
     ).select("id", "fixed", F.when(F.col("made"), F.array_append("kinds", F.lit("combining"))).otherwise(F.col("kinds")).alias("kinds"))
-    return first.where(~marked).unionByName(second).withColumn("kinds", F.array_sort("kinds"))
-
-
-def _composed(clusters: DataFrame, composed: DataFrame, i: int) -> DataFrame:
-    """One more mark of each cluster taken into its base, unless a mark of the same class that stayed outside stands between."""
-    mark = F.get("marks", F.lit(i))
-    found = clusters.withColumn("mark", mark["c"]).join(composed, ["base", "mark"], "left")
-    takes = F.col("composed").isNotNull() & (mark["class"] != F.col("last"))
-    return found.select(
-        "id", "cluster", F.when(takes, F.col("composed")).otherwise(F.col("base")).alias("base"), "marks", "kinds",
-        F.concat("rest", F.when(takes | F.col("mark").isNull(), F.lit("")).otherwise(F.col("mark"))).alias("rest"),
-        (F.col("made") | (takes & mark["given"])).alias("made"),
-        F.when(takes | F.col("mark").isNull(), F.col("last")).otherwise(mark["class"]).alias("last"),
+    both = first.where(~marked).unionByName(second).withColumn("exact", nfc(F.col("fixed")))
+    changed = (F.col("exact") != F.col("fixed")) & ~F.array_contains("kinds", "combining")
+    return both.select("id", F.col("exact").alias("fixed"), F.array_sort(F.when(changed, F.array_append("kinds", F.lit("combining"))).otherwise(F.col("kinds"))).alias("kinds"))
+
+
+def _taken(s: Column, m: Column, compositions: Column) -> Column:
+    """One more mark of a cluster taken into its base, unless a mark of the same class that stayed outside stands between."""
+    made = F.element_at(compositions, F.concat(s["base"], m["c"]))
+    takes = made.isNotNull() & (m["class"] != s["last"])
+    return F.struct(
+        F.when(takes, made).otherwise(s["base"]).alias("base"), F.when(takes, s["rest"]).otherwise(F.concat(s["rest"], m["c"])).alias("rest"),
+        (s["made"] | (takes & m["given"])).alias("made"), F.when(takes, s["last"]).otherwise(m["class"]).alias("last"),
     )
 
 
@@ -219,7 +249,7 @@ def cases(articles: DataFrame) -> DataFrame:
 def unify(articles: DataFrame) -> DataFrame:
     """(article_id, field, unified, kinds): every heading, verbatim_text and normalized_text in one form, and what it was not.
 
-    kinds: of width, ligature, combining, invisible, space, look-alike those that occurred, in alphabetical order; empty for a field that
+    kinds: of width, ligature, styled (letters of mathematics), combining, invisible, space, look-alike those that occurred, in alphabetical order; empty for a field that
     was in the form already, whose text passes unchanged. A word changes script only if all its letters of other scripts look
     like letters of the article's own and it is no Roman numeral. Null and empty fields give no rows; repeated rows and a null
     article_id are kept; without rows there are none; other columns are not read. Only suspicious fields are cut into words,

@@ -472,11 +472,27 @@ def test_composition_is_unicode(spark):
     marks = [chr(o) for o in (0x300, 0x301, 0x302, 0x306, 0x308, 0x30C, 0x323, 0x327, 0x328)]
     letters = ("aeiouAEOcs\u00e9", "\u0438\u0435\u0443\u0439\u0436")
     words = {"".join(rng.choice(letters[k % 2]) + "".join(rng.choice(marks) for _ in range(rng.randint(0, 3))) for _ in range(rng.randint(1, 5))) for k in range(400)}
-    df = spark.createDataFrame([(i, "C" if "\u0400" <= w[0] else "L", w) for i, w in enumerate(sorted(words))], "n int, script string, word string").selectExpr("struct(CAST(n AS bigint) AS a, CAST(n AS bigint) AS b) AS id", "script", "word")
+    words |= {"".join(rng.choice("aeo\u0438") + "".join(rng.choice(marks) for _ in range(rng.randint(5, 40)))) for _ in range(30)}
+    # Signs of Kelvin, Angstrom and Ohm, voiced kana, Hebrew with its dot, Hangul, vowel signs that follow, and letters of mathematics.
+    words |= {"\u212a", "\u212b1", "a\u2126", "\u304b\u3099", "\u05e9\u05c1", "\u1112\u1161\u11ab", "\u09c7\u09be", "\u037e", "\ufb2c", "\U0001109a\U000110ba"}
+    df = spark.createDataFrame([(i, "C" if "\u0400" <= w[0] <= "\u052f" else "L", w) for i, w in enumerate(sorted(words))], "n int, script string, word string").selectExpr("struct(CAST(n AS bigint) AS a, CAST(n AS bigint) AS b) AS id", "script", "word")
     for r in df.join(unify.unified_words(df), "id").collect():
         assert r.fixed == unicodedata.normalize("NFC", r.word), ascii(r.word)
 
 
+def test_every_code_point_is_composed(spark):
+    """Alone, and after a letter."""
+    points = [chr(o) for o in range(0x21, 0x30000) if unicodedata.category(chr(o)) not in ("Cn", "Cs", "Co", "Cc")]
+    odd = re.compile(unify.SUSPICIOUS_L)
+    seen = [w for c in points for w in (c, "a" + c) if odd.search(w)]
+    assert all(unicodedata.is_normalized("NFC", w) for c in points for w in (c, "a" + c) if not odd.search(w))
+    df = spark.createDataFrame([(i, "L", w) for i, w in enumerate(seen)], "n int, script string, word string").selectExpr("struct(CAST(n AS bigint) AS a, CAST(n AS bigint) AS b) AS id", "script", "word")
+    for r in df.join(unify.unified_words(df), "id").collect():
+        assert unicodedata.is_normalized("NFC", r.fixed), ascii((r.word, r.fixed))
+    rows = unify.unify(spark.createDataFrame([("k", "\u212a\u212b", "до\u202aбре \U0001d40f\U0001d409", "\u304b\u3099")], "article_id string, heading string, verbatim_text string, normalized_text string")).collect()
+    assert {r.field: (r.unified, r.kinds) for r in rows} == {"heading": ("K\u00c5", ["combining"]), "verbatim_text": ("добре РХ", ["invisible", "look-alike", "styled"]), "normalized_text": ("\u304c", ["combining"])}
+
+
 # Mixing ----------------------------------------------------------------------------------------------------------------------
 
 
