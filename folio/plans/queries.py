@@ -681,13 +681,39 @@ def progress_monotonic(spark, sf_dir):
     return progress.running_steps(read(spark, sf_dir, "stage_events"))
 
 
+#: The stages of a scan as stages of a job, with a detail made from the number of the event where the stage has one.
+_JOB_STAGES = {
+    "queued": "Thinking", "inspect": "Page", "quality": "Preprocessing", "layout": "Detected reading regions", "crop": "Building article columns", "read_a": "Transcribing regions",
+    "read_b": "Independent article read", "compare": "Independent reads agree", "reconcile": "Verifying proposed text edits", "article": "Discovering articles and headings",
+    "save_article": "Article saved", "overlay": "Reconstructing document", "audit": "Some other stage", "index": "Saved Markdown", "publish": "Agentic page complete", "complete": "Complete",
+}
+_JOB_SQL = (
+    "j AS (SELECT DISTINCT scan_id AS job_id, event_id AS seq, CASE stage " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _JOB_STAGES.items()) + " ELSE stage END AS stage, "
+    "CASE WHEN stage = 'inspect' AND event_id % 4 > 0 THEN (event_id % 4) || '/' || (event_id % 3) WHEN stage IN ('read_a', 'read_b') THEN (event_id % 13) || ' / ' || (event_id % 11) WHEN stage = 'save_article' THEN (event_id % 17) || ' articles' "
+    "WHEN stage = 'complete' AND event_id % 3 = 0 THEN 'saved' WHEN event_id % 5 > 0 THEN '' END AS detail FROM stage_events)"
+)
+
+
 def _job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = list(progress.STAGE_PERCENT)
-    stage = F.element_at(F.array(*[F.lit(n) for n in names]), (F.pmod(F.xxhash64("stage"), F.lit(len(names))) + 1).cast("int"))
-    return read(spark, sf_dir, "stage_events").select(F.col("scan_id").alias("job_id"), F.col("event_id").alias("seq"), stage.alias("stage"), F.lit("").alias("detail")).distinct()
+    return spark.sql(f"WITH {_JOB_SQL} SELECT * FROM j".replace("FROM stage_events", "FROM {events}"), events=read(spark, sf_dir, "stage_events"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_JOB_SQL},
+    e AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS n, coalesce(detail, '') AS d, regexp_extract(coalesce(detail, ''), '(\\d+)\\s*/\\s*(\\d+)', 1) AS x, regexp_extract(coalesce(detail, ''), '(\\d+)\\s*/\\s*(\\d+)', 2) AS y FROM j),
+    f AS (SELECT job_id, seq, stage, detail, n, try_cast(x AS DOUBLE) AS a, try_cast(y AS DOUBLE) AS b, stage = 'Complete' AND d = '' AS ended, CASE
+      {" ".join(f"WHEN stage = '{s}' THEN {p}" for s, p in progress.STAGE_PERCENT.items())} WHEN stage = 'Page' THEN 2 WHEN stage = 'Complete' THEN 96
+      WHEN stage = 'Transcribing regions' THEN 30 + 42 * (CASE WHEN try_cast(y AS DOUBLE) > 0 THEN least(1.0, try_cast(x AS DOUBLE) / try_cast(y AS DOUBLE)) ELSE 0.0 END)
+      WHEN stage = 'Independent article read' THEN 64 + 15 * (CASE WHEN try_cast(y AS DOUBLE) > 0 THEN least(1.0, try_cast(x AS DOUBLE) / try_cast(y AS DOUBLE)) ELSE 0.0 END)
+      WHEN stage = 'Article saved' THEN least(49, 10 + 4 * try_cast(regexp_extract(d, '^(\\d+)', 1) AS DOUBLE)) END::DOUBLE AS now FROM e),
+    r AS (SELECT job_id, n, CASE WHEN stage = 'Page' AND a IS NOT NULL THEN greatest(1.0, a) ELSE 1.0 END AS i, CASE WHEN stage = 'Page' AND a IS NOT NULL THEN greatest(1.0, a, b) ELSE 1.0 END AS t,
+        CASE WHEN ended THEN NULL ELSE coalesce(now, 6.0) END AS page FROM f WHERE n = 1
+      UNION ALL SELECT f.job_id, f.n, CASE WHEN f.stage = 'Page' AND a IS NOT NULL THEN greatest(1.0, a) ELSE r.i END, CASE WHEN f.stage = 'Page' AND a IS NOT NULL THEN greatest(1.0, a, b) ELSE r.t END,
+        CASE WHEN ended THEN r.page WHEN f.stage = 'Page' AND a IS NOT NULL AND greatest(1.0, a) > r.i THEN 2.0 ELSE greatest(coalesce(r.page, 0.0), coalesce(now, r.page, 6.0)) END
+      FROM r JOIN f ON f.job_id = r.job_id AND f.n = r.n + 1),
+    o AS (SELECT f.*, CASE WHEN ended THEN 100.0 ELSE round_even(least(96.0, 96.0 * (i - 1 + page / 100.0) / t), 1) END AS reached FROM f JOIN r USING (job_id, n))
+    SELECT job_id, seq, stage, detail, max(reached) OVER (PARTITION BY job_id ORDER BY seq) AS percent, NOT ended AS estimated FROM o"""
+)
 def progress_fold(spark, sf_dir):
     return progress.progress_batch(_job_events(spark, sf_dir))
 
@@ -770,9 +796,8 @@ def batch_scan_counts(spark, sf_dir):
 
 @query("SELECT page_id FROM pages p WHERE EXISTS (SELECT 1 FROM articles a WHERE a.page_id = p.page_id) OR NOT EXISTS (SELECT 1 FROM stage_events e WHERE e.scan_id = 'scan:' || p.source_sha256)")
 def exists_not_exists(spark, sf_dir):
-    for t in ("pages", "articles", "stage_events"):
-        read(spark, sf_dir, t).createOrReplaceTempView(f"folio_{t}")
-    return spark.sql("SELECT page_id FROM folio_pages p WHERE EXISTS (SELECT 1 FROM folio_articles a WHERE a.page_id = p.page_id) OR NOT EXISTS (SELECT 1 FROM folio_stage_events e WHERE e.scan_id = concat('scan:', p.source_sha256))")
+    text = "SELECT page_id FROM {pages} p WHERE EXISTS (SELECT 1 FROM {articles} a WHERE a.page_id = p.page_id) OR NOT EXISTS (SELECT 1 FROM {events} e WHERE e.scan_id = concat('scan:', p.source_sha256))"
+    return spark.sql(text, pages=read(spark, sf_dir, "pages"), articles=read(spark, sf_dir, "articles"), events=read(spark, sf_dir, "stage_events"))
 
 
 @query("SELECT page_id, 'needs_transcription' AS reason FROM pages WHERE page_id NOT IN (SELECT page_id FROM articles)")

@@ -201,19 +201,28 @@ def test_corrections(spark):
     assert {r.region_id: r.text for r in tables.corrected(base, changes, "region_id", "text").collect()} == {"r1": "second", "r2": "kept"}
 
 
-def test_progress():
-    state = (1, 1, None, 0.0)
-    seen = []
-    for stage, detail in (("Page", "1/2"), ("Independent article read", "1/2"), ("Preprocessing", ""), ("Page", "2/2"), ("Layout complete", ""), ("Complete", "saved"), ("Complete", "")):
-        state, percent, estimated = progress.step(state, stage, detail)
-        seen.append((percent, estimated))
-    assert [p for p, _ in seen] == sorted(p for p, _ in seen) and all(p < 100 for p, _ in seen[:-1]) and seen[-1] == (100.0, False)
+def test_progress(spark):
+    events = (("Some stage", None), ("Page", "1/2"), ("Independent article read", "1/2"), ("Preprocessing", ""), ("Article saved", "3 of them"), ("Transcribing regions", "5/0"), ("Page", "2 / 2"), ("Layout complete", ""), ("Page", "1/2"), ("Complete", "saved"), ("Complete", ""), ("Thinking", ""))
+    df = spark.createDataFrame([("j", i, *e) for i, e in enumerate(events)] + [("k", 0, "Complete", ""), ("k", 1, "Some stage", "")], "job_id string, seq bigint, stage string, detail string")
+    rows = progress.progress_batch(df).orderBy("job_id", "seq").collect()
+    got = [r.percent for r in rows if r.job_id == "j"]
+    # The parts of page 1 count half, a start of page 2 half and its own part.
+    assert got == [5.8, 5.8, 34.3, 34.3, 34.3, 34.3, 49.0, 94.1, 94.1, 94.1, 100.0, 100.0] and [r.percent for r in rows if r.job_id == "k"] == [100.0, 100.0]
+    assert [r.estimated for r in rows if r.job_id == "j"] == [True] * 10 + [False, True] and progress.progress_batch(df.limit(0)).count() == 0
+    pdf = df.where("job_id = 'j'").toPandas()
+    for cut in range(len(events)):
+        state, parts = (1.0, 1.0, None, 0.0), []
+        for piece in (pdf[:cut], pdf[cut:]):
+            if len(piece):
+                out, state = progress.continued(piece.reset_index(drop=True), *state)
+                parts += out["percent"].tolist()
+        assert parts == got, cut
 
 
 def test_stream_is_batch(spark, data):
     from folio.plans.queries import progress_fold, progress_stream
 
-    rows = lambda df: sorted((r.job_id, r.seq, r.percent) for r in df.collect())
+    rows = lambda df: sorted((r.job_id, r.seq, r.percent, r.estimated) for r in df.collect())
     assert rows(progress_stream(spark, data)) == rows(progress_fold(spark, data))
 
 
