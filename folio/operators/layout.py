@@ -15,7 +15,7 @@ LEAST_IOU = 0.5
 
 
 def exploded(layouts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The regions and articles of typed layouts, each delivery once: (layout_id, pos, r) and (layout_id, pos, a)."""
+    """The regions and articles of layouts (see nested.whole_layouts), each delivery once: (layout_id, pos, r) and (layout_id, pos, a)."""
     once = layouts.select("layout_id", "regions", "articles").distinct()
     regions = once.select("layout_id", F.posexplode("regions").alias("pos", "r")).where("r is not null")
     return regions, once.select("layout_id", F.posexplode("articles").alias("pos", "a")).where("a is not null")

@@ -97,13 +97,16 @@ def _region(x: object, fields: list[str]) -> dict | None:
 
 
 def parse_payload(text: str | None) -> dict | None:
-    """The page document of a payload: the document itself or the first of its pages; None where it isn't complete JSON."""
+    """The page document of a payload: the document itself, or that of its pages, whose regions and articles follow one another where there are several; None where it isn't complete JSON."""
     try:
         found = json.loads(text, parse_constant=_no_constant) if text else None
     except (ValueError, RecursionError):
         return None
     if isinstance(found, dict) and isinstance(found.get("pages"), list):
-        found = next(iter(found["pages"]), None)
+        pages = [p for p in found["pages"] if isinstance(p, dict)]
+        if len(pages) < 2:
+            return next(iter(pages), None)
+        return {k: [x for p in pages for x in _list(p.get(k))] for k in ("regions", "articles")}
     return found if isinstance(found, dict) else None
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -480,7 +479,29 @@ def article_fingerprints(spark, sf_dir):
 
 # Layouts ---------------------------------------------------------------------------------------------------------------------
 
-_TYPED = "d AS (SELECT DISTINCT layout_id, page_id, regions, articles FROM manual_layouts), r0 AS (SELECT layout_id, page_id, unnest(regions) AS r, unnest(range(len(regions))) AS pos FROM d WHERE regions IS NOT NULL), r AS (SELECT layout_id, page_id, pos, r.* FROM r0 WHERE r IS NOT NULL), a0 AS (SELECT layout_id, unnest(articles) AS a FROM d WHERE articles IS NOT NULL), a AS (SELECT layout_id, a.* FROM a0 WHERE a IS NOT NULL), m AS (SELECT DISTINCT layout_id, id AS article, unnest(region_ids) AS id FROM a)"
+#: SQL tables r (regions), a (articles) and m (members) of all layouts, typed or as JSON text.
+_TYPED = """doc AS (SELECT DISTINCT layout_id, page_id, CASE WHEN json_valid(payload_json) THEN CAST(payload_json AS JSON) END AS whole FROM manual_layouts WHERE regions IS NULL AND articles IS NULL),
+page AS (SELECT layout_id, page_id, coalesce(whole -> '$.pages[0]', whole) AS page FROM doc WHERE whole IS NOT NULL),
+listed AS (SELECT layout_id, page_id, CAST(page -> '$.regions' AS JSON[]) AS regions FROM page),
+item AS (SELECT layout_id, page_id, unnest(regions) AS outer_region, unnest(range(len(regions))) AS pos FROM listed),
+region_doc AS (SELECT layout_id, page_id, pos, coalesce(outer_region -> '$.region', outer_region) AS g, coalesce(nullif(coalesce(outer_region -> '$.region', outer_region) -> '$.polygon', 'null'), coalesce(outer_region -> '$.region', outer_region) -> '$.points') AS pts FROM item),
+d AS (SELECT DISTINCT layout_id, page_id, regions, articles FROM manual_layouts),
+r0 AS (SELECT layout_id, page_id, unnest(regions) AS r, unnest(range(len(regions))) AS pos FROM d WHERE regions IS NOT NULL),
+r AS (SELECT layout_id, page_id, pos, r.id AS id, r.type AS type, r.article_id AS article_id, r.parent_id AS parent_id, r.reading_order AS reading_order, r.polygon AS polygon, r.text AS text, r.confidence AS confidence, r.needs_enhancement AS needs_enhancement, r.read_a AS read_a
+  FROM r0 WHERE r IS NOT NULL
+  UNION ALL SELECT layout_id, page_id, pos, g ->> '$.id', g ->> '$.type', g ->> '$.article_id', g ->> '$.parent_id',
+    CASE WHEN regexp_full_match(trim(g ->> '$.reading_order'), '[+-]?[0-9]{1,9}([.]0*)?') THEN CAST(CAST(trim(g ->> '$.reading_order') AS DOUBLE) AS INTEGER) END,
+    CASE WHEN json_type(pts) = 'ARRAY' THEN list_transform(CAST(pts AS JSON[]), lambda p: CASE json_type(p) WHEN 'OBJECT' THEN [TRY_CAST(p ->> '$.x' AS DOUBLE), TRY_CAST(p ->> '$.y' AS DOUBLE)] WHEN 'ARRAY' THEN TRY_CAST(p AS DOUBLE[]) END) END,
+    g ->> '$.text', CASE WHEN json_type(g, '$.confidence') IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN CAST(g ->> '$.confidence' AS DOUBLE) END, CASE WHEN json_type(g, '$.needs_enhancement') = 'BOOLEAN' THEN CAST(g ->> '$.needs_enhancement' AS BOOLEAN) END,
+    CASE WHEN json_type(g, '$.read_a') = 'OBJECT' THEN struct_pack(verbatim_text := g ->> '$.read_a.verbatim_text', confidence := TRY_CAST(g ->> '$.read_a.confidence' AS DOUBLE), uncertain_spans := list_transform(CAST(g -> '$.read_a.uncertain_spans' AS JSON[]),
+      lambda s: CASE WHEN json_type(s) = 'OBJECT' THEN struct_pack(text := s ->> '$.text', start_offset := TRY_CAST(s ->> '$.start_offset' AS INTEGER), end_offset := TRY_CAST(s ->> '$.end_offset' AS INTEGER), alternatives := CAST(s -> '$.alternatives' AS VARCHAR[])) END)) END
+  FROM region_doc WHERE json_type(g) = 'OBJECT'),
+a0 AS (SELECT layout_id, unnest(articles) AS a FROM d WHERE articles IS NOT NULL),
+a1 AS (SELECT layout_id, unnest(CAST(page -> '$.articles' AS JSON[])) AS a FROM page),
+a AS (SELECT layout_id, a.id AS id, a.region_ids AS region_ids, a.reading_order AS reading_order FROM a0 WHERE a IS NOT NULL
+  UNION ALL SELECT layout_id, a ->> '$.id', CASE WHEN json_type(a, '$.region_ids') = 'ARRAY' THEN CAST(a -> '$.region_ids' AS VARCHAR[]) ELSE [] END,
+    CASE WHEN regexp_full_match(trim(a ->> '$.reading_order'), '[+-]?[0-9]{1,9}([.]0*)?') THEN CAST(CAST(trim(a ->> '$.reading_order') AS DOUBLE) AS INTEGER) END FROM a1 WHERE json_type(a) = 'OBJECT'),
+m AS (SELECT DISTINCT layout_id, id AS article, unnest(region_ids) AS id FROM a)"""
 
 
 @query(
@@ -499,18 +520,17 @@ _TYPED = "d AS (SELECT DISTINCT layout_id, page_id, regions, articles FROM manua
     "UNION SELECT m.layout_id, 'membership_disagrees', m.id FROM m JOIN r USING (layout_id, id) WHERE r.article_id <> m.article "
     "UNION SELECT m.layout_id, 'duplicate_local_order', m.article || ':' || r.reading_order FROM m JOIN r USING (layout_id, id) WHERE r.reading_order IS NOT NULL GROUP BY m.layout_id, m.article, r.reading_order HAVING count(*) > 1"
 )
-def layout_violations(spark, sf_dir, whole=False):
-    return layout.violations(_layouts(spark, sf_dir, whole))
+def layout_violations(spark, sf_dir):
+    return layout.violations(_layouts(spark, sf_dir))
 
 
-def _layouts(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
-    """Layouts with typed regions, which alone the SQL reads; whole: those delivered as JSON text too."""
-    given = read(spark, sf_dir, "manual_layouts")
-    return nested.whole_layouts(given) if whole else given
+def _layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All layouts, those delivered as JSON text in the type of the others."""
+    return nested.whole_layouts(read(spark, sf_dir, "manual_layouts"))
 
 
-def _regions(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
-    once = _layouts(spark, sf_dir, whole).select("layout_id", "page_id", "regions").distinct()
+def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    once = _layouts(spark, sf_dir).select("layout_id", "page_id", "regions")
     return once.select("layout_id", "page_id", F.posexplode("regions").alias("pos", "r")).where("r is not null")
 
 
@@ -521,14 +541,14 @@ def _regions(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
     "SELECT id, CAST(n AS INTEGER) AS span_no, CASE WHEN e < b OR e > length(t) THEN 'out_of_bounds' ELSE 'text_mismatch' END AS rule FROM s WHERE e < b OR e > length(t) OR substr(t, b + 1, e - b) <> text "
     "UNION ALL SELECT id, CAST(n AS INTEGER), 'overlap' FROM s WHERE b < before"
 )
-def span_violations(spark, sf_dir, whole=False):
-    r = _regions(spark, sf_dir, whole)
+def span_violations(spark, sf_dir):
+    r = _regions(spark, sf_dir)
     return layout.span_violations(r.select(F.concat_ws(":", "layout_id", "pos").alias("id"), F.col("r.read_a.verbatim_text").alias("verbatim_text"), F.col("r.read_a.uncertain_spans").alias("uncertain_spans")))
 
 
-def _boxed(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
+def _boxed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions with four good corners."""
-    r = _regions(spark, sf_dir, whole).select("layout_id", "page_id", "pos", F.col("r.type").alias("label"), F.col("r.polygon").alias("polygon"))
+    r = _regions(spark, sf_dir).select("layout_id", "page_id", "pos", F.col("r.type").alias("label"), F.col("r.polygon").alias("polygon"))
     return r.where((F.size("polygon") == 4) & geometry.in_range(F.col("polygon")))
 
 
@@ -542,15 +562,15 @@ _BOX = (
     _BOX + ", q AS (SELECT a.layout_id, a.label, a.pos AS gold_id, b.pos AS predicted_id, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS u FROM g a JOIN g b ON a.layout_id = b.layout_id AND a.label = b.label AND a.pos <> b.pos) "
     "SELECT layout_id, label, CAST(gold_id AS INTEGER) AS gold_id, CAST(predicted_id AS INTEGER) AS predicted_id, CASE WHEN u - i <> 0 THEN i / (u - i) ELSE 0.0 END AS iou FROM q"
 )
-def iou_pairs(spark, sf_dir, whole=False):
-    r = _boxed(spark, sf_dir, whole).withColumnRenamed("pos", "id")
+def iou_pairs(spark, sf_dir):
+    r = _boxed(spark, sf_dir).withColumnRenamed("pos", "id")
     return layout.iou_pairs(r, r, ["layout_id", "label"]).where("gold_id <> predicted_id")
 
 
 @query()
 def assignment(spark, sf_dir):
     """Each page's regions against the same ones moved by a tenth of their height."""
-    r = _boxed(spark, sf_dir, True).where("page_id is not null").select(F.concat_ws(":", "page_id", "layout_id").alias("page_id"), F.col("pos").cast("string").alias("id"), F.coalesce("label", F.lit("")).alias("label"), "polygon")
+    r = _boxed(spark, sf_dir).where("page_id is not null").select(F.concat_ws(":", "page_id", "layout_id").alias("page_id"), F.col("pos").cast("string").alias("id"), F.coalesce("label", F.lit("")).alias("label"), "polygon")
     gold = r.withColumn("kind", F.lit("gold"))
     moved = r.withColumn("polygon", geometry.lower_edge_scaled(F.col("polygon"), F.lit(1.1))).withColumn("kind", F.lit("pred"))
     return layout.assignment(gold.unionByName(moved))
@@ -560,9 +580,9 @@ def assignment(spark, sf_dir):
     f"WITH {_TYPED}, o AS (SELECT layout_id, pos, reading_order FROM r WHERE reading_order IS NOT NULL), e AS (SELECT a.layout_id, avg(CAST(a.pos < b.pos AS INTEGER)) AS s FROM o a JOIN o b ON a.layout_id = b.layout_id AND b.reading_order = a.reading_order + 1 GROUP BY 1) "
     "SELECT DISTINCT o.layout_id, coalesce(s, 1.0) AS score FROM o LEFT JOIN e USING (layout_id)"
 )
-def precedence_score(spark, sf_dir, whole=False):
+def precedence_score(spark, sf_dir):
     """How far the given order of regions follows their reading order."""
-    r = _regions(spark, sf_dir, whole).select("layout_id", F.col("pos").alias("item"), "pos", F.col("r.reading_order").alias("o")).where("o is not null")
+    r = _regions(spark, sf_dir).select("layout_id", F.col("pos").alias("item"), "pos", F.col("r.reading_order").alias("o")).where("o is not null")
     edges = r.select("layout_id", F.col("item").alias("before"), "o").join(r.select("layout_id", F.col("item").alias("after"), (F.col("o") - 1).alias("o")), ["layout_id", "o"])
     return layout.precedence(r.select("layout_id", "item", "pos"), edges.select("layout_id", "before", "after"), "layout_id")
 
@@ -572,46 +592,49 @@ def precedence_score(spark, sf_dir, whole=False):
     "SELECT page_id, article_id, (list(text ORDER BY o, kind, text, id, pos) FILTER (kind = 'headline' AND text <> ''))[1] AS title, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY o, kind, text, id, pos) FILTER (text <> ''), '') AS verbatim_text, min(confidence) AS confidence, "
     "list(id ORDER BY o, kind, text, id, pos) AS region_ids FROM i GROUP BY page_id, article_id"
 )
-def article_reconstruct(spark, sf_dir, whole=False):
-    r = _regions(spark, sf_dir, whole).where("page_id is not null").select("page_id", F.col("r.article_id").alias("article_id"), F.col("r.id").alias("region_id"), F.col("r.type").alias("type"), F.col("r.reading_order").alias("reading_order"), F.col("r.text").alias("text"), F.col("r.confidence").alias("confidence"), (F.col("layout_id") * 1000 + F.col("pos")).alias("pos"))
+def article_reconstruct(spark, sf_dir):
+    r = _regions(spark, sf_dir).where("page_id is not null").select("page_id", F.col("r.article_id").alias("article_id"), F.col("r.id").alias("region_id"), F.col("r.type").alias("type"), F.col("r.reading_order").alias("reading_order"), F.col("r.text").alias("text"), F.col("r.confidence").alias("confidence"), (F.col("layout_id") * 1000 + F.col("pos")).alias("pos"))
     return layout.reconstructed(r).drop("normalized_text")
 
 
 @query(_BOX + " SELECT layout_id, CAST(pos AS INTEGER) AS pos, x1 * 3.024 AS left_px, y1 * 4.032 AS top_px, least(1000.0, y1 + (y2 - y1) * 1.25) AS lower_edge, CASE WHEN label = 'headline' THEN 0.9 ELSE 0.93 END AS floor FROM g")
-def polygon_scale(spark, sf_dir, whole=False):
-    r = _boxed(spark, sf_dir, whole)
+def polygon_scale(spark, sf_dir):
+    r = _boxed(spark, sf_dir)
     px = geometry.box(geometry.to_pixels(F.col("polygon"), F.lit(3024), F.lit(4032)))
     scaled = geometry.box(geometry.lower_edge_scaled(F.col("polygon"), F.lit(1.25)))
     role = F.when(F.col("label") == "headline", "other").otherwise("body")
     return r.select("layout_id", "pos", px["x1"].alias("left_px"), px["y1"].alias("top_px"), scaled["y2"].alias("lower_edge"), geometry.fill_floor(role).alias("floor"))
 
 
-@query(_BOX + " SELECT layout_id, CAST(pos AS INTEGER) AS pos, x2 > x1 AND y2 > y1 AND (x2 - x1) * (y2 - y1) >= 25 AS valid FROM g")
-def quad_validity(spark, sf_dir, whole=False):
-    """Of the boxes around regions."""
-    b = geometry.box(F.col("polygon"))
-    rows = _boxed(spark, sf_dir, whole).select("layout_id", "pos", geometry.corners(b["x1"], b["y1"], b["x2"], b["y2"]).alias("quad"))
-    return rows.select("layout_id", "pos", geometry.quad_valid(F.col("quad")).alias("valid"))
+_TURN = "sign((q[{1}][1] - q[{0}][1]) * (q[{2}][2] - q[{1}][2]) - (q[{1}][2] - q[{0}][2]) * (q[{2}][1] - q[{1}][1]))"
+_AREA = " + ".join(f"(q[{i}][1] * q[{j}][2] - q[{j}][1] * q[{i}][2])" for i, j in ((1, 2), (2, 3), (3, 4), (4, 1)))
+
+
+@query(
+    f"WITH {_TYPED}, q AS (SELECT layout_id, pos, 'given' AS corners, polygon AS q FROM r UNION ALL SELECT layout_id, pos, 'crossed', [polygon[1], polygon[3], polygon[2], polygon[4]] FROM r) "
+    f"SELECT layout_id, CAST(pos AS INTEGER) AS pos, corners, coalesce(len(q) = 4 AND len(list_distinct(q)) = 4 AND len(list_filter(q, lambda p: len(p) = 2 AND isfinite(p[1]) AND isfinite(p[2]))) = 4 "
+    f"AND abs({' + '.join(_TURN.format(*t) for t in ((1, 2, 3), (2, 3, 4), (3, 4, 1), (4, 1, 2)))}) = 4 AND abs({_AREA}) / 2 >= 25, false) AS valid FROM q"
+)
+def quad_validity(spark, sf_dir):
+    """Of the corners of every region, as they are given and with the second and third exchanged, which no convex shape survives."""
+    p = F.col("r.polygon")
+    rows = _regions(spark, sf_dir).select("layout_id", "pos", F.explode(F.map_from_arrays(F.array(F.lit("given"), F.lit("crossed")), F.array(p, F.array(*[F.get(p, F.lit(i)) for i in (0, 2, 1, 3)])))).alias("corners", "quad"))
+    return rows.select("layout_id", "pos", "corners", F.coalesce(geometry.quad_valid(F.col("quad")), F.lit(False)).alias("valid"))
 
 
 @query(
     f"WITH {_TYPED}, o AS (SELECT layout_id, id AS article_id, min(reading_order) AS ao FROM a GROUP BY 1, 2), j AS (SELECT r.*, o.ao, CASE WHEN r.article_id IS NULL THEN 0 WHEN o.ao IS NOT NULL THEN 1 ELSE 2 END AS rank FROM r LEFT JOIN o USING (layout_id, article_id)) "
     "SELECT layout_id, id AS region_id, CAST(pos AS INTEGER) AS pos, CAST(row_number() OVER (PARTITION BY layout_id ORDER BY rank, ao NULLS LAST, CASE WHEN rank = 1 THEN article_id END NULLS FIRST, reading_order NULLS LAST, id NULLS FIRST, pos) AS INTEGER) AS position FROM j"
 )
-def flatten_order(spark, sf_dir, whole=False):
-    regions, articles = layout.exploded(_layouts(spark, sf_dir, whole).dropDuplicates(["layout_id"]))
+def flatten_order(spark, sf_dir):
+    regions, articles = layout.exploded(_layouts(spark, sf_dir))
     r = regions.select("layout_id", "pos", F.col("r.id").alias("region_id"), F.col("r.article_id").alias("article_id"), F.col("r.reading_order").alias("reading_order"))
     return reads.two_level_order(r, articles.select("layout_id", "a.id", "a.reading_order"), "layout_id")
 
 
 @query(f"WITH {_TYPED} SELECT layout_id, CAST(pos AS INTEGER) AS pos, coalesce(needs_enhancement, false) OR coalesce(confidence < 0.85, true) AS hard FROM r")
-def reader_choice(spark, sf_dir, whole=False):
-    return _regions(spark, sf_dir, whole).select("layout_id", "pos", reads.hard(F.col("r.needs_enhancement"), F.col("r.confidence")).alias("hard"))
-
-
-#: The same over all layouts, without SQL, as theirs leaves those out that are delivered as JSON text.
-for _f in (layout_violations, span_violations, iou_pairs, precedence_score, article_reconstruct, polygon_scale, quad_validity, flatten_order, reader_choice):
-    _QUERIES[f"{_f.__name__}_whole"] = functools.partial(_f, whole=True)
+def reader_choice(spark, sf_dir):
+    return _regions(spark, sf_dir).select("layout_id", "pos", reads.hard(F.col("r.needs_enhancement"), F.col("r.confidence")).alias("hard"))
 
 
 # Scans -----------------------------------------------------------------------------------------------------------------------
