@@ -78,9 +78,14 @@ def replaced(df: DataFrame, new: DataFrame) -> DataFrame:
     gone = [p for p in known if os.path.basename(p) in old]
     _WRITTEN[spark.sparkContext.applicationId] = [p for p in known if p not in gone]
     _delete(spark, gone)
+    tidied(spark)
+    return new
+
+
+def tidied(spark: SparkSession) -> None:
+    """Gives up the shuffles that nothing refers to any more."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return new
 
 
 def importable(spark: SparkSession) -> SparkSession:
