@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folio.session import replaced, written
+from folio.session import replaced, tidied, written
 
 #: Neighbours kept while the graph is made, those of them that are ranked exactly, blocks of each node, and the share of new edges at which the rounds end.
-KEPT, RANKED, BLOCKS_EACH, ENOUGH = 16, 12, 2, 0.01
+KEPT, RANKED, BLOCKS_EACH, ENOUGH = 14, 12, 2, 0.025
 #: A node with more neighbours, forward and reverse, introduces them in parts of about so many, each part to each.
 PART = 64
 #: The centroids are fitted on so many nodes at most, of the largest models; a block has about, and at most, so many nodes.
@@ -65,12 +65,12 @@ def usable(passages: DataFrame, key: str, model: str, embedding: str) -> DataFra
 
 
 def nodes_of(vectors: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(id, node) of each vector, and (node, model, vec, copies, firsts) of each different one: firsts are the k + 1 smallest ids of its copies."""
+    """(id, node) of each of the usable vectors, and (node, model, vec, firsts) of each different one: firsts are the k + 1 smallest ids of its copies. The table of usable() is gone then."""
     keyed = vectors.withColumn("node", F.xxhash64("model", "vec"))
-    members = keyed.select("id", "node")
+    members = written(keyed.select("id", "node"), "members")
     ranked = keyed.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("id"))).where(F.col("r") <= k + 1)
     firsts = ranked.groupBy("node").agg(F.any_value("model").alias("model"), F.any_value("vec").alias("vec"), F.array_sort(F.collect_list("id")).alias("firsts"))
-    return members, written(firsts, "nodes")
+    return members, replaced(vectors, written(firsts, "nodes"))
 
 
 def fit(rows: np.ndarray, blocks: int, rounds: int = 6) -> np.ndarray:
@@ -206,9 +206,8 @@ def _best(edges: DataFrame, kept: int) -> DataFrame:
     return once.withColumn("r", rank).where(F.col("r") <= kept).drop("r")
 
 
-def _introduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by the introducing node: its neighbours, each with its 8-bit vector, its worst similarity and whether it is new. Pairs that beat either's worst come out."""
-    held: pa.Table | None = None
+def _introduce(kept: int):
+    """Rows sorted by the introducing node: its neighbours, each with its 8-bit vector, its worst similarity and whether it is new. Pairs that beat either's worst come out, the best `kept` of each node, as it can take no more."""
 
     def pairs(table: pa.Table) -> pa.RecordBatch:
         via, node, worst, new = (table.column(c).to_numpy() for c in ("via", "node", "worst", "new"))
@@ -226,7 +225,13 @@ def _introduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sim = v @ v.T
             fresh = new[s:e, None] | new[None, s:e]
             np.fill_diagonal(fresh, False)
-            i, j = np.nonzero(fresh & (sim > worst[s:e, None]))
+            wanted = fresh & (sim > worst[s:e, None])
+            if e - s > kept + 1:
+                best = np.argpartition(np.where(wanted, -sim, 2), kept - 1, axis=1)[:, :kept]
+                only = np.zeros_like(wanted)
+                np.put_along_axis(only, best, True, axis=1)
+                wanted &= only
+            i, j = np.nonzero(wanted)
             a.append(node[s:e][i])
             b.append(node[s:e][j])
             sims.append(sim[i, j])
@@ -235,18 +240,22 @@ def _introduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(np.concatenate(a) if a else none, pa.int64()), pa.array(np.concatenate(b) if b else none, pa.int64()), pa.array(np.concatenate(sims) if sims else none, pa.float32())], ["node", "to", "sim"]
         )
 
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([held, table]) if held is not None else table
-        via = table.column("via").to_numpy()
-        if not len(via):
-            continue
-        cut = int(np.searchsorted(via, via[-1]))
-        held = table.slice(cut)
-        if cut:
-            yield pairs(table.slice(0, cut))
-    if held is not None and len(held):
-        yield pairs(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]) if held is not None else table
+            via = table.column("via").to_numpy()
+            if not len(via):
+                continue
+            cut = int(np.searchsorted(via, via[-1]))
+            held = table.slice(cut)
+            if cut:
+                yield pairs(table.slice(0, cut))
+        if held is not None and len(held):
+            yield pairs(held)
+
+    return run
 
 
 def _eight_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,6 +301,7 @@ def graph_of(nodes: DataFrame, kept: int = KEPT, each: int = BLOCKS_EACH, centre
     """
     graph = start_of(nodes, kept, each, centres)
     small = written(nodes.select("node", "vec").mapInArrow(_eight_bits, "node bigint, vec binary"), "eightbit")
+    tidied(nodes.sparkSession)
     # Lists only get better, so this ends.
     while True:
         graph = replaced(graph, improved(graph, small, kept))
@@ -306,7 +316,7 @@ def improved(graph: DataFrame, small: DataFrame, kept: int) -> DataFrame:
     ways = graph.select(F.col("node").alias("via"), F.col("to").alias("node"), "new").unionByName(graph.select(F.col("to").alias("via"), "node", "new"))
     listed = _parted(ways.groupBy("via", "node").agg(F.bool_and("new").alias("new")))
     sent = listed.join(small.join(worst, "node"), "node").select("via", "node", "vec", "worst", "new")
-    proposed = sent.repartition("via").sortWithinPartitions("via").mapInArrow(_introduce, "node bigint, to bigint, sim float").withColumn("new", F.lit(True))
+    proposed = sent.repartition("via").sortWithinPartitions("via").mapInArrow(_introduce(kept), "node bigint, to bigint, sim float").withColumn("new", F.lit(True))
     return written(_best(graph.withColumn("new", F.lit(False)).unionByName(proposed), kept), "graph")
 
 
