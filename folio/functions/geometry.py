@@ -104,11 +104,8 @@ def _area(points: list) -> float:
 
 
 def convex_overlap(a: list | None, b: list | None) -> float:
-    """The common area of two convex polygons as a part of the smaller one."""
-    if not a or not b:
-        return 0.0
-    least = min(_area(a), _area(b))
-    return _area(_clip(a, b)) / least if least else 0.0
+    """The common area of two convex polygons as a part of the smaller one, or of 1 if that is less."""
+    return _area(_clip(a, b)) / max(1.0, min(_area(a), _area(b))) if a and b else 0.0
 
 
 @F.arrow_udf(T.DoubleType())

@@ -29,17 +29,16 @@ def flags(scans: DataFrame, limits: dict[str, float] | None = None) -> DataFrame
 def duplicates(scans: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(idx, duplicate_of, hash_distance) of (idx, hash bigint, sha256): for each scan the first earlier one with the same sha256 or a hash so near.
 
-    Two hashes that differ in at most BANDS - 1 bits agree in one of BANDS equal bands, so only scans that share a band are compared,
-    and none is missed. Scans with the same hash are one group, of which only the first is compared: it is the earliest match they offer.
+    Two hashes that differ in at most so many bits agree in one of as many and one more bands, so only scans that share a band are compared,
+    and none is missed, whatever the distance. Scans with the same hash are one group, of which only the first is compared: it is the earliest match they offer.
     """
-    if distance >= BANDS:
-        raise ValueError(f"the distance must be less than {BANDS}")
+    bands = max(BANDS, min(distance + 1, 64))
+    cuts = [64 * i // bands for i in range(bands + 1)]
     same_sha = scans.where("sha256 is not null").groupBy("sha256").agg(F.min("idx").alias("first"))
     exact = scans.join(same_sha, "sha256").where("first < idx").select("idx", F.col("first").alias("other"))
     firsts = scans.groupBy("hash").agg(F.min("idx").alias("first"))
     twins = scans.join(firsts, "hash").where("first < idx").select("idx", F.col("first").alias("other"))
-    width = 64 // BANDS
-    banded = firsts.select("hash", "first", F.posexplode(F.array(*[F.shiftright(F.col("hash"), i * width).bitwiseAND((1 << width) - 1) for i in range(BANDS)])).alias("band", "part"))
+    banded = firsts.select("hash", "first", F.posexplode(F.array(*[F.shiftright(F.col("hash"), low).bitwiseAND((1 << (high - low)) - 1) for low, high in zip(cuts, cuts[1:], strict=False)])).alias("band", "part"))
     other = banded.select("band", "part", F.col("hash").alias("h2"), F.col("first").alias("f2"))
     near = banded.join(other, ["band", "part"]).where(F.bit_count(F.col("hash").bitwiseXOR(F.col("h2"))).between(1, distance)).select("hash", "h2", "f2").distinct()
     # A later copy of one hash may come after the first of the other.
