@@ -56,11 +56,19 @@ def bm25(index: DataFrame, stats: DataFrame, terms: list[str], key: str) -> Data
 
 
 def lexical(docs: DataFrame, query: str, k: int, key: str, *columns: str) -> DataFrame:
-    """The k best (key, score, rank) for a question in ordinary words; none for a question without words."""
+    """The k best (key, score, rank) for a question in ordinary words; none for a question without words. The same text delivered twice under one key counts once.
+
+    Texts are read and divided once: what is shuffled of each is its length and its occurrences of the terms, which both the statistics and
+    the postings come from.
+    """
     terms = expand_terms(query)
     if not terms:
         return docs.select(key, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    best = bm25(postings(docs, key, *columns, terms=terms), corpus_stats(docs, key, *columns), terms, key).orderBy("score", key).limit(k)
+    tokens = docs.select(key, F.xxhash64(*columns).alias("__text"), F.concat(*[index_tokens(F.col(c)) for c in columns]).alias("tokens"))
+    once = tokens.select(key, "__text", F.size("tokens").alias("dl"), F.filter("tokens", lambda t: t.isin(terms)).alias("hits")).distinct()
+    stats = once.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    index = once.select(key, "dl", F.explode("hits").alias("term")).groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
+    best = bm25(index, stats, terms, key).orderBy("score", key).limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy("score", key)))
 
 
@@ -162,14 +170,15 @@ def fused(lexical_: DataFrame, semantic_: DataFrame, k: int, key: str) -> DataFr
     return joined.orderBy(F.desc("score"), F.asc_nulls_last("l"), F.asc_nulls_last("s"), key).limit(k).drop("l", "s")
 
 
-def hybrid(docs: DataFrame, query: str, vector: list[float], k: int, key: str, columns: list[str], embedding: str) -> DataFrame:
+def hybrid(docs: DataFrame, query: str, vectors: DataFrame, vector: list[float], k: int, key: str, columns: list[str], embedding: str) -> DataFrame:
+    """The k best by both: words of docs, and vectors, which may be of some docs only; each ranking gives three times as many, or twenty."""
     most = max(3 * k, 20)
-    return fused(lexical(docs, query, most, key, *columns), semantic(docs, vector, most, key, embedding), k, key)
+    return fused(lexical(docs, query, most, key, *columns), semantic(vectors, vector, most, key, embedding), k, key)
 
 
 def resources(ranked: DataFrame, passages: DataFrame, size: int, key: str = "passage_id", group: str = "article_id", text: str = "normalized_text", excerpt: int = 1_600) -> DataFrame:
     """(resource_id, group, key, relevant_excerpt, score): the best passage of each article, in order of rank, as R1 to at most R`size`."""
-    shown = ranked.join(passages.select(key, group, F.left(F.col(text), F.lit(excerpt)).alias("relevant_excerpt")), key)
+    shown = ranked.join(passages.select(key, group, F.left(F.col(text), F.lit(excerpt)).alias("relevant_excerpt")), key).distinct()
     best = shown.withColumn("n", F.row_number().over(Window.partitionBy(group).orderBy("rank"))).where("n = 1").orderBy("rank").limit(size)
     return best.withColumn("r", F.row_number().over(Window.orderBy("rank"))).select(F.concat(F.lit("R"), "r").alias("resource_id"), group, key, "relevant_excerpt", "score")
 

@@ -72,10 +72,11 @@ def indexed_search(spark, path: str, query: str, k: int = 10, buckets: int = 16)
     return search.bm25(index, spark.read.parquet(f"{path}/stats"), terms, "passage_id").orderBy("score", "passage_id").limit(k)
 
 
-def archive_passages(passages: DataFrame, articles: DataFrame, pages: DataFrame | None = None, vectors: bool = False) -> DataFrame:
-    """Passages, each delivery once, with the heading of their article, the publication of its page, and their vectors only if asked for: those are most of the file."""
+def archive_passages(passages: DataFrame, articles: DataFrame, pages: DataFrame | None = None, vectors: bool = False, once: bool = True) -> DataFrame:
+    """Passages, each delivery once unless the reader takes care of that, with the heading of their article, the publication of its page, and their vectors only if asked for: those are most of the file."""
     columns = ["passage_id", "article_id", "normalized_text", *(["embedding_model", "embedding_json"] if vectors else [])]
-    out = passages.select(*columns).distinct().join(articles.select("article_id", "page_id", "heading"), "article_id")
+    chosen = passages.select(*columns)
+    out = (chosen.distinct() if once else chosen).join(articles.select("article_id", "page_id", "heading"), "article_id")
     return out if pages is None else out.join(pages.select("page_id", "publication", "issue_date", "page_number"), "page_id")
 
 

@@ -95,8 +95,8 @@ def _semantic_sql(k: int) -> str:
     )
 
 
-def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive.archive_passages(read(spark, sf_dir, "passages"), read(spark, sf_dir, "articles"))
+def _passages(spark: SparkSession, sf_dir: str, once: bool = True) -> DataFrame:
+    return archive.archive_passages(read(spark, sf_dir, "passages"), read(spark, sf_dir, "articles"), once=once)
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +111,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_lexical_sql(10))
 def bm25_topk(spark, sf_dir):
-    return search.lexical(_passages(spark, sf_dir), QUESTION, 10, "passage_id", "heading", "normalized_text").select("passage_id", "score")
+    return search.lexical(_passages(spark, sf_dir, once=False), QUESTION, 10, "passage_id", "heading", "normalized_text").select("passage_id", "score")
 
 
 @query(f"WITH {_TOKENIZED}, {_STATS} SELECT n_docs, avgdl FROM s")
@@ -180,15 +180,9 @@ def _hybrid_sql(k: int) -> str:
     )
 
 
-def _hybrid(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    most = max(3 * k, 20)
-    words = search.lexical(_passages(spark, sf_dir), QUESTION, most, "passage_id", "heading", "normalized_text")
-    return search.fused(words, search.semantic(_vectors(spark, sf_dir), _VECTOR, most, "passage_id", "vector"), k, "passage_id")
-
-
 @query(_hybrid_sql(10))
 def rrf_hybrid(spark, sf_dir):
-    return _hybrid(spark, sf_dir, 10)
+    return search.hybrid(_passages(spark, sf_dir, once=False), QUESTION, _vectors(spark, sf_dir), _VECTOR, 10, "passage_id", ["heading", "normalized_text"], "vector")
 
 
 @query(
@@ -196,8 +190,8 @@ def rrf_hybrid(spark, sf_dir):
     "SELECT 'R' || row_number() OVER (ORDER BY rank) AS resource_id, article_id, passage_id, relevant_excerpt, score FROM p WHERE n = 1 ORDER BY rank LIMIT 5"
 )
 def evidence_resources(spark, sf_dir):
-    once = _passages(spark, sf_dir)
-    return search.resources(search.lexical(once, QUESTION, search.overfetch(5), "passage_id", "heading", "normalized_text"), once, 5)
+    all_ = _passages(spark, sf_dir, once=False)
+    return search.resources(search.lexical(all_, QUESTION, search.overfetch(5), "passage_id", "heading", "normalized_text"), all_, 5)
 
 
 @query(
