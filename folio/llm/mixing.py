@@ -4,39 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from folio.llm.tokenize import token_counts
 from folio.session import written
 
-#: The list of targets is read on the driver; it may not be longer than this.
-MOST_TARGETS = 10_000
 
-
-def rates(targets: list[tuple[str, float, int, int]], total: float) -> dict[str, float]:
-    """How often each source's documents are used, from (source, share, most repeats, tokens), for a mixture of `total` tokens.
+def with_rates(targets: DataFrame, total: float | None) -> DataFrame:
+    """(source, target_share, max_repeats, n tokens) with rate: how often each source's documents are used, for a mixture of `total` tokens, or all that there are.
 
     A source that would need more than its most repeats gets just those; what it leaves of the total goes to the others in
-    proportion to their shares, until no further one is short. A source without tokens gets 0.
+    proportion to their shares, until no further one is short. A source without tokens gets 0. What an open source gets is its share times one
+    level, which rises as sources get short: each round is one aggregate over the targets, of which only the sums reach the driver.
     """
-    open_ = {s: (share, cap, n) for s, share, cap, n in targets if share > 0 and cap > 0 and n > 0}
-    out = {s: 0.0 for s, *_ in targets}
-    while open_:
-        share_left = sum(share for share, _, _ in open_.values())
-        short = {s: float(cap) for s, (share, cap, n) in open_.items() if total * share / share_left > cap * n * (1 + 1e-12)}
-        if not short:
-            return out | {s: total * share / share_left / n for s, (share, _, n) in open_.items()}
-        for s, cap in short.items():
-            out[s] = cap
-            total -= cap * open_.pop(s)[2]
-    return out
+    usable = (F.col("target_share") > 0) & (F.col("max_repeats") > 0) & (F.col("n") > 0)
+    most = F.col("max_repeats") * F.col("n")
+    level, before = 0.0, -1
+    while True:
+        short = usable & (level * F.col("target_share") > most * (1 + 1e-12))
+        one = targets.agg(F.sum("n").alias("n"), F.sum(F.when(short, most)).alias("taken"), F.sum(F.when(usable & ~short, F.col("target_share"))).alias("open"), F.count_if(short).alias("short")).first()
+        if one["short"] == before or not one["open"]:
+            break
+        before = one["short"]
+        level = ((total if total is not None else float(one["n"] or 0)) - float(one["taken"] or 0)) / one["open"]
+    gets = F.when(short, F.col("max_repeats").cast("double")).otherwise(F.lit(level) * F.col("target_share") / F.col("n"))
+    return targets.withColumn("rate", F.when(usable, gets).otherwise(F.lit(0.0)))
 
 
 def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 17, **tokenizer: str) -> tuple[DataFrame, DataFrame]:
     """The mixture (doc_id, source, copy_no, n_tokens), and the report of shares by source.
 
     total: its size in tokens, or else all tokens of the listed sources. Each document is used floor(rate) times, and once more
-    if a hash of its id and the seed falls under the rate's fraction; so no document is used more than max_repeats times, and the
+    if a hash of its id, its text and the seed falls under the rate's fraction; so no document is used more than max_repeats times, and the
     same rows give the same mixture. A source that cannot fill its share (see rates) is reported as capped. Documents of unlisted
     or null sources are not used; null and empty texts have 0 tokens and are used like their source's others; rows that are
     repeated count each; a null doc_id is kept; a target listed twice counts once with its largest share; null max_repeats count
@@ -46,20 +44,12 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
     listed = targets.where(F.col("source").isNotNull()).groupBy("source").agg(
         F.max(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).cast("int").alias("max_repeats")
     )
-    used = documents.select("doc_id", "source", "text").join(listed.select("source"), "source", "left_semi")
-    counted = written(token_counts(used, ["doc_id", "source"], **tokenizer), "mixture")
+    used = documents.select("doc_id", "source", F.xxhash64("text").alias("text_key"), "text").join(listed.select("source"), "source", "left_semi")
+    counted = written(token_counts(used, ["doc_id", "source", "text_key"], **tokenizer), "mixture")
     sums = counted.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"), F.count("*").alias("documents"))
     known = listed.join(sums, "source", "left").select("source", "target_share", "max_repeats", F.coalesce("available_tokens", F.lit(0)).alias("n"), F.coalesce("documents", F.lit(0)).alias("documents"))
-    rows = known.limit(MOST_TARGETS + 1).collect()
-    if len(rows) > MOST_TARGETS:
-        raise ValueError(f"more than {MOST_TARGETS} targets")
-    found = rates([(r.source, r.target_share, r.max_repeats, r.n) for r in rows], float(total if total is not None else sum(r.n for r in rows)))
-    schema = T.StructType(
-        [T.StructField("source", T.StringType()), T.StructField("target_share", T.DoubleType()), T.StructField("max_repeats", T.IntegerType()),
-         T.StructField("available_tokens", T.LongType()), T.StructField("documents", T.LongType()), T.StructField("rate", T.DoubleType())]
-    )
-    plan = documents.sparkSession.createDataFrame([(r.source, float(r.target_share), r.max_repeats, r.n, r.documents, found[r.source]) for r in rows], schema)
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    plan = with_rates(written(known, "targets"), float(total) if total is not None else None).withColumnRenamed("n", "available_tokens")
+    drawn = F.pmod(F.xxhash64("doc_id", "text_key", F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
     copies = F.floor("rate") + F.when(drawn < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     mixed = counted.join(plan.select("source", "rate"), "source").withColumn("__n", copies.cast("int"))
     mixed = mixed.where("__n > 0").select("doc_id", "source", F.explode(F.sequence(F.lit(1), "__n")).alias("copy_no"), "n_tokens")

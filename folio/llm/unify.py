@@ -70,9 +70,11 @@ def _form(c: str, form: str, category: str) -> tuple[str, str] | None:
 
 
 _POINTS = _odd()
-_ODD = ranges(_POINTS)
+_ODD, _WIDE = ranges({o for o in _POINTS if o < 0x10000}), ranges({o for o in _POINTS if o >= 0x10000})
 #: What makes a word worth a look, in an article in Cyrillic and in Latin letters.
 SUSPICIOUS_C, SUSPICIOUS_L = rf"[{_ODD}{LATIN}\u0370-\u03ff]", rf"[{_ODD}\u0370-\u052f]"
+#: The same beyond the basic plane, where few texts have anything: looking for it apart keeps the search fast.
+SUSPICIOUS_WIDE = f"[{_WIDE}]"
 #: Spaces other than the plain one; what words consist of, signs that are suspicious included.
 _SIGNS = ranges({o for o in _POINTS if unicodedata.category(chr(o))[0] not in "LMNZ"})
 _SPACE, _IN_WORD = rf"[{_SPACES}]", rf"[\p{{L}}\p{{M}}\p{{N}}{_SIGNS}]"
@@ -147,9 +149,15 @@ def _finder(which: str):
     """The words of a text with a suspicious character, each with a full stop after it, and its odd spaces. Words are tried at their starts only: long ones cost no more than their length."""
     import regex
 
-    some = re.compile(which).search
+    some, wide, beyond = re.compile(which).search, re.compile(SUSPICIOUS_WIDE).search, re.compile("[\U00010000-\U0010ffff]").search
     words = regex.compile(rf"{_SPACE}|(?<!{_IN_WORD}){_IN_WORD}++\.?").findall
-    return lambda text: [w for w in dict.fromkeys(words(text)) if some(w)] if some(text) else ()
+
+    def find(text: str) -> list[str]:
+        if beyond(text):
+            return [w for w in dict.fromkeys(words(text)) if some(w) or wide(w)] if some(text) or wide(text) else []
+        return [w for w in dict.fromkeys(words(text)) if some(w)] if some(text) else []
+
+    return find
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

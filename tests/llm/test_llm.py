@@ -483,7 +483,7 @@ def test_composition_is_unicode(spark):
 def test_every_code_point_is_composed(spark):
     """Alone, and after a letter."""
     points = [chr(o) for o in range(0x21, 0x30000) if unicodedata.category(chr(o)) not in ("Cn", "Cs", "Co", "Cc")]
-    odd = re.compile(unify.SUSPICIOUS_L)
+    odd = re.compile(f"{unify.SUSPICIOUS_L}|{unify.SUSPICIOUS_WIDE}")
     seen = [w for c in points for w in (c, "a" + c) if odd.search(w)]
     assert all(unicodedata.is_normalized("NFC", w) for c in points for w in (c, "a" + c) if not odd.search(w))
     df = spark.createDataFrame([(i, "L", w) for i, w in enumerate(seen)], "n int, script string, word string").selectExpr("struct(CAST(n AS bigint) AS a, CAST(n AS bigint) AS b) AS id", "script", "word")
@@ -496,10 +496,19 @@ def test_every_code_point_is_composed(spark):
 # Mixing ----------------------------------------------------------------------------------------------------------------------
 
 
-def test_rates():
-    got = mixing.rates([("a", 0.5, 10, 1000), ("b", 0.3, 2, 100), ("c", 0.2, 1, 0)], 1000)
+def test_rates(spark):
+    def rates(rows, total):
+        df = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, n bigint")
+        return {r.source: r.rate for r in mixing.with_rates(df, total).collect()}
+
+    got = rates([("a", 0.5, 10, 1000), ("b", 0.3, 2, 100), ("c", 0.2, 1, 0)], 1000)
     assert got["c"] == 0 and got["b"] == 2.0 and got["a"] == pytest.approx(0.8)
-    assert mixing.rates([("a", 1.0, 3, 10)], 100) == {"a": 3.0} and mixing.rates([], 10) == {}
+    assert rates([("a", 1.0, 3, 10)], 100) == {"a": 3.0} and rates([], 10) == {}
+    # One source after another gets short as others leave their shares; as many targets as there are, none at the driver.
+    chain = [(f"s{i:05}", 1.0 / 30_000, 1 if i % 2 else 1000, 10 + i % 7) for i in range(30_000)]
+    got = rates(chain, 10_000_000.0)
+    assert len(got) == 30_000 and max(got[f"s{i:05}"] for i in range(1, 30_000, 2)) == 1.0
+    assert sum(got[s] * n for s, _, _, n in chain) == pytest.approx(10_000_000, rel=1e-9) and len({round(got[s] * n, 3) for s, _, cap, n in chain if cap > 1}) == 1
 
 
 @needs_vocabulary
