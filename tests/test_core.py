@@ -168,7 +168,8 @@ def test_doubled_captions(spark):
     assert sorted(r.block_id for r in layout.without_doubled_captions(df).collect()) == ["b", "c", "i"]
 
 
-def test_duplicates_brute(spark):
+@pytest.mark.parametrize("distance", [3, 9])
+def test_duplicates_brute(spark, distance):
     rng = random.Random(5)
     base = [rng.getrandbits(63) for _ in range(12)]
     rows = []
@@ -180,10 +181,10 @@ def test_duplicates_brute(spark):
     expected = {}
     for i, h, s in rows:
         for j, g, t in rows[:i]:
-            if (s is not None and s == t) or (h ^ g).bit_count() <= 3:
+            if (s is not None and s == t) or (h ^ g).bit_count() <= distance:
                 expected[i] = (j, (h ^ g).bit_count())
                 break
-    got = {r.idx: (r.duplicate_of, r.hash_distance) for r in quality.duplicates(spark.createDataFrame(rows, "idx int, hash bigint, sha256 string")).collect()}
+    got = {r.idx: (r.duplicate_of, r.hash_distance) for r in quality.duplicates(spark.createDataFrame(rows, "idx int, hash bigint, sha256 string"), distance).collect()}
     assert got == expected
 
 

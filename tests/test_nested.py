@@ -68,12 +68,22 @@ def test_whole_layouts(spark, layouts, tmp_path):
     quad = [[0, 0], [10, 0], [10, 10], [0, 10]]
     doc = {"regions": [{"id": "a", "type": "body", "article_id": "none", "reading_order": 1, "polygon": quad, "text": "t", "read_a": {"verbatim_text": "abc", "uncertain_spans": [{"text": "x", "start_offset": 0, "end_offset": 9}]}}, {"id": "b", "type": "body", "article_id": "A", "reading_order": 2, "polygon": quad}], "articles": [{"id": "A", "region_ids": ["zz"]}]}
     spark.createDataFrame([layout(7, payload=json.dumps(doc))], SCHEMA).write.parquet(str(tmp_path / "manual_layouts.parquet"))
-    run = {n: f(spark, str(tmp_path)).collect() for n, f in queries.queries().items() if n.endswith("_whole") or n == "assignment"}
-    assert len(run) == 10 and all(run.values())
-    assert {(r.rule, r.key) for r in run["layout_violations_whole"]} == {("unknown_region", "zz"), ("unknown_article", "none")}
-    assert [(r.true_positive, r.false_negative, r.false_positive) for r in run["assignment"]] == [(2, 0, 0)] and [r.position for r in sorted(run["flatten_order_whole"], key=lambda r: r.pos)] == [1, 2]
+    names = ("layout_violations", "span_violations", "iou_pairs", "assignment", "precedence_score", "article_reconstruct", "polygon_scale", "quad_validity", "flatten_order", "reader_choice")
+    run = {n: queries.queries()[n](spark, str(tmp_path)).collect() for n in names}
+    assert all(run.values())
+    assert {(r.rule, r.key) for r in run["layout_violations"]} == {("unknown_region", "zz"), ("unknown_article", "none")}
+    assert [(r.true_positive, r.false_negative, r.false_positive) for r in run["assignment"]] == [(2, 0, 0)] and [r.position for r in sorted(run["flatten_order"], key=lambda r: r.pos)] == [1, 2]
+    assert {(r.corners, r.valid) for r in run["quad_validity"]} == {("given", True), ("crossed", False)}
 
 
 def test_payload():
     assert parse_payload('{"a": NaN}') is None and parse_payload("[1]") is None and parse_payload(None) is None and parse_payload('{"pages": []}') is None
     assert parse_payload('{"regions": []}') == {"regions": []}
+
+
+def test_pages_of_a_payload_follow_one_another(spark):
+    page = lambda n: {"regions": [{"id": f"r{n}", "reading_order": n, "polygon": [[n, n]]}], "articles": [{"id": f"a{n}", "region_ids": [f"r{n}"]}]}
+    df = spark.createDataFrame([layout(1, payload=json.dumps({"pages": [page(1), None, page(2)]})), layout(2, payload=json.dumps({"pages": []}))], SCHEMA)
+    assert sorted((r.layout_id, r.region_pos, r.reading_order, r.x) for r in flatten_layouts(df, "corners").collect()) == [(1, 0, 1, 1.0), (1, 1, 2, 2.0)]
+    assert sorted((r.article_pos, r.article_id) for r in flatten_layouts(df, "articles").collect()) == [(0, "a1"), (1, "a2")]
+    assert [len(r.regions or []) for r in whole_layouts(df).orderBy("layout_id").collect()][:1] == [2]
