@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,27 +52,47 @@ def index_tables(artifacts: DataFrame) -> dict[str, DataFrame]:
     return {"pages": pages, "articles": articles, "passages": packing.passages(articles)}
 
 
+POSTINGS = "term string, passage_id string, tf int, dl int, bucket int"
+RUN = "run_id string, started_at timestamp, finished_at timestamp, counts map<string,bigint>"
+
+
 def write_index(tables: dict[str, DataFrame], path: str, buckets: int = 16) -> dict[str, int]:
-    """The tables, and the postings of passages with their statistics, in place of an earlier index; returns the number of rows of each.
+    """The tables, and the postings of passages with their statistics, as a new run of the index at path; returns the number of rows of each.
 
-    Postings are partitioned by a hash of the term and sorted by it, so a search reads the row groups of its terms only.
+    All goes to a folder of the run's own; only when it is complete, a row is added to path/runs, and from then on searches read this
+    run. Should anything fail before, the last run stays what is searched. Postings are partitioned by a hash of the term and sorted by it, so a
+    search reads the row groups of its terms only; `buckets` grows with the archive, and each run has its own, which readers find in the data.
     """
     spark = tables["pages"].sparkSession
+    run, started = uuid.uuid4().hex, datetime.datetime.now(datetime.UTC)
+    to = f"{path}/run-{run}"
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-    passages = spark.read.parquet(f"{path}/passages").join(spark.read.parquet(f"{path}/articles").select("article_id", "heading"), "article_id")
+        df.write.parquet(f"{to}/{name}")
+    # Tables without rows may have no files that tell their schema.
+    made = {name: spark.read.schema(df.schema).parquet(f"{to}/{name}") for name, df in tables.items()}
+    passages = made["passages"].join(made["articles"].select("article_id", "heading"), "article_id")
     index = search.postings(passages, "passage_id", "heading", "normalized_text").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    index.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    search.corpus_stats(passages, "passage_id", "heading", "normalized_text").write.mode("overwrite").parquet(f"{path}/stats")
-    return {name: spark.read.parquet(f"{path}/{name}").count() for name in (*tables, "postings")}
+    index.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{to}/postings")
+    search.corpus_stats(passages, "passage_id", "heading", "normalized_text").withColumn("buckets", F.lit(buckets)).write.parquet(f"{to}/stats")
+    counts = {name: df.count() for name, df in {**made, "postings": spark.read.schema(POSTINGS).parquet(f"{to}/postings")}.items()}
+    spark.createDataFrame([(run, started, datetime.datetime.now(datetime.UTC), counts)], RUN).coalesce(1).write.mode("append").parquet(f"{path}/runs")
+    return counts
+
+
+def current_index(spark, path: str) -> str:
+    """The folder of the last complete run."""
+    return f"{path}/run-{spark.read.schema(RUN).parquet(f'{path}/runs').agg(F.max_by('run_id', F.struct('finished_at', 'run_id')).alias('run')).first()['run']}"
 
 
-def indexed_search(spark, path: str, query: str, k: int = 10, buckets: int = 16) -> DataFrame:
-    """The k best (passage_id, score) from a written index: only the buckets of the terms are read."""
+def indexed_search(spark, path: str, query: str, k: int = 10) -> DataFrame:
+    """The k best (passage_id, score) from the last complete run of a written index: only the buckets of the terms are read."""
     terms = search.expand_terms(query)
+    at = current_index(spark, path)
+    stats = spark.read.parquet(f"{at}/stats")
+    buckets = stats.first()["buckets"]
     wanted = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(buckets)).cast("int")).distinct().collect()] if terms else []
-    index = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(wanted))
-    return search.bm25(index, spark.read.parquet(f"{path}/stats"), terms, "passage_id").orderBy("score", "passage_id").limit(k)
+    index = spark.read.schema(POSTINGS).parquet(f"{at}/postings").where(F.col("bucket").isin(wanted))
+    return search.bm25(index, stats, terms, "passage_id").orderBy("score", "passage_id").limit(k)
 
 
 def archive_passages(passages: DataFrame, articles: DataFrame, pages: DataFrame | None = None, vectors: bool = False, once: bool = True) -> DataFrame:

@@ -248,6 +248,13 @@ def test_artifacts_to_index(spark, tmp_path):
     counts = archive.write_index(made, str(tmp_path / "index"))
     assert counts["articles"] == 2 and counts["passages"] == 2
     assert [r.passage_id for r in archive.indexed_search(spark, str(tmp_path / "index"), "пожарна").collect()] == ["page:h1:article-1:passage:1"]
+    # A rebuild that fails leaves the last run; one that ends is searched at once.
+    broken = {**made, "passages": made["passages"].withColumn("heading", F.raise_error(F.lit("lost")))}
+    with pytest.raises(Exception):
+        archive.write_index(broken, str(tmp_path / "index"))
+    assert [r.passage_id for r in archive.indexed_search(spark, str(tmp_path / "index"), "пожарна").collect()] == ["page:h1:article-1:passage:1"]
+    archive.write_index({**made, "passages": made["passages"].limit(0)}, str(tmp_path / "index"), buckets=4)
+    assert archive.indexed_search(spark, str(tmp_path / "index"), "пожарна").count() == 0 and spark.read.parquet(str(tmp_path / "index" / "runs")).count() == 2
     assert {r.page_id: r.value for r in files.markdown(made["articles"]).collect()}["page:h1"].startswith("## Глава\n\nпожарна команда\n\n## L")
     files.write_once(made["pages"], str(tmp_path / "once"))
     with pytest.raises(Exception):
