@@ -31,6 +31,8 @@ TIMES = 10
 #: A confusion is learned from the corpus if it explains so many different words as misread, which are so large a part of all words
 #: that differ by it; the right ones stand in so many texts at least. Words longer than this teach none.
 LEAST_WORDS, LEAST_SHARE, LEAST_TEXTS, LONGEST = 3, 0.8, 20, 40
+#: So many characters of candidates, about, are in a worker at once.
+MOST_CHARACTERS = 1_000_000
 #: Signs that stand for letters inside words.
 SIGNS = "^|~¦†•§¢£¥"
 HYPHENS = "-‐¬=⸗\xad"
@@ -47,6 +49,8 @@ _WORD = re.compile(r"[^\W\d_](?:[\w^|~¦†•§¢£¥'’-]*\w)?|(?<![\d^|~¦
 _TAIL = re.compile(rf"([^\W_][\w{re.escape(SIGNS)}]*)([{HYPHENS}])\s*$")
 _LEAD = re.compile(rf"^\s*([^\W_][\w{re.escape(SIGNS)}]*)")
 _INNER = re.compile(rf"[^\W\d_][\d{re.escape(SIGNS)}]+[^\W\d_]")
+#: What no right word has.
+_NO_LETTER = re.compile(rf"[\d_{re.escape(SIGNS)}]")
 STATES = ("body", "header", "break")
 _FINISHED = re.compile(r"[.!?…:][\"”“»’)\]]*\s*$")
 _SCRIPTS_MEET = re.compile(r"[a-z][\u0370-\u04ff]|[\u0370-\u04ff][a-z]|[\u0370-\u03ff][\u0400-\u04ff]|[\u0400-\u04ff][\u0370-\u03ff]")
@@ -290,27 +294,50 @@ def trained(gold: DataFrame) -> Model:
     return Model().train([(r[0], r[1]) for r in first.collect()])
 
 
-def undone(word: str, confusions: tuple[tuple[str, str], ...]) -> set[str]:
-    """What the word may have been: one confusion undone, or all of its signs and digits."""
-    out = set()
+def likely(word: str, confusions: tuple[tuple[str, str], ...], longest: int | None = None) -> Iterator[str]:
+    """What the word may have been: one confusion undone, or all of its signs and digits, if that makes a word without any, no longer than the longest asked for.
+
+    Others are no right words. So what joins the fields of a table by signs and digits, or is as long as a text, isn't written out anew for each of its places.
+    """
+    stops = [m.start() for m in _NO_LETTER.finditer(word)]
     for read, true in confusions:
-        at = word.find(read)
-        while at >= 0:
-            out.add(word[:at] + true + word[at + len(read) :])
+        if longest is not None and len(word) - len(read) + len(true) > longest or _NO_LETTER.search(true) or stops and stops[-1] - stops[0] >= len(read):
+            continue
+        # All signs and digits must be in what is exchanged.
+        least, most = (max(0, stops[-1] - len(read) + 1), stops[0]) if stops else (0, len(word))
+        at = word.find(read, least)
+        while 0 <= at <= most:
+            yield word[:at] + true + word[at + len(read) :]
             at = word.find(read, at + 1)
     if sum(c in SIGNS or c.isdigit() for c in word) > 1:
         for script in (False, True):
             table = {a: b for a, b in confusions if len(a) == 1 and not a.isalpha() and ("а" <= b <= "я") == script}
-            out.add("".join(table.get(c, c) for c in word))
-    out.discard(word)
-    return out
+            if all(word[i] in table for i in stops):
+                found = "".join(table.get(c, c) for c in word)
+                if found != word and not _NO_LETTER.search(found) and (longest is None or len(found) <= longest):
+                    yield found
+
 
+def _candidates(confusions: tuple[tuple[str, str], ...], longest: int | None = None):
+    """(word, df) to (word, df, true_word), in batches of about MOST_CHARACTERS, however long the words are."""
 
-def _candidates(confusions: tuple[tuple[str, str], ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            rows = [list(undone(w, confusions)) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.string()))], ["word", "df", "before"])
+
+            def made(row: list[int], found: list[str], batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                at = pa.array(row, pa.int64())
+                return pa.RecordBatch.from_arrays([*[c.take(at) for c in batch.columns], pa.array(found, pa.string())], ["word", "df", "true_word"])
+
+            row, found, size = [], [], 0
+            for i, w in enumerate(batch.column(0).to_pylist()):
+                for true in likely(w, confusions, longest):
+                    row.append(i)
+                    found.append(true)
+                    size += len(w) + len(true)
+                    if size >= MOST_CHARACTERS:
+                        yield made(row, found)
+                        row, found, size = [], [], 0
+            yield made(row, found)
 
     return run
 
@@ -358,9 +385,11 @@ def confusions_of(counts: DataFrame, known: tuple[tuple[str, str], ...] = ()) ->
 def misread_words(counts: DataFrame, confusions: tuple[tuple[str, str], ...]) -> DataFrame:
     """(word, true_word): the words of the corpus that are misread, each with the most frequent word it may stand for; null where only a single sign between its letters tells."""
     able = "[" + "".join(sorted({a[0] for a, _ in confusions} | set(SIGNS))).replace("\\", r"\\").replace("]", r"\]").replace("[", r"\[").replace("^", r"\^").replace("-", r"\-") + "]"
-    rare = counts.where(F.col("word").rlike(able)).mapInArrow(_candidates(confusions), "word string, df bigint, before array<string>")
-    long = rare.select("word", "df", F.explode("before").alias("true_word")).where((F.length("true_word") >= 4) | ~F.col("word").rlike(r"^\p{L}+$"))
-    known = counts.select(F.col("word").alias("true_word"), F.col("df").alias("true_df")).where(F.col("true_word").rlike(r"^[\p{L}'’-]+$"))
+    # As no word is in less than one text, right ones are in TIMES at least.
+    known = counts.select(F.col("word").alias("true_word"), F.col("df").alias("true_df")).where(F.col("true_word").rlike(r"^[\p{L}'’-]+$") & (F.col("true_df") >= TIMES))
+    longest = known.agg(F.max(F.length("true_word"))).first()[0] or 0
+    rare = counts.where(F.col("word").rlike(able)).select("word", "df").mapInArrow(_candidates(confusions, longest), "word string, df bigint, true_word string")
+    long = rare.where((F.length("true_word") >= 4) | ~F.col("word").rlike(r"^\p{L}+$"))
     found = long.join(known, "true_word").where(F.col("true_df") >= TIMES * F.col("df"))
     by_word = found.groupBy("word").agg(F.max_by("true_word", F.struct("true_df", "true_word")).alias("true_word"))
     signed = counts.where(F.col("word").rlike(r"\p{L}[\d\^|~¦†•§¢£¥]\p{L}")).select("word", F.lit(None).cast("string").alias("true_word"))

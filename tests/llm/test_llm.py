@@ -8,6 +8,7 @@ import unicodedata
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -382,6 +383,26 @@ def test_confusions_are_learned(spark):
     assert ("п", "н") in ocr.Model().train(GOLD).confusions
 
 
+def test_candidates_of_long_words_are_few(spark):
+    """A table in one word, and a word as long as a text, don't become as many long words as they have places; batches stay small, and what may be right is all there."""
+    confusions = (("0", "o"), ("1", "l"), ("c", "e"), ("ii", "u"), ("rn", "m"), ("|", "l"))
+    table, text = "rnc1_" * 2_000, "rnc" * 3_000
+    short = ["crnoc", "ba11", "ba1l", "c1_b", "f01k", "|0", "aiiib", "abc"]
+    rows = [(w, 1) for w in [table, text, *short]]
+
+    def of(batches):
+        return list(ocr._candidates(confusions)(iter(batches)))
+
+    made = of([pa.RecordBatch.from_pylist([{"word": w, "df": n} for w, n in rows])])
+    assert max(b.nbytes for b in made) < 8 * 2**20
+    got = {(w, t) for b in made for w, t in zip(b["word"].to_pylist(), b[2].to_pylist(), strict=True)}
+    every = {(w, w[:i] + t + w[i + len(r) :]) for w in [*short, text] for r, t in confusions for i in range(len(w)) if w.startswith(r, i)}
+    every |= {(w, w.translate(str.maketrans("01|", "oll"))) for w in short}
+    assert got == {(w, t) for w, t in every if w != t and re.fullmatch(r"[^\W\d_]+", t)}
+    counts = spark.createDataFrame([*rows, ("bail", 30), ("ball", 40), ("folk", 50), ("eve", 9)], "word string, df bigint")
+    assert {(r.word, r.true_word) for r in ocr.misread_words(counts, confusions).collect() if r.true_word} == {("ba11", "ball"), ("ba1l", "ball"), ("f01k", "folk")}
+
+
 def test_copies_count_once(spark, gold):
     """A misread word stays one however often its text is delivered."""
     rows = [(f"u{i}", "p", f"Градската печатница отложи събор {i}.") for i in range(30)] + [(f"c{i}", "p", "Градската печатпица отложи събор.") for i in range(40)]
