@@ -57,20 +57,23 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def usable(passages: DataFrame, key: str, model: str, embedding: str) -> DataFrame:
-    """(id, model, vec): the usable vectors, at unit length: complete JSON lists, or arrays, not all zero, as long as most of their model are. Written to the shared folder."""
+    """(id, model, vec): the usable vectors, at unit length: complete JSON lists, or arrays, not all zero, as long as most of their model are; repeated rows stay. Written to the shared folder."""
     kept = passages.select(F.col(key).alias("id"), F.col(model).alias("model"), F.col(embedding).alias("e")).where("id is not null and model is not null and e is not null")
-    parsed = written(kept.mapInArrow(_parse, "id string, model string, n int, vec binary").distinct(), "vectors")
-    lengths = parsed.where("n > 0").groupBy("model", "n").count().groupBy("model").agg(F.max_by("n", F.struct("count", "n")).alias("n"))
+    parsed = written(kept.mapInArrow(_parse, "id string, model string, n int, vec binary"), "vectors")
+    different = parsed.where("n > 0").select("model", "n", F.xxhash64("id", "vec").alias("h")).distinct()
+    # Written, so that its size is known before the vectors are sent anywhere.
+    lengths = written(different.groupBy("model", "n").count().groupBy("model").agg(F.max_by("n", F.struct("count", "n")).alias("n")), "lengths")
     return parsed.where("vec is not null").join(lengths, ["model", "n"]).select("id", "model", "vec")
 
 
 def nodes_of(vectors: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(id, node) of each of the usable vectors, and (node, model, vec, firsts) of each different one: firsts are the k + 1 smallest ids of its copies. The table of usable() is gone then."""
+    """(id, node) of each of the usable vectors, once, and (node, model, vec, firsts) of each different one: firsts are the k + 1 smallest ids of its copies. The table of usable() is gone then."""
     keyed = vectors.withColumn("node", F.xxhash64("model", "vec"))
-    members = written(keyed.select("id", "node"), "members")
-    ranked = keyed.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("id"))).where(F.col("r") <= k + 1)
-    firsts = ranked.groupBy("node").agg(F.any_value("model").alias("model"), F.any_value("vec").alias("vec"), F.array_sort(F.collect_list("id")).alias("firsts"))
-    return members, replaced(vectors, written(firsts, "nodes"))
+    members = written(keyed.select("id", "node").distinct(), "members")
+    ranked = members.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("id"))).where(F.col("r") <= k + 1)
+    firsts = ranked.groupBy("node").agg(F.array_sort(F.collect_list("id")).alias("firsts"))
+    once = keyed.dropDuplicates(["node"]).select("node", "model", "vec")
+    return members, replaced(vectors, written(once.join(firsts, "node"), "nodes"))
 
 
 def fit(rows: np.ndarray, blocks: int, rounds: int = 6) -> np.ndarray:
@@ -201,11 +204,23 @@ def _block(kept: int):
 
 def _best(edges: DataFrame, kept: int) -> DataFrame:
     """Of (node, to, sim, new): the best of each node, each neighbour once."""
-    once = edges.groupBy("node", "to").agg(F.max("sim").alias("sim"), F.bool_and("new").alias("new"))
+    once = edges.repartition("node").groupBy("node", "to").agg(F.max("sim").alias("sim"), F.bool_and("new").alias("new"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("sim"), "to"))
     return once.withColumn("r", rank).where(F.col("r") <= kept).drop("r")
 
 
+def _only_best(node: np.ndarray, to: np.ndarray, sim: np.ndarray, kept: int) -> np.ndarray:
+    """Where the best `kept` of each node are, each neighbour once, of many proposals."""
+    order = np.lexsort((-sim, to, node))
+    n, t = node[order], to[order]
+    order = order[np.concatenate([[True], (n[1:] != n[:-1]) | (t[1:] != t[:-1])])] if len(order) else order
+    order = order[np.lexsort((to[order], -sim[order], node[order]))]
+    n = node[order]
+    begin = np.flatnonzero(np.concatenate([[True], n[1:] != n[:-1]])) if len(n) else np.empty(0, np.int64)
+    rank = np.arange(len(n)) - np.repeat(begin, np.diff(np.append(begin, len(n))))
+    return order[rank < kept]
+
+
 def _introduce(kept: int):
     """Rows sorted by the introducing node: its neighbours, each with its 8-bit vector, its worst similarity and whether it is new. Pairs that beat either's worst come out, the best `kept` of each node, as it can take no more."""
 
@@ -235,10 +250,12 @@ def _introduce(kept: int):
             a.append(node[s:e][i])
             b.append(node[s:e][j])
             sims.append(sim[i, j])
-        none = np.empty(0)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(a) if a else none, pa.int64()), pa.array(np.concatenate(b) if b else none, pa.int64()), pa.array(np.concatenate(sims) if sims else none, pa.float32())], ["node", "to", "sim"]
-        )
+        if not a:
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float32())], ["node", "to", "sim"])
+        to_, from_, sim_ = np.concatenate(b), np.concatenate(a), np.concatenate(sims)
+        # One node may be in very many lists: what all of them propose to it stays little.
+        best = _only_best(from_, to_, sim_, kept)
+        return pa.RecordBatch.from_arrays([pa.array(from_[best], pa.int64()), pa.array(to_[best], pa.int64()), pa.array(sim_[best], pa.float32())], ["node", "to", "sim"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -269,9 +286,11 @@ def _eight_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _parted(listed: DataFrame) -> DataFrame:
     """(via, node, new) of nodes that have a new neighbour; where there are more than PART, via stands for two of their parts, so that all meet but no task gets all."""
-    sizes = listed.groupBy("via").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts"), F.bool_or("new").alias("lively")).where("lively").select("via", "parts")
+    over = Window.partitionBy("via")
+    lively = listed.withColumn("parts", F.ceil(F.count("*").over(over) / F.lit(PART)).cast("int")).withColumn("lively", F.bool_or("new").over(over)).where("lively")
     part = F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int")
-    dealt = listed.join(sizes, "via").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # Only rows of crowded nodes become several.
+    dealt = lively.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     key = F.when(F.col("parts") == 1, F.col("via")).otherwise(F.xxhash64("via", F.least("part", "other"), F.greatest("part", "other")))
     return dealt.select(key.alias("via"), "node", "new")
 
@@ -306,6 +325,8 @@ def graph_of(nodes: DataFrame, kept: int = KEPT, each: int = BLOCKS_EACH, centre
     while True:
         graph = replaced(graph, improved(graph, small, kept))
         counted = graph.agg(F.count_if("new").alias("new"), F.count("*").alias("all")).first()
+        # Spark holds on to what its last query shuffled; that is the count now, no longer the round.
+        tidied(nodes.sparkSession)
         if counted["new"] <= ENOUGH * counted["all"]:
             return graph
 
@@ -314,7 +335,7 @@ def improved(graph: DataFrame, small: DataFrame, kept: int) -> DataFrame:
     """The graph after one round of introductions, written to the shared folder; small: (node, vec), the vectors in 8 bits."""
     worst = graph.groupBy("node").agg(F.when(F.count("*") >= kept, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
     ways = graph.select(F.col("node").alias("via"), F.col("to").alias("node"), "new").unionByName(graph.select(F.col("to").alias("via"), "node", "new"))
-    listed = _parted(ways.groupBy("via", "node").agg(F.bool_and("new").alias("new")))
+    listed = _parted(ways.repartition("via").groupBy("via", "node").agg(F.bool_and("new").alias("new")))
     sent = listed.join(small.join(worst, "node"), "node").select("via", "node", "vec", "worst", "new")
     proposed = sent.repartition("via").sortWithinPartitions("via").mapInArrow(_introduce(kept), "node bigint, to bigint, sim float").withColumn("new", F.lit(True))
     return written(_best(graph.withColumn("new", F.lit(False)).unionByName(proposed), kept), "graph")

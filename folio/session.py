@@ -6,6 +6,7 @@ import gc
 import os
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,9 +84,18 @@ def replaced(df: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def tidied(spark: SparkSession) -> None:
-    """Gives up the shuffles that nothing refers to any more."""
+    """Gives up the shuffles that nothing refers to any more; waits, for a short time, until the cleaner is through with those it has found."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    jvm = spark.sparkContext._jvm
+    jvm.System.gc()
+    known = jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    left, same = known.size(), 0
+    for _ in range(20):
+        time.sleep(0.1)
+        before, left = left, known.size()
+        same = same + 1 if left == before else 0
+        if same == 3:
+            break
 
 
 def importable(spark: SparkSession) -> SparkSession:

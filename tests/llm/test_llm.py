@@ -209,6 +209,37 @@ def test_crowded_nodes_introduce_in_parts(spark):
     assert {p for x in met.values() for p in itertools.combinations(sorted(x), 2)} == set(itertools.combinations(range(300), 2))
 
 
+def test_rounds_shuffle_once_and_let_go(spark, monkeypatch):
+    """Lists and their best are each made by one shuffle; what a round shuffled is gone before the next; a node in very many lists is offered no more than it can take."""
+    edges = spark.createDataFrame([(1, 2, 0.5, True), (1, 2, 0.6, False), (1, 3, 0.4, True), (1, 4, 0.9, True), (2, 1, 0.5, True)], "node bigint, to bigint, sim float, new boolean")
+    best = ann._best(edges, 2)
+    assert sorted((r.node, r.to, r.new) for r in best.collect()) == [(1, 2, False), (1, 4, True), (2, 1, True)]
+    assert ann._best(edges, 2)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    rng = np.random.default_rng(6)
+    vec = {i: rng.integers(-127, 128, 8, np.int8).tobytes() for i in range(400)}
+    rows = [{"via": 1000 + i // 4, "node": n, "vec": vec[n], "worst": np.float32(-2), "new": True} for i in range(400) for n in ([0, i] if i % 4 == 1 else [i] if i % 4 else [])]
+    types = pa.schema([("via", pa.int64()), ("node", pa.int64()), ("vec", pa.binary()), ("worst", pa.float32()), ("new", pa.bool_())])
+    made = pa.Table.from_batches(list(ann._introduce(5)(iter([pa.RecordBatch.from_pylist(rows, types)])))).to_pylist()
+    offered = sorted((-r["sim"], r["to"]) for r in made if r["node"] == 0)
+    sims = {n: float(np.dot(*[(x / np.sqrt(x @ x)) for x in (np.frombuffer(vec[k], np.int8).astype(np.float32) for k in (0, n))])) for n in range(400) if n % 4}
+    assert [n for _, n in offered][:5] == sorted(sims, key=lambda n: -sims[n])[:5] and len(offered) <= 10  # The last list comes apart.
+    assert {r["node"] for r in made} == {0, *sims}
+
+    known = []
+    rounds = ann.improved
+
+    def watched(*args):
+        known.append(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size())
+        return rounds(*args)
+
+    monkeypatch.setattr(ann, "improved", watched)
+    monkeypatch.setattr(ann, "LARGEST", 50)
+    ids, v = embedded(spark, n=600, d=16, seed=9)
+    df = spark.createDataFrame([(i, "m", x.tolist()) for i, x in zip(ids, v, strict=True)], "id string, model string, e array<double>")
+    ann.graph_of(ann.nodes_of(ann.usable(df, "id", "model", "e"))[1])
+    assert len(known) > 2 and max(known[1:]) <= known[0] + 3, known
+
+
 def test_usable_and_ties(spark):
     e = json.dumps
     rows = [(f"c{i:02}", "m", e([2.0 + 0 * i, 0.0])) for i in range(14)] + [("z1", "m", e([1.0, 0.1])), ("z1", "m", e([1.0, 0.1])), ("o", "other", e([1.0, 0.0])), ("n1", "m", None), ("n2", "m", ""), ("n3", "m", "[0,0]"), ("n4", "m", "[1,"), ("n5", "m", "[1,2,3]"), ("n6", "m", "[1, true]"), ("n7", "m", "[NaN,1]"), (None, "m", e([1, 0])), ("n8", None, e([1, 0]))]
